@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import fixed_values as fv
 from .dense import dense_pool, dense_topk
 from .scope import with_scope
-from .sparse import _top_k, bm25_matches, rank_with_zeros, sparse_topk
+from .sparse import SparseLeg, sparse_topk, top_k_of
 
 
 def min_max_norm(score: Column, lo: Column, hi: Column) -> Column:
@@ -36,32 +36,15 @@ def hybrid_topk(queries: DataFrame, chunks: DataFrame, alpha: float = fv.HYBRID_
     joined.  If one leg is empty the other is returned with its own scores.
     ``vectors`` holds the embeddings when ``chunks`` does not.
     """
-    asked = with_scope(queries).withColumn("top_k", _top_k(queries))
-    dense = dense_pool(queries, chunks if vectors is None else vectors, pool_factor)
-    matches, corpus, rows = bm25_matches(queries, chunks)
-
-    # legs meet at (query, chunk); both are bounded per query
-    pool = dense.withColumnRenamed("score", "dense_score")
+    asked = with_scope(queries).withColumn("top_k", top_k_of(queries))
+    pool = dense_pool(queries, chunks if vectors is None else vectors, pool_factor).withColumnRenamed(
+        "score", "dense_score")
     dense_range = pool.groupBy("query_id").agg(
         F.min("dense_score").alias("d_lo"), F.max("dense_score").alias("d_hi"))
-    head = rank_with_zeros(queries, matches, rows, 1 + pool_factor).drop("rank")
-
-    sparse_range = (
-        asked.select("query_id", "scope_id").join(corpus, "scope_id")
-        .join(matches.groupBy("query_id").agg(
-            F.min("score").alias("m_lo"), F.max("score").alias("m_hi"), F.count(F.lit(1)).alias("m_n")),
-            "query_id", "left")
-        .select("query_id",
-                _with_zero(F.least, "m_lo").alias("s_lo"), _with_zero(F.greatest, "m_hi").alias("s_hi"))
-    )
-    members = rows.select("scope_id", "chunk_id")
-    in_pool = (
-        pool.join(asked.select("query_id", "scope_id"), "query_id")
-        .join(members, ["scope_id", "chunk_id"])  # only chunks with a text have a sparse side
-        .join(matches.select("query_id", "chunk_id", "score"), ["query_id", "chunk_id"], "left")
-        .select("query_id", "chunk_id", F.coalesce("score", F.lit(0.0)).alias("score"))
-    )
-    sparse = head.select("query_id", "chunk_id", "score").unionByName(in_pool).dropDuplicates(
+    leg = SparseLeg(queries, chunks, 1 + pool_factor)
+    sparse_range = leg.ranges()
+    in_pool = leg.scores_of(pool, chunks, queries)
+    sparse = leg.ranked().select("query_id", "chunk_id", "score").unionByName(in_pool).dropDuplicates(
         ["query_id", "chunk_id"])
 
     dense_leg = pool.join(dense_range, "query_id").withColumn(
@@ -95,12 +78,6 @@ def hybrid_topk(queries: DataFrame, chunks: DataFrame, alpha: float = fv.HYBRID_
     )
 
 
-def _with_zero(pick, column: str) -> Column:
-    """A range bound over all chunks of a scope: unmatched chunks score 0."""
-    bound = F.when(F.col("m_n") < F.col("n_chunks"), pick(F.col(column), F.lit(0.0))).otherwise(F.col(column))
-    return F.coalesce(bound, F.lit(0.0))
-
-
 def rerank(ranked: DataFrame, texts: DataFrame, scorer) -> DataFrame:
     """Re-order already cut rows by a scorer of (query, text).
 

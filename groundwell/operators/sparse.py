@@ -8,7 +8,7 @@ the matches, not with the corpus.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
@@ -90,84 +90,141 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 def postings(queries: DataFrame, rows: DataFrame) -> DataFrame:
     """(scope_id, chunk_id, length, term, tf), only for terms that some query holds."""
+    return _tally_terms(_wanted_tokens(queries, rows))
+
+
+def _wanted_tokens(queries: DataFrame, rows: DataFrame) -> DataFrame:
     wanted = query_terms(queries).select("scope_id", "term").distinct()
+    return rows.select("scope_id", "chunk_id", "length", F.explode("tokens").alias("term")).join(
+        wanted, ["scope_id", "term"], "left_semi")
+
+
+def _tally_terms(tokens: DataFrame) -> DataFrame:
+    """Term frequencies per chunk.
+
+    The tokens of a chunk are brought together by one shuffle on the chunk, so
+    that counting terms here and summing scores later need no further one.
+    """
+    gathered = tokens.groupBy("scope_id", "chunk_id").agg(
+        F.max("length").alias("length"), F.collect_list("term").alias("terms"))
     return (
-        rows.select("scope_id", "chunk_id", "length", F.explode("tokens").alias("term"))
-        .join(wanted, ["scope_id", "term"], "left_semi")
+        gathered.select("scope_id", "chunk_id", "length", F.explode("terms").alias("term"))
         .groupBy("scope_id", "chunk_id", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
     )
 
 
-def bm25_matches(queries: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Scores of all (query, chunk) pairs that share a term, the corpus sizes, the rows."""
-    rows = token_rows(queries, chunks)
-    counts = term_counts(rows)
-    corpus = corpus_stats(counts)
-    asked = query_terms(queries)
-    # the term statistics ride on the query side, which is the small one
-    weighted = with_idf(asked.join(counts, ["scope_id", "term"]), corpus)
+def _weighted_terms(queries: DataFrame, counts: DataFrame, corpus: DataFrame) -> DataFrame:
+    """Query terms with idf and mean length: (query_id, scope_id, term, gain, mean_length)."""
+    joined = with_idf(query_terms(queries).join(counts, ["scope_id", "term"]), corpus)
+    return joined.select("query_id", "scope_id", "term", "mean_length",
+                         (F.col("weight") * F.col("idf") * (fv.BM25_K1 + 1)).alias("gain"))
+
+
+def _sum_scores(tallied: DataFrame, weighted: DataFrame) -> DataFrame:
     norm = fv.BM25_K1 * (1 - fv.BM25_B + fv.BM25_B * F.col("length") / F.col("mean_length"))
-    part = F.col("weight") * F.col("idf") * (F.col("tf") * (fv.BM25_K1 + 1) / (F.col("tf") + norm))
-    matches = (
-        postings(queries, rows).join(weighted, ["scope_id", "term"])
+    part = F.coalesce(F.col("gain") * F.col("tf") / (F.col("tf") + norm), F.lit(0.0))
+    return (
+        tallied.join(weighted, ["scope_id", "term"])
         .groupBy("query_id", "scope_id", "chunk_id")
         .agg(F.round(F.sum(part), SCORE_DIGITS).alias("score"))
     )
-    return matches, corpus, rows
 
 
 def bm25_score(queries: DataFrame, chunks: DataFrame) -> DataFrame:
     """(query_id, chunk_id, score) for every pair that shares a term; all other pairs score 0."""
-    return bm25_matches(queries, chunks)[0].select("query_id", "chunk_id", "score")
+    rows = token_rows(queries, chunks)
+    counts = term_counts(rows)
+    weighted = _weighted_terms(queries, counts, corpus_stats(counts))
+    return _sum_scores(postings(queries, rows), weighted).select("query_id", "chunk_id", "score")
 
 
-def _top_k(queries: DataFrame):
+def top_k_of(queries: DataFrame) -> Column:
     wanted = F.col("top_k") if "top_k" in queries.columns else F.lit(fv.DEFAULT_TOP_K)
-    return F.least(F.greatest(wanted, F.lit(1)), F.lit(fv.MAX_TOP_K)).cast("int")
+    return F.least(F.greatest(F.coalesce(wanted, F.lit(fv.DEFAULT_TOP_K)), F.lit(1)), F.lit(fv.MAX_TOP_K)).cast("int")
 
 
-def rank_with_zeros(queries: DataFrame, matches: DataFrame, rows: DataFrame, factor: int = 1) -> DataFrame:
-    """Best ``factor * top_k`` chunks per query, chunks without a match scoring 0.
+class SparseLeg:
+    """BM25 scores of all queries, with the zero-score chunks that may be needed.
 
-    Zero rows only matter where fewer than k chunks score above 0.  The k that
-    are then needed lie among the first 2k chunk ids of the scope, unless some
-    match scores below 0; that takes terms found in over half of the scope, and
-    such queries (whose matches already cover half of it) look at all ids.
+    A chunk without a match scores 0 and still ranks.  Fewer than k chunks
+    score above 0 only for some queries, and the zero rows they need lie among
+    the first 2k chunk ids of the scope.  Those chunks therefore carry the
+    empty term, which every query holds with no weight, and so come out of the
+    same sum with score 0 when nothing else matches.  Where the mean idf of a
+    scope is negative a match may score below 0 and zero rows may lie anywhere:
+    in such a scope every chunk carries the empty term.
     """
-    most = fv.MAX_TOP_K * factor
-    asked = with_scope(queries).select("query_id", "scope_id", (_top_k(queries) * factor).alias("pool"))
-    by_score = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
-    tally = matches.groupBy("query_id").agg(
-        F.count_if(F.col("score") > 0).alias("above"), F.count_if(F.col("score") < 0).alias("below"))
-    short = (
-        asked.join(tally, "query_id", "left")
-        .where(F.coalesce(F.col("above"), F.lit(0)) < F.col("pool"))
-        .select("query_id", "scope_id", "pool", (F.coalesce(F.col("below"), F.lit(0)) > 0).alias("deep"))
-    )
-    ids = rows.select("scope_id", "chunk_id")
-    by_id = Window.partitionBy("scope_id").orderBy("chunk_id")
-    first_ids = ids.withColumn("__i", F.row_number().over(by_id)).where(F.col("__i") <= 2 * most)
-    shallow = (
-        short.where(~F.col("deep")).join(first_ids, "scope_id")
-        .where(F.col("__i") <= 2 * F.col("pool")).select("query_id", "chunk_id")
-    )
-    deep = short.where("deep").join(ids, "scope_id").select("query_id", "chunk_id")
-    zeros = shallow.unionByName(deep).join(
-        matches.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
-    scored = matches.select("query_id", "chunk_id", "score").unionByName(
-        zeros.withColumn("score", F.lit(0.0)))
-    ranked = scored.withColumn("__n", F.row_number().over(by_score)).where(F.col("__n") <= most)
-    return (
-        ranked.join(asked.select("query_id", "pool"), "query_id").where(F.col("__n") <= F.col("pool"))
-        .select("query_id", "chunk_id", "score", (F.col("__n") - 1).alias("rank"))
-    )
+
+    def __init__(self, queries: DataFrame, chunks: DataFrame, factor: int = 1):
+        self.factor = factor
+        self.most = fv.MAX_TOP_K * factor
+        self.asked = with_scope(queries).select("query_id", "scope_id", (top_k_of(queries) * factor).alias("pool"))
+        self.rows = token_rows(queries, chunks)
+        counts = term_counts(self.rows)
+        self.corpus = corpus_stats(counts)
+        no_weight = self.asked.select(
+            "query_id", "scope_id", F.lit("").alias("term"), F.lit(None).cast("double").alias("mean_length"),
+            F.lit(0.0).alias("gain"))
+        self.weighted = _weighted_terms(queries, counts, self.corpus).unionByName(no_weight)
+        tokens = _wanted_tokens(queries, self.rows).select("scope_id", "chunk_id", "length", "term")
+        self.scores = _sum_scores(_tally_terms(tokens.unionByName(self._empty_terms())), self.weighted)
+
+    def _empty_terms(self) -> DataFrame:
+        ids = self.rows.select("scope_id", "chunk_id")
+        by_id = Window.partitionBy("scope_id").orderBy("chunk_id")
+        # the literal bound drops rows before the shuffle
+        first = ids.withColumn("__i", F.row_number().over(by_id)).where(F.col("__i") <= 2 * self.most)
+        deepest = self.asked.groupBy("scope_id").agg(F.max("pool").alias("pool"))
+        first = first.join(deepest, "scope_id").where(F.col("__i") <= 2 * F.col("pool"))
+        below = self.corpus.where(F.col("floor_idf") < 0).select("scope_id")
+        carriers = first.select("scope_id", "chunk_id").unionByName(
+            ids.join(below, "scope_id", "left_semi")).distinct()
+        return carriers.select(
+            "scope_id", "chunk_id", F.lit(None).cast("int").alias("length"), F.lit("").alias("term"))
+
+    def ranked(self) -> DataFrame:
+        """query_id, chunk_id, score, rank: the first ``factor * top_k`` of each query."""
+        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
+        limited = self.scores.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= self.most)
+        return (
+            limited.join(self.asked.select("query_id", "pool"), "query_id").where(F.col("__n") <= F.col("pool"))
+            .select("query_id", "chunk_id", "score", (F.col("__n") - 1).alias("rank"))
+        )
+
+    def ranges(self) -> DataFrame:
+        """query_id, s_lo, s_hi: score range of each query over its whole scope."""
+        seen = self.scores.groupBy("query_id").agg(
+            F.min("score").alias("lo"), F.max("score").alias("hi"), F.count(F.lit(1)).alias("n"))
+        sized = self.asked.select("query_id", "scope_id").join(
+            self.corpus.select("scope_id", "n_chunks"), "scope_id").join(seen, "query_id", "left")
+        partial = F.coalesce(F.col("n"), F.lit(0)) < F.col("n_chunks")
+
+        def bound(pick, column: str) -> Column:
+            return F.coalesce(F.when(partial, pick(F.col(column), F.lit(0.0))).otherwise(F.col(column)), F.lit(0.0))
+
+        return sized.select("query_id", bound(F.least, "lo").alias("s_lo"), bound(F.greatest, "hi").alias("s_hi"))
+
+    def scores_of(self, pairs: DataFrame, chunks: DataFrame, queries: DataFrame) -> DataFrame:
+        """Scores of given (query_id, chunk_id) pairs, reading only their chunks."""
+        few = chunks.join(pairs.select("chunk_id").distinct(), "chunk_id", "left_semi")
+        rows = token_rows(queries, few)
+        mine = pairs.select("query_id", "chunk_id").join(self.asked.select("query_id", "scope_id"), "query_id")
+        tf = _tally_terms(rows.select("scope_id", "chunk_id", "length", F.explode("tokens").alias("term")))
+        norm = fv.BM25_K1 * (1 - fv.BM25_B + fv.BM25_B * F.col("length") / F.col("mean_length"))
+        part = F.col("gain") * F.col("tf") / (F.col("tf") + norm)
+        found = (
+            mine.join(tf, ["scope_id", "chunk_id"]).join(self.weighted, ["query_id", "scope_id", "term"])
+            .groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), SCORE_DIGITS).alias("score"))
+        )
+        admitted = mine.join(rows.select("scope_id", "chunk_id"), ["scope_id", "chunk_id"])
+        return admitted.join(found, ["query_id", "chunk_id"], "left").select(
+            "query_id", "chunk_id", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
 def sparse_topk(queries: DataFrame, chunks: DataFrame) -> DataFrame:
-    """BM25 top-k per query: query_id, chunk_id, score, rank (0-based).
+    """BM25 top-k per query: query_id, chunk_id, score, rank (0-based), retriever.
 
     ``queries``: query_id, query, optionally top_k and filter.
     ``chunks``: chunk_id, text, and the filtered columns if filters are used.
     """
-    matches, _, rows = bm25_matches(queries, chunks)
-    return rank_with_zeros(queries, matches, rows).withColumn("retriever", F.lit("sparse"))
+    return SparseLeg(queries, chunks).ranked().withColumn("retriever", F.lit("sparse"))
