@@ -266,3 +266,28 @@ def chunk_files(files: DataFrame) -> DataFrame:
         definition_pieces(lines, spans))
     both = python.unionByName(rest)
     return _finish(both.select(*FILE_KEYS, "language", "chunk_type", F.explode(pieces).alias("p")), FILE_KEYS)
+
+
+def chunk_with(files: DataFrame, chunker) -> DataFrame:
+    """Chunks by a chunker of one's own.
+
+    ``chunker(text, file_path)`` returns (start_line, end_line, symbol, text)
+    tuples; a file it fails on becomes one whole-file chunk.
+    """
+
+    def cut(text: str, path: str) -> list[dict]:
+        try:
+            pieces = list(chunker(text, path))
+        except Exception:
+            pieces = [(1, max(1, len(text.splitlines())), None, text)]
+        return [{"start": s, "end": e, "symbol": name, "body": body} for s, e, name, body in pieces]
+
+    @F.pandas_udf(ArrayType(StructType([*SPAN.elementType.fields, StructField("body", StringType())])))
+    def run(texts: pd.Series, paths: pd.Series) -> pd.Series:
+        return pd.Series([cut(t, p) for t, p in zip(texts, paths)], dtype=object)
+
+    language = P.detect_language(F.col("file_path"))
+    typed = files.where(~T.is_blank(F.col("text"))).withColumn("language", language).withColumn(
+        "chunk_type", P.classify_chunk(F.col("language")))
+    pieces = typed.select(*FILE_KEYS, "language", "chunk_type", F.explode(run("text", "file_path")).alias("p"))
+    return _finish(pieces, FILE_KEYS)
