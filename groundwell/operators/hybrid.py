@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
+from ..session import settle
 from .dense import dense_pool, dense_topk
 from .scope import with_scope
 from .sparse import SparseLeg, sparse_topk, top_k_of
@@ -37,15 +38,16 @@ def hybrid_topk(queries: DataFrame, chunks: DataFrame, alpha: float = fv.HYBRID_
     ``vectors`` holds the embeddings when ``chunks`` does not.
     """
     asked = with_scope(queries).withColumn("top_k", top_k_of(queries))
-    pool = dense_pool(queries, chunks if vectors is None else vectors, pool_factor).withColumnRenamed(
-        "score", "dense_score")
+    # a bounded number of rows per query, read several times below
+    pool = settle(dense_pool(queries, chunks if vectors is None else vectors, pool_factor).withColumnRenamed(
+        "score", "dense_score"), "dense-pool")
     dense_range = pool.groupBy("query_id").agg(
         F.min("dense_score").alias("d_lo"), F.max("dense_score").alias("d_hi"))
     leg = SparseLeg(queries, chunks, 1 + pool_factor)
     sparse_range = leg.ranges()
-    in_pool = leg.scores_of(pool, chunks, queries)
-    sparse = leg.ranked().select("query_id", "chunk_id", "score").unionByName(in_pool).dropDuplicates(
-        ["query_id", "chunk_id"])
+    in_pool = leg.scores_of(pool, queries)
+    sparse = settle(leg.ranked().select("query_id", "chunk_id", "score").unionByName(in_pool).dropDuplicates(
+        ["query_id", "chunk_id"]), "sparse-pool")
 
     dense_leg = pool.join(dense_range, "query_id").withColumn(
         "norm", min_max_norm(F.col("dense_score"), F.col("d_lo"), F.col("d_hi")))

@@ -15,6 +15,7 @@ from .. import fixed_values as fv
 from ..functions import paths as P
 from ..functions import text as T
 from ..functions.coerce import coerce_str_list
+from ..session import settle
 
 FILTER = (
     "struct<repository_ids:array<string>,branch:string,file_types:array<string>,"
@@ -109,16 +110,17 @@ def scope_chunks(queries: DataFrame, chunks: DataFrame, keep: list[str]) -> Data
     )
     key = F.concat_ws("\u0002", "r", "b", "l", "c")
     shape = sum((F.when(F.col(n) != ANY, F.lit(1 << i)).otherwise(F.lit(0)) for i, n in enumerate("rblc")), F.lit(0))
-    filters = filters.select("scope_id", "__prefix", shape.alias("__shape"), key.alias("__key")).distinct()
-    shapes = filters.select("__shape").distinct()  # sixteen rows at the most
+    # written, so that Spark knows the true size when it plans the join
+    filters = settle(filters.select(
+        "scope_id", "__prefix", shape.cast("int").alias("__shape"), key.alias("__key")).distinct(), "scopes")
+    shapes = [r[0] for r in filters.select("__shape").distinct().collect()]  # sixteen at the most
 
     def part(bit: int, column: str) -> Column:
         on = F.col("__shape").bitwiseAND(F.lit(1 << bit)) != 0
         return F.when(on, F.coalesce(F.col(column), F.lit("\u0003"))).otherwise(F.lit(ANY))
 
     looked_up = (
-        chunks.withColumn("__shape", F.explode(F.sequence(F.lit(0), F.lit(15))))
-        .join(F.broadcast(shapes), "__shape", "left_semi")
+        chunks.withColumn("__shape", F.explode(F.array(*[F.lit(n) for n in shapes]).cast("array<int>")))
         .withColumn("__key", F.concat_ws("\u0002", part(0, "repository_id"), part(1, "branch"),
                                          part(2, "language"), part(3, "chunk_type")))
     )

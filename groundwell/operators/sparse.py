@@ -1,9 +1,11 @@
 """Sparse retrieval: BM25 over code-aware tokens, statistics per scope.
 
-Two plans read the text.  The statistics plan counts, per term, the chunks that
-hold it (partial aggregation before the only shuffle).  The scoring plan keeps
-just the postings of terms some query asks for, so what it shuffles grows with
-the matches, not with the corpus.
+The text is tokenised once into a token table (one row per chunk, no shuffle)
+that is written to the shared folder; everything after reads its columns.
+Term statistics need one shuffle of (term, count) rows.  Scoring keeps just the
+tokens some query asks for and shuffles those once, by chunk.  The query terms
+are written too, so that Spark knows their true size: it broadcasts them below
+its threshold and falls back to a shuffled join above it.
 """
 
 from __future__ import annotations
@@ -13,18 +15,32 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
 from ..functions import text as T
+from ..session import settle
 from .scope import scope_chunks, with_scope
 
 # sums of floats depend on row order; scores this close are ties
 SCORE_DIGITS = 9
 
 
+FILTERED = ["repository_id", "branch", "language", "chunk_type", "file_path"]
+
+
+def token_table(chunks: DataFrame) -> DataFrame:
+    """One row per chunk: chunk_id, tokens, length and the columns filters use.
+
+    Pass a stored token table instead of chunks wherever chunks are expected to
+    search the same corpus again.
+    """
+    if "tokens" in chunks.columns:
+        return chunks
+    keys = [c for c in FILTERED if c in chunks.columns]
+    tokens = T.code_tokens(F.coalesce(F.col("text"), F.lit("")))
+    return settle(chunks.select("chunk_id", *keys, tokens.alias("tokens")), "tokens")
+
+
 def token_rows(queries: DataFrame, chunks: DataFrame) -> DataFrame:
     """(scope_id, chunk_id, tokens, length) of every chunk a scope admits."""
-    filtered = "filter" in queries.columns
-    keys = ["repository_id", "branch", "language", "chunk_type", "file_path"] if filtered else []
-    tokens = chunks.select("chunk_id", *keys, T.code_tokens(F.coalesce(F.col("text"), F.lit(""))).alias("tokens"))
-    scoped = scope_chunks(queries, tokens, ["chunk_id", "tokens"])
+    scoped = scope_chunks(queries, token_table(chunks), ["chunk_id", "tokens"])
     return scoped.withColumn("length", F.size("tokens"))
 
 
@@ -74,7 +90,7 @@ def with_idf(counted: DataFrame, corpus: DataFrame) -> DataFrame:
 def bm25_stats(chunks: DataFrame, queries: DataFrame | None = None) -> DataFrame:
     """Term statistics of a corpus: scope_id, term, df, idf, n_chunks, mean_length."""
     rows = token_rows(chunks.select("chunk_id") if queries is None else queries, chunks)
-    counts = term_counts(rows)
+    counts = settle(term_counts(rows), "terms")
     return with_idf(counts.where(F.col("term") != ""), corpus_stats(counts)).select(
         "scope_id", "term", "df", "idf", "n_chunks", "mean_length")
 
@@ -90,11 +106,11 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 def postings(queries: DataFrame, rows: DataFrame) -> DataFrame:
     """(scope_id, chunk_id, length, term, tf), only for terms that some query holds."""
-    return _tally_terms(_wanted_tokens(queries, rows))
+    return _tally_terms(_wanted_tokens(query_terms(queries), rows))
 
 
-def _wanted_tokens(queries: DataFrame, rows: DataFrame) -> DataFrame:
-    wanted = query_terms(queries).select("scope_id", "term").distinct()
+def _wanted_tokens(terms: DataFrame, rows: DataFrame) -> DataFrame:
+    wanted = terms.select("scope_id", "term").distinct()
     return rows.select("scope_id", "chunk_id", "length", F.explode("tokens").alias("term")).join(
         wanted, ["scope_id", "term"], "left_semi")
 
@@ -133,9 +149,9 @@ def _sum_scores(tallied: DataFrame, weighted: DataFrame) -> DataFrame:
 def bm25_score(queries: DataFrame, chunks: DataFrame) -> DataFrame:
     """(query_id, chunk_id, score) for every pair that shares a term; all other pairs score 0."""
     rows = token_rows(queries, chunks)
-    counts = term_counts(rows)
-    weighted = _weighted_terms(queries, counts, corpus_stats(counts))
-    return _sum_scores(postings(queries, rows), weighted).select("query_id", "chunk_id", "score")
+    counts = settle(term_counts(rows), "terms")
+    weighted = settle(_weighted_terms(queries, counts, corpus_stats(counts)), "query-terms")
+    return _sum_scores(_tally_terms(_wanted_tokens(weighted, rows)), weighted).select("query_id", "chunk_id", "score")
 
 
 def top_k_of(queries: DataFrame) -> Column:
@@ -159,14 +175,16 @@ class SparseLeg:
         self.factor = factor
         self.most = fv.MAX_TOP_K * factor
         self.asked = with_scope(queries).select("query_id", "scope_id", (top_k_of(queries) * factor).alias("pool"))
-        self.rows = token_rows(queries, chunks)
-        counts = term_counts(self.rows)
-        self.corpus = corpus_stats(counts)
+        self.tokens = token_table(chunks)
+        self.rows = token_rows(queries, self.tokens)
+        counts = settle(term_counts(self.rows), "terms")
+        self.corpus = settle(corpus_stats(counts), "corpus")
         no_weight = self.asked.select(
             "query_id", "scope_id", F.lit("").alias("term"), F.lit(None).cast("double").alias("mean_length"),
             F.lit(0.0).alias("gain"))
-        self.weighted = _weighted_terms(queries, counts, self.corpus).unionByName(no_weight)
-        tokens = _wanted_tokens(queries, self.rows).select("scope_id", "chunk_id", "length", "term")
+        self.weighted = settle(
+            _weighted_terms(queries, counts, self.corpus).unionByName(no_weight), "query-terms")
+        tokens = _wanted_tokens(self.weighted, self.rows).select("scope_id", "chunk_id", "length", "term")
         self.scores = _sum_scores(_tally_terms(tokens.unionByName(self._empty_terms())), self.weighted)
 
     def _empty_terms(self) -> DataFrame:
@@ -204,9 +222,9 @@ class SparseLeg:
 
         return sized.select("query_id", bound(F.least, "lo").alias("s_lo"), bound(F.greatest, "hi").alias("s_hi"))
 
-    def scores_of(self, pairs: DataFrame, chunks: DataFrame, queries: DataFrame) -> DataFrame:
+    def scores_of(self, pairs: DataFrame, queries: DataFrame) -> DataFrame:
         """Scores of given (query_id, chunk_id) pairs, reading only their chunks."""
-        few = chunks.join(pairs.select("chunk_id").distinct(), "chunk_id", "left_semi")
+        few = self.tokens.join(pairs.select("chunk_id").distinct(), "chunk_id", "left_semi")
         rows = token_rows(queries, few)
         mine = pairs.select("query_id", "chunk_id").join(self.asked.select("query_id", "scope_id"), "query_id")
         tf = _tally_terms(rows.select("scope_id", "chunk_id", "length", F.explode("tokens").alias("term")))

@@ -27,6 +27,8 @@ def local_session(cores: str | int = "*", memory: str = "8g", name: str = "groun
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", "8")
+        # rows are heavy here: keep all cores busy even on small shuffles
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
     )
     for key, value in SETTINGS.items():
         builder = builder.config(key, value)
