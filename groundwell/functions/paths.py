@@ -165,8 +165,11 @@ def glob_regex(pattern: str) -> str:
         elif ch == "?":
             out.append(".")
         elif close > 0:
-            inner = pattern[i + 1 : close].replace("\\", "\\\\")
-            out.append("[" + ("^" + inner[1:] if inner.startswith("!") else inner) + "]")
+            inner = pattern[i + 1 : close]
+            negated, inner = inner.startswith("!"), inner.removeprefix("!")
+            for special in "\\[&^":
+                inner = inner.replace(special, "\\" + special)
+            out.append("[" + ("^" if negated else "") + inner + "]")
             i = close
         else:
             out.append("\\" + ch if not ch.isalnum() and ch != "_" else ch)

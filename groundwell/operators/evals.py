@@ -10,8 +10,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .. import fixed_values as fv
 from ..functions import coerce as C
@@ -315,9 +317,6 @@ def heuristic_judge(responses: DataFrame) -> DataFrame:
 
 def judge_model(model: Callable) -> Callable[..., Column]:
     """A judge plug-in: ``model`` maps Series of question, evidence, answer to raw replies; failures give NULL."""
-    import pandas as pd
-    from pyspark.sql.types import StringType
-
     @F.pandas_udf(StringType())
     def ask(question: pd.Series, evidence: pd.Series, answer: pd.Series) -> pd.Series:
         try:

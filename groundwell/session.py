@@ -18,7 +18,8 @@ SETTINGS = {
 }
 
 
-def local_session(cores: str | int = "*", memory: str = "8g", name: str = "groundwell") -> SparkSession:
+def local_session(cores: str | int = "*", memory: str = "8g", name: str = "groundwell",
+                  shared: str | None = None) -> SparkSession:
     """A session on this machine, for tests and the bench."""
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
@@ -30,6 +31,8 @@ def local_session(cores: str | int = "*", memory: str = "8g", name: str = "groun
         # rows are heavy here: keep all cores busy even on small shuffles
         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
     )
+    if shared:
+        builder = builder.config("spark.checkpoint.dir", shared)
     for key, value in SETTINGS.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,11 +28,68 @@ def scan_repo_files(spark: SparkSession, root: str, prefixes: list[str] | None =
     after_root = F.substring_index(F.col("path"), folder + "/", -1)
     files = found.select(
         after_root.alias("file_path"), "length", F.col("modificationTime").alias("modified"), "content")
-    return files.where(
+    every = files.unionByName(_underscored_files(spark, base))
+    return every.where(
         ~P.in_skipped_dir(F.col("file_path"), fv.EXCLUDE_DIRS)
         & P.scope_paths(F.col("file_path"), prefixes or []))
 
 
+_FILE = "file_path string, length bigint, modified timestamp, content binary"
+
+
+def _underscored_files(spark: SparkSession, base: str) -> DataFrame:
+    """Files Spark's own listing passes over: ``__init__.py`` and other ``_`` or ``.`` names.
+
+    The folders right below the root are walked in parallel tasks; only files
+    of a size that can be indexed are opened, in the task that lists them.
+    """
+    filesystem, top = _open_fs(base)
+    from pyarrow.fs import FileSelector, FileType
+
+    entries = filesystem.get_file_info(FileSelector(top, recursive=False))
+    seeds = [(base, e.base_name) for e in entries if e.type == FileType.Directory] + [(base, "")]
+    frame = spark.createDataFrame(seeds, "base string, folder string").repartition(
+        min(len(seeds), 4 * spark.sparkContext.defaultParallelism), "folder")
+    return frame.mapInPandas(_walk_underscored, _FILE)
+
+
+def _open_fs(base: str):
+    from pyarrow.fs import FileSystem
+
+    return FileSystem.from_uri(base if "://" in base or base.startswith("/") else os.path.abspath(base))
+
+
+def _walk_underscored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    from pyarrow.fs import FileSelector, FileType
+
+    for batch in batches:
+        for base, folder in zip(batch["base"], batch["folder"]):
+            filesystem, top = _open_fs(base)
+            start = f"{top}/{folder}" if folder else top
+            held = []
+            for info in filesystem.get_file_info(FileSelector(start, recursive=bool(folder))):
+                relative = info.path[len(top) + 1 :]
+                parts = relative.split("/")
+                hidden = any(p[:1] in ("_", ".") for p in parts) and not any(
+                    p in fv.EXCLUDE_DIRS or p.startswith(".git") for p in parts[:-1])
+                if info.type != FileType.File or not hidden:
+                    continue
+                content = None
+                if 0 < info.size <= fv.MAX_FILE_BYTES:
+                    with filesystem.open_input_stream(info.path) as stream:
+                        content = stream.read()
+                held.append((relative, info.size, info.mtime, content))
+                if len(held) >= 500:
+                    yield _file_frame(held)
+                    held = []
+            if held:
+                yield _file_frame(held)
+
+
+def _file_frame(rows: list) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=["file_path", "length", "modified", "content"])
+
+
 def decode_lenient(content: Column) -> Column:
     """UTF-8 text with invalid bytes dropped; a genuine U+FFFD survives."""
     raw = content.cast("string")
