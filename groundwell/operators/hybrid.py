@@ -28,7 +28,8 @@ def fuse_legs(dense: DataFrame, sparse: DataFrame, alpha: float = fv.HYBRID_ALPH
 
 
 def hybrid_topk(queries: DataFrame, chunks: DataFrame, alpha: float = fv.HYBRID_ALPHA,
-                pool_factor: int = fv.DENSE_POOL_FACTOR, vectors: DataFrame | None = None) -> DataFrame:
+                pool_factor: int = fv.DENSE_POOL_FACTOR, vectors: DataFrame | None = None,
+                **options) -> DataFrame:
     """Weighted fusion top-k: query_id, chunk_id, score, rank, retriever.
 
     The dense leg is normalised over its pool, the sparse leg over the whole
@@ -43,9 +44,9 @@ def hybrid_topk(queries: DataFrame, chunks: DataFrame, alpha: float = fv.HYBRID_
         "score", "dense_score"), "dense-pool")
     dense_range = pool.groupBy("query_id").agg(
         F.min("dense_score").alias("d_lo"), F.max("dense_score").alias("d_hi"))
-    leg = SparseLeg(queries, chunks, 1 + pool_factor)
+    leg = SparseLeg(queries, chunks, 1 + pool_factor, pool.select("query_id", "chunk_id"), **options)
     sparse_range = leg.ranges()
-    in_pool = leg.scores_of(pool, queries)
+    in_pool = leg.pair_scores()
     sparse = settle(leg.ranked().select("query_id", "chunk_id", "score").unionByName(in_pool).dropDuplicates(
         ["query_id", "chunk_id"]), "sparse-pool")
 

@@ -17,9 +17,12 @@ from .. import fixed_values as fv
 from ..functions import text as T
 from ..session import settle
 from .scope import scope_chunks, with_scope
+from .sparse_scan import FOUND, pack_terms, scan
 
 # sums of floats depend on row order; scores this close are ties
 SCORE_DIGITS = 9
+# rows of each query-side table that may be sent to every task
+MAX_SHIPPED_ROWS = 500_000
 
 
 FILTERED = ["repository_id", "branch", "language", "chunk_type", "file_path"]
@@ -169,23 +172,53 @@ class SparseLeg:
     same sum with score 0 when nothing else matches.  Where the mean idf of a
     scope is negative a match may score below 0 and zero rows may lie anywhere:
     in such a scope every chunk carries the empty term.
+
+    While queries and terms are few enough to be sent to every task, the tasks
+    that read the token table score it in place and nothing is shuffled but the
+    best rows.  Beyond that, terms and tokens are joined.
+
+    ``pairs`` (query_id, chunk_id) names chunks whose scores are wanted too.
     """
 
-    def __init__(self, queries: DataFrame, chunks: DataFrame, factor: int = 1):
+    def __init__(self, queries: DataFrame, chunks: DataFrame, factor: int = 1, pairs: DataFrame | None = None,
+                 max_shipped: int = MAX_SHIPPED_ROWS):
         self.factor = factor
         self.most = fv.MAX_TOP_K * factor
+        self.queries = queries
+        self.pairs = pairs
         self.asked = with_scope(queries).select("query_id", "scope_id", (top_k_of(queries) * factor).alias("pool"))
         self.tokens = token_table(chunks)
         self.rows = token_rows(queries, self.tokens)
         counts = settle(term_counts(self.rows), "terms")
         self.corpus = settle(corpus_stats(counts), "corpus")
+        self.weighted = settle(_weighted_terms(queries, counts, self.corpus), "query-terms")
+        self.found = self._scan(max_shipped)
+
+    def _scan(self, max_shipped: int) -> DataFrame | None:
+        """Best rows, ranges and pair scores out of one pass, if its inputs may be shipped."""
+        shipped = []
+        for frame in (self.asked, self.weighted, self.pairs):
+            # never more rows than may be shipped reach the driver
+            rows = None if frame is None else frame.limit(max_shipped + 1).toPandas()
+            if rows is not None and len(rows) > max_shipped:
+                return None
+            shipped.append(rows)
+        asked, weighted, pairs = shipped
+        if not len(asked) or asked["pool"].sum() > max_shipped:
+            return None
+        terms = self.asked.sparkSession.sparkContext.broadcast(pack_terms(asked, weighted, pairs))
+        rows = self.rows.select("scope_id", "chunk_id", "tokens")
+        return settle(rows.mapInPandas(lambda batches: scan(terms.value, batches), FOUND), "sparse-found")
+
+    @property
+    def scores(self) -> DataFrame:
+        """Scores by joining tokens with query terms: the plan for any number of queries."""
         no_weight = self.asked.select(
             "query_id", "scope_id", F.lit("").alias("term"), F.lit(None).cast("double").alias("mean_length"),
             F.lit(0.0).alias("gain"))
-        self.weighted = settle(
-            _weighted_terms(queries, counts, self.corpus).unionByName(no_weight), "query-terms")
-        tokens = _wanted_tokens(self.weighted, self.rows).select("scope_id", "chunk_id", "length", "term")
-        self.scores = _sum_scores(_tally_terms(tokens.unionByName(self._empty_terms())), self.weighted)
+        weighted = self.weighted.unionByName(no_weight)
+        tokens = _wanted_tokens(weighted, self.rows).select("scope_id", "chunk_id", "length", "term")
+        return _sum_scores(_tally_terms(tokens.unionByName(self._empty_terms())), weighted)
 
     def _empty_terms(self) -> DataFrame:
         ids = self.rows.select("scope_id", "chunk_id")
@@ -203,7 +236,8 @@ class SparseLeg:
     def ranked(self) -> DataFrame:
         """query_id, chunk_id, score, rank: the first ``factor * top_k`` of each query."""
         order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
-        limited = self.scores.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= self.most)
+        scores = self.scores if self.found is None else self.found.where(F.col("kind") == "best")
+        limited = scores.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= self.most)
         return (
             limited.join(self.asked.select("query_id", "pool"), "query_id").where(F.col("__n") <= F.col("pool"))
             .select("query_id", "chunk_id", "score", (F.col("__n") - 1).alias("rank"))
@@ -211,6 +245,9 @@ class SparseLeg:
 
     def ranges(self) -> DataFrame:
         """query_id, s_lo, s_hi: score range of each query over its whole scope."""
+        if self.found is not None:
+            return self.found.where(F.col("kind") == "range").groupBy("query_id").agg(
+                F.min("score").alias("s_lo"), F.max("hi").alias("s_hi"))
         seen = self.scores.groupBy("query_id").agg(
             F.min("score").alias("lo"), F.max("score").alias("hi"), F.count(F.lit(1)).alias("n"))
         sized = self.asked.select("query_id", "scope_id").join(
@@ -222,8 +259,12 @@ class SparseLeg:
 
         return sized.select("query_id", bound(F.least, "lo").alias("s_lo"), bound(F.greatest, "hi").alias("s_hi"))
 
-    def scores_of(self, pairs: DataFrame, queries: DataFrame) -> DataFrame:
-        """Scores of given (query_id, chunk_id) pairs, reading only their chunks."""
+    def pair_scores(self) -> DataFrame:
+        """Scores of the given pairs that lie in the scope of their query."""
+        if self.found is not None:
+            return self.found.where(F.col("kind") == "pair").select("query_id", "chunk_id", "score")
+        pairs, queries = self.pairs, self.queries
+        # only the chunks named are read
         few = self.tokens.join(pairs.select("chunk_id").distinct(), "chunk_id", "left_semi")
         rows = token_rows(queries, few)
         mine = pairs.select("query_id", "chunk_id").join(self.asked.select("query_id", "scope_id"), "query_id")
@@ -239,10 +280,10 @@ class SparseLeg:
             "query_id", "chunk_id", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
-def sparse_topk(queries: DataFrame, chunks: DataFrame) -> DataFrame:
+def sparse_topk(queries: DataFrame, chunks: DataFrame, **options) -> DataFrame:
     """BM25 top-k per query: query_id, chunk_id, score, rank (0-based), retriever.
 
     ``queries``: query_id, query, optionally top_k and filter.
     ``chunks``: chunk_id, text, and the filtered columns if filters are used.
     """
-    return SparseLeg(queries, chunks).ranked().withColumn("retriever", F.lit("sparse"))
+    return SparseLeg(queries, chunks, **options).ranked().withColumn("retriever", F.lit("sparse"))

@@ -1,0 +1,138 @@
+"""BM25 inside the tasks that read the token table.
+
+Used when the weighted query terms are few enough to be sent to every task.
+A task turns its rows into (chunk, term) counts, multiplies them with the query
+terms and keeps, per query, the best chunks and the range of scores.  What
+leaves a task is bounded by queries x pool, however common the terms are.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pandas as pd
+
+from .. import fixed_values as fv
+
+SCORE_DIGITS = 9
+# chunks x queries scored at a time
+MATRIX_CELLS = 4_000_000
+
+FOUND = "kind string, query_id string, chunk_id string, score double, hi double"
+
+
+@dataclass
+class ScopeTerms:
+    """The queries of one scope as a sparse matrix, one row per term."""
+
+    queries: np.ndarray
+    pools: np.ndarray
+    terms: pd.Index
+    starts: np.ndarray
+    counts: np.ndarray
+    query: np.ndarray
+    gain: np.ndarray
+    mean_length: float
+    pairs: pd.DataFrame | None
+
+
+def pack_terms(asked: pd.DataFrame, weighted: pd.DataFrame, pairs: pd.DataFrame | None) -> dict[str, ScopeTerms]:
+    """Group queries, their terms and the pairs asked for by scope."""
+    out = {}
+    terms_of = dict(tuple(weighted.groupby("scope_id")))
+    for scope, queries in asked.groupby("scope_id"):
+        ids = queries["query_id"].to_numpy()
+        place = pd.Index(ids)
+        mine = terms_of.get(scope, weighted.iloc[:0]).sort_values("term")
+        terms, starts, counts = np.unique(mine["term"].to_numpy(dtype=object).astype(str), return_index=True, return_counts=True)
+        wanted = None
+        if pairs is not None:
+            wanted = pairs[pairs["query_id"].isin(ids)]
+            wanted = pd.DataFrame({"q": place.get_indexer(wanted["query_id"]), "chunk_id": wanted["chunk_id"].to_numpy()})
+        out[scope] = ScopeTerms(
+            ids, queries["pool"].to_numpy(), pd.Index(terms.astype(object)), starts, counts,
+            place.get_indexer(mine["query_id"]), mine["gain"].to_numpy(dtype=float),
+            float(mine["mean_length"].iloc[0]) if len(mine) else 1.0, wanted)
+    return out
+
+
+def _score(part: pd.DataFrame, scope: ScopeTerms) -> np.ndarray:
+    """Scores of all chunks of a batch for all queries of the scope; 0 without a match."""
+    n, q = len(part), len(scope.queries)
+    lengths = part["tokens"].map(len).to_numpy()
+    if lengths.sum() == 0 or len(scope.terms) == 0:
+        return np.zeros((n, q))
+    code = scope.terms.get_indexer(np.concatenate(part["tokens"].to_numpy()))
+    chunk = np.repeat(np.arange(n), lengths)[code >= 0]
+    cell, tf = np.unique(chunk * len(scope.terms) + code[code >= 0], return_counts=True)
+    chunk, code = np.divmod(cell, len(scope.terms))
+    norm = fv.BM25_K1 * (1 - fv.BM25_B + fv.BM25_B * lengths[chunk] / scope.mean_length)
+    part_score = tf / (tf + norm)
+    # every posting meets the queries that hold its term
+    fan = scope.counts[code]
+    first = np.repeat(scope.starts[code] - np.concatenate(([0], np.cumsum(fan)[:-1])), fan)
+    entry = first + np.arange(fan.sum())
+    target = np.repeat(chunk, fan) * q + scope.query[entry]
+    total = np.bincount(target, np.repeat(part_score, fan) * scope.gain[entry], minlength=n * q)
+    return np.round(total, SCORE_DIGITS).reshape(n, q)
+
+
+def _best_rows(scores: np.ndarray, pools: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, query) of the best rows per query; rows are in id order, so ties are too."""
+    n = scores.shape[0]
+    keep = np.ones_like(scores, dtype=bool)
+    if n > pools.max():
+        falling = -np.sort(-scores, axis=0)
+        cut = falling[np.minimum(pools, n) - 1, np.arange(len(pools))]
+        above, level = scores > cut, scores == cut
+        keep = above | (level & (np.cumsum(level, axis=0) <= pools - above.sum(axis=0)))
+    return np.nonzero(keep)
+
+
+def _held_best(frames: list[pd.DataFrame]) -> pd.DataFrame:
+    frame = pd.concat(frames).sort_values(["query_id", "score", "chunk_id"], ascending=[True, False, True])
+    return frame[frame.groupby("query_id").cumcount() < frame["pool"]]
+
+
+def scan(scopes: dict[str, ScopeTerms], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    held: list[pd.DataFrame] = []
+    ranges: dict[str, tuple[float, float]] = {}
+    for batch in batches:
+        for name, rows in batch.groupby("scope_id", sort=False):
+            scope = scopes.get(name)
+            if scope is None:
+                continue
+            rows = rows.sort_values("chunk_id")
+            step = max(1, MATRIX_CELLS // len(scope.queries))
+            for at in range(0, len(rows), step):
+                part = rows.iloc[at : at + step]
+                ids = part["chunk_id"].to_numpy()
+                scores = _score(part, scope)
+                for q, lo, hi in zip(scope.queries, scores.min(axis=0), scores.max(axis=0)):
+                    old = ranges.get(q, (lo, hi))
+                    ranges[q] = (min(old[0], lo), max(old[1], hi))
+                r, q = _best_rows(scores, scope.pools)
+                held.append(pd.DataFrame({
+                    "query_id": scope.queries[q], "chunk_id": ids[r], "score": scores[r, q], "pool": scope.pools[q]}))
+                if scope.pairs is not None:
+                    here = scope.pairs.merge(pd.DataFrame({"chunk_id": ids, "r": np.arange(len(ids))}), on="chunk_id")
+                    if len(here):
+                        yield _rows("pair", scope.queries[here["q"]], here["chunk_id"], scores[here["r"], here["q"]])
+        if len(held) > 8:
+            held = [_held_best(held)]
+    if held:
+        best = _held_best(held)
+        yield _rows("best", best["query_id"], best["chunk_id"], best["score"])
+    if ranges:
+        lo, hi = zip(*ranges.values())
+        yield _rows("range", list(ranges), None, list(lo), list(hi))
+
+
+def _rows(kind: str, query_id, chunk_id, score, hi=None) -> pd.DataFrame:
+    frame = pd.DataFrame({"query_id": np.asarray(query_id, dtype=object), "score": np.asarray(score, dtype=float)})
+    frame["chunk_id"] = None if chunk_id is None else np.asarray(chunk_id, dtype=object)
+    frame["hi"] = np.nan if hi is None else hi
+    frame["kind"] = kind
+    return frame[["kind", "query_id", "chunk_id", "score", "hi"]]

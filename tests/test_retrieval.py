@@ -64,10 +64,10 @@ def same(got, want):
 QUERIES = {"q1": "transfer amount transfer", "q2": "nothingmatches", "q3": "the", "q4": "load balance ledger", "q5": ""}
 
 
-@pytest.mark.parametrize("k", [2, 5, 50])
-def test_sparse_equals_formula(spark, k):
+@pytest.mark.parametrize("k,options", [(2, {}), (5, {"max_shipped": 0}), (50, {})])
+def test_sparse_equals_formula(spark, k, options):
     queries = spark.createDataFrame([(q, t, k) for q, t in QUERIES.items()], "query_id string, query string, top_k int")
-    got = by_query(B.sparse_topk(queries, chunk_frame(spark)))
+    got = by_query(B.sparse_topk(queries, chunk_frame(spark), **options))
     for q, text in QUERIES.items():
         same(got[q], top(bm25(text, TEXTS), k))
 
@@ -79,11 +79,12 @@ def test_sparse_equals_formula(spark, k):
     {"c": "x q", "b": "x q", "a": "x q", "d": "x w", "e": "x w q"},
     {"a": "", "b": "!!"},
 ])
-def test_sparse_with_negative_idf(spark, texts):
+@pytest.mark.parametrize("options", [{}, {"max_shipped": 0}])
+def test_sparse_with_negative_idf(spark, texts, options):
     asked = {"q1": "x", "q2": "y z", "q3": "w q x"}
     queries = spark.createDataFrame([(q, t, k, f"{q}-{k}") for q, t in asked.items() for k in (1, 2, 9)], "q string, query string, top_k int, query_id string")
     chunks = spark.createDataFrame(list(texts.items()), "chunk_id string, text string")
-    got = by_query(B.sparse_topk(queries, chunks))
+    got = by_query(B.sparse_topk(queries, chunks, **options))
     for r in queries.collect():
         empty = not any(bag(t) for t in texts.values())
         want = {i: 0.0 for i in texts} if empty else bm25(r["query"], texts)
@@ -115,9 +116,10 @@ def test_scopes_and_filtered_statistics(spark):
         paired.setdefault(r.query_id, set()).add(r.chunk_id)
     want = {q: {r.chunk_id for r in rows if admitted(f, r)} for q, f in FILTERS.items()}
     assert paired == {q: v for q, v in want.items() if v}
-    got = by_query(B.sparse_topk(queries, chunks))
-    assert "q5" not in got
-    for q in ("q1", "q2", "q3", "q4"):
+    for options in ({}, {"max_shipped": 0}):
+      got = by_query(B.sparse_topk(queries, chunks, **options))
+      assert "q5" not in got
+      for q in ("q1", "q2", "q3", "q4"):
         same(got[q], top(bm25("ledger transfer the", {i: TEXTS[i] for i in want[q]}), 3))
 
 
@@ -158,14 +160,14 @@ def norm(scores):
     return {i: (s - lo) / (hi - lo) for i, s in scores.items()}
 
 
-@pytest.mark.parametrize("k", [1, 3])
-def test_hybrid_equals_formula(spark, k):
+@pytest.mark.parametrize("k,options", [(1, {}), (3, {}), (2, {"max_shipped": 0})])
+def test_hybrid_equals_formula(spark, k, options):
     model = E.hash_model(32)
     vec = {i: np.asarray(v) for i, v in zip(TEXTS, model(list(TEXTS.values())))}
     chunks = E.embed_documents(chunk_frame(spark), "hash-32")
     queries = E.embed_documents(spark.createDataFrame([(q, t, k) for q, t in QUERIES.items()], "query_id string, query string, top_k int"),
                                 "hash-32", "query", "query_vec")
-    got = by_query(H.hybrid_topk(queries, chunks))
+    got = by_query(H.hybrid_topk(queries, chunks, **options))
     for q, text in QUERIES.items():
         qv = np.asarray(model([text])[0]).astype(np.float32).astype(float)
         cos = {i: round(float(v.astype(np.float32).astype(float) @ qv / (np.linalg.norm(v.astype(np.float32).astype(float)) * np.linalg.norm(qv))), 9) for i, v in vec.items()}
