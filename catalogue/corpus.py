@@ -266,8 +266,8 @@ vecs AS (SELECT doc_id, i, sum(c * CAST(v AS DOUBLE)) AS v FROM wc JOIN dims USI
 norms AS (SELECT doc_id, sqrt(sum(v * v)) AS n FROM vecs GROUP BY 1)"""
 
 
-@register("embed_documents", f"WITH {_HASHED} SELECT doc_id, CAST(i AS BIGINT) AS dim, round(CASE WHEN n = 0 THEN 0 ELSE v / n END, 4) AS value FROM vecs JOIN norms USING (doc_id)")
+@register("embed_documents", f"WITH {_HASHED} SELECT doc_id, CAST(i AS BIGINT) AS dim, round(CASE WHEN n = 0 THEN 0 ELSE v / n END, 3) AS value FROM vecs JOIN norms USING (doc_id)")
 def embed_documents(spark, sf):
     out = E.embed_documents(I.documents(spark, sf).select("doc_id", "text"), "hash-32")
     return out.select("doc_id", F.posexplode("embedding").alias("dim", "value")).select(
-        "doc_id", F.col("dim").cast("bigint").alias("dim"), F.round(F.col("value").cast("double"), 4).alias("value"))
+        "doc_id", F.col("dim").cast("bigint").alias("dim"), F.round(F.col("value").cast("double"), 3).alias("value"))
