@@ -53,13 +53,16 @@ def span_share(traces: DataFrame) -> DataFrame:
 def merge_scores_onto_traces(traces: DataFrame, scores: DataFrame) -> DataFrame:
     """Evaluation scores overwrite the same names on the trace and add ``overall``.
 
-    ``scores``: trace_id, metric, score.  Needs the LAST_WIN map policy.
+    ``scores``: trace_id, metric, score.
     """
     pairs = scores.groupBy(F.col("trace_id").alias("id")).agg(
         F.map_from_entries(F.collect_list(F.struct("metric", F.round("score", 4)))).alias("__new"),
         F.round(F.avg("score"), 4).alias("__overall"))
     added = F.map_concat(F.col("__new"), F.create_map(F.lit("overall"), F.col("__overall")))
-    merged = F.map_concat(F.coalesce("scores", F.create_map().cast("map<string,double>")), added)
+    kept = F.map_filter(
+        F.coalesce("scores", F.create_map().cast("map<string,double>")),
+        lambda name, _: ~F.map_contains_key(F.col("__new"), name) & (name != "overall"))
+    merged = F.map_concat(kept, added)
     return traces.join(pairs, "id", "left").withColumn(
         "scores", F.when(F.col("__new").isNotNull(), merged).otherwise(F.col("scores"))).drop("__new", "__overall")
 

@@ -13,8 +13,6 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # merging score maps: the later value of a key wins
-    "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
 }
 
 

@@ -7,7 +7,7 @@ import __spark_entry__ as entry
 from checks.compare import TABLES, rows_of
 
 SF = "/root/testdata/sf0.001"
-SAMPLE = ["code_tokens", "chunk_files", "dense_topk", "merge_evidence", "pack_context", "score_all", "repo_status", "static_report", "unique_slug"]
+SAMPLE = ["code_tokens", "chunk_files", "dense_topk", "merge_evidence", "pack_context", "score_all", "repo_status", "merge_scores_onto_traces", "static_report", "unique_slug"]
 
 
 def test_names_match():
