@@ -6,14 +6,24 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from groundwell.llm.common import documents
+from groundwell.llm.decontaminate import contamination
 from groundwell.llm.exact_dedup import exact_duplicates
+from groundwell.llm.simhash import simhash_groups
 from groundwell.llm.token_binary import token_files
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_groups(documents(spark, sf_dir))
+
+
 def op4_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(documents(spark, sf_dir))
 
@@ -28,7 +38,9 @@ FROM d
 """
 
 QUERIES = {
+    "op3_simhash": op3_simhash,
     "op4_token_binary": op4_token_binary,
+    "op5_decontaminate": op5_decontaminate,
     "op6_exact_dedup": op6_exact_dedup,
 }
 SQL = {
