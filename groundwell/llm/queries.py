@@ -8,10 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from groundwell.llm.common import documents
 from groundwell.llm.decontaminate import contamination
 from groundwell.llm.exact_dedup import exact_duplicates
+from groundwell.llm.language_id import identify
+from groundwell.llm.mixing import mix_sources
 from groundwell.llm.simhash import simhash_groups
 from groundwell.llm.token_binary import token_files
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(documents(spark, sf_dir))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(documents(spark, sf_dir))
 
@@ -28,6 +34,10 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(documents(spark, sf_dir))
 
 
+def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(documents(spark, sf_dir))
+
+
 OP6_SQL = """
 WITH d AS (
   SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
@@ -38,10 +48,12 @@ FROM d
 """
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op3_simhash": op3_simhash,
     "op4_token_binary": op4_token_binary,
     "op5_decontaminate": op5_decontaminate,
     "op6_exact_dedup": op6_exact_dedup,
+    "op8_mix_sources": op8_mix_sources,
 }
 SQL = {
     "op6_exact_dedup": OP6_SQL,
