@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from groundwell.llm import golay
@@ -33,7 +33,7 @@ BITS = 4
 SHINGLE = 4
 AT_ONCE = 1 << 15  # shingles whose bits are counted at once
 SMALL_BUCKET = 16
-FINGERPRINTS = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+FINGERPRINTS = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("fp", pa.int64())])
 KEYS = pa.schema([("key", pa.int64()), ("fp", pa.int64())])
 LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -58,16 +58,24 @@ def fingerprint(text: bytes, words_each: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, words_each: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp) of every whole text; a null text is empty, and its fingerprint 0."""
+    """(doc_id, key, fp) of every whole text; a null text is empty, and its fingerprint 0.
+
+    ``key`` tells rows apart that share a doc_id but not a text.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([fingerprint(t, words_each) for t in utf8(batch.column("text"))], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view(np.int64))],
-                                             schema=FINGERPRINTS)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("key"), pa.array(found.view(np.int64))], schema=FINGERPRINTS)
+
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _key().alias("key"), text.alias("text"))
+    return rows.mapInArrow(run, "doc_id long, key long, fp long")
+
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+def _key() -> Column:
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
 
 
 def keys_of(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -172,6 +180,14 @@ def fingerprint_links(distinct: DataFrame, bits: int = BITS) -> DataFrame:
     return met.mapInArrow(_links(bits), "a long, b long").distinct()
 
 
+def _rooted(marked: DataFrame, bits: int) -> DataFrame:
+    """(fp, root) of every distinct fingerprint of ``marked``: root is the same throughout a component."""
+    distinct = settle(marked.select("fp").distinct(), "distinct-fingerprints")
+    roots = components(fingerprint_links(distinct, bits))
+    return distinct.join(roots, distinct.fp == roots.node, "left").select(
+        "fp", F.coalesce("root", "fp").alias("root"))
+
+
 def simhash_groups(docs: DataFrame, bits: int = BITS, words_each: int = SHINGLE) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id that can be reached) for every row.
 
@@ -180,11 +196,27 @@ def simhash_groups(docs: DataFrame, bits: int = BITS, words_each: int = SHINGLE)
     unless its component has no other.  Other columns are not looked at.  No rows give no rows.
     """
     marked = settle(fingerprints(docs, words_each), "fingerprints")
-    distinct = settle(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
-    roots = components(fingerprint_links(distinct, bits))
-    joined = distinct.join(roots, distinct.fp == roots.node, "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    labelled = joined.join(least, "root").select("fp", "component_id")
+    rooted = settle(_rooted(marked, bits), "rooted")
+    per_fp = marked.groupBy("fp").agg(F.min("doc_id").alias("least")).join(rooted, "fp")
+    least = per_fp.groupBy("root").agg(F.min("least").alias("component_id"))
+    labelled = rooted.join(least, "root").select("fp", "component_id")
     return marked.join(labelled, "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def near_duplicates(docs: DataFrame, bits: int = BITS, words_each: int = SHINGLE) -> DataFrame:
+    """``docs`` with one row of each component: the smallest doc_id, a null one last, any of repeated rows.
+
+    All columns are returned.  Of rows that share doc_id and text but differ elsewhere, any one stays.
+    """
+    marked = settle(fingerprints(docs, words_each), "fingerprints")
+    rooted = settle(_rooted(marked, bits), "rooted")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")
+    per_fp = marked.groupBy("fp").agg(F.min(order).alias("first")).join(rooted, "fp")
+    kept = settle(per_fp.groupBy("root").agg(F.min("first").alias("first")).select(
+        F.col("first.key").alias("_kept")), "kept")
+    repeated = marked.join(kept, marked.key == kept._kept, "left_semi").groupBy("key").count().where("count > 1")
+    chosen = docs.withColumn("_row_key", _key()).join(kept, F.col("_row_key") == F.col("_kept"), "left_semi")
+    if not repeated.isEmpty():
+        chosen = chosen.dropDuplicates(["_row_key"])
+    return chosen.select(*docs.columns)
