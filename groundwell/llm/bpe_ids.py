@@ -10,9 +10,12 @@ from __future__ import annotations
 import os
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-REMEMBERED = 400_000  # stretches kept by one worker; the memory is emptied when full
+REMEMBERED = 300_000  # stretches in each of a worker's two memories
 JOINED = 1_000  # stretches that are encoded in one call
+ENDINGS = ".,"  # a stretch of letters that ends in these is encoded without them
 
 
 class WordMemo:
@@ -25,23 +28,18 @@ class WordMemo:
         size = self.tokenizer.get_vocab_size()
         self.width = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
         self.opens = np.array([(self.tokenizer.id_to_token(i) or "").startswith("Ġ") for i in range(size)])
-        self.memo: dict[str, bytes | None] = {}
+        self.memo: dict[str, bytes] = {}  # of late
+        self.older: dict[str, bytes] = {}
+        self.endings: dict[str, bytes] = {"": b""}
         self.remembered = remembered
 
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.width).tobytes()
+    def whole(self, texts: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(f.ids, dtype=self.width).tobytes() for f in found]
 
-    def _learn(self, words: set[str]) -> None:
-        if len(self.memo) + len(words) > self.remembered:
-            self.memo.clear()
-        good = []
-        for w in words:
-            if not w or w[0].isspace() or w[-1].isspace():
-                self.memo[w] = None
-            else:
-                good.append(w)
-        for at in range(0, len(good), JOINED):
-            group = good[at : at + JOINED]
+    def _encode(self, words: list[str]) -> None:
+        for at in range(0, len(words), JOINED):
+            group = words[at : at + JOINED]
             found = self.tokenizer.encode_batch_fast([" " + " ".join(group)], add_special_tokens=False)[0].ids
             ids = np.array(found, dtype=self.width)
             cuts = np.flatnonzero(self.opens[ids])
@@ -52,23 +50,73 @@ class WordMemo:
             for w, a, b in zip(group, (cuts * step).tolist(), ends.tolist()):
                 self.memo[w] = raw[a:b]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian bytes of ``width``."""
-        out = []
-        for text in texts:
-            first, *rest = text.split(" ")
-            memo = self.memo
-            try:
-                found = [memo[w] for w in rest]
-            except KeyError:
-                self._learn({w for w in rest if w not in memo})
-                try:
-                    found = [memo[w] for w in rest]
-                except KeyError:  # the memory was emptied; everything of this text again
-                    self._learn(set(rest))
-                    found = [memo[w] for w in rest]
-            if not first or first[-1].isspace() or None in found:
-                out.append(self.whole(text))
-            else:
-                out.append(self.whole(first) + b"".join(found))
+    def _known(self, words: list[str]) -> list[bytes | None]:
+        """The ids of distinct words; None for those that begin or end with white space and cannot stand alone.
+
+        The memory is in two halves: when the newer is full it becomes the older, and what is still used moves back.
+        """
+        if len(self.memo) > self.remembered:
+            self.memo, self.older = {}, self.memo
+        memo, older = self.memo, self.older
+        found = list(map(memo.get, words))
+        plain, ended, new = [], [], []
+        for i, ids in enumerate(found):
+            if ids is None:
+                w = words[i]
+                ids = older.get(w)
+                if ids is not None:
+                    found[i] = memo[w] = ids
+                elif w and not w[0].isspace() and not w[-1].isspace():
+                    new.append(i)
+                    core = w.rstrip(ENDINGS)
+                    if len(core) != len(w) and core and core[-1].isalpha():  # so that the endings are a piece
+                        ended.append((w, core, w[len(core) :]))
+                    else:
+                        plain.append(w)
+        cores = {c for _, c, _ in ended if c not in memo}.difference(plain)
+        for c in [c for c in cores if c in older]:
+            memo[c] = older[c]
+            cores.discard(c)
+        self._encode(plain + list(cores))
+        for w, core, ending in ended:
+            if ending not in self.endings:
+                self.endings[ending] = self.whole([ending])[0]
+            memo[w] = memo[core] + self.endings[ending]
+        for i in new:
+            found[i] = memo[words[i]]
+        return found
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text as little-endian bytes of ``width``; a null is an empty text."""
+        texts = texts.cast(pa.large_string()).fill_null("")
+        lists = pc.split_pattern(texts, " ")
+        offsets = np.asarray(lists.offsets)
+        flat = lists.values.slice(offsets[0], offsets[-1] - offsets[0])
+        offsets = offsets - offsets[0]
+        n = len(texts)
+        inner = np.ones(len(flat), dtype=bool)
+        inner[offsets[:-1]] = False
+        coded = flat.filter(pa.array(inner)).dictionary_encode()
+        firsts = flat.take(pa.array(offsets[:-1])).to_pylist()
+        known = self._known(coded.dictionary.to_pylist())
+        bad = np.fromiter((k is None for k in known), dtype=bool, count=len(known))
+        step, table = self.width.itemsize, [k or b"" for k in known] + self.whole(firsts)
+        sizes = np.fromiter(map(len, table), dtype=np.int64, count=len(table)) // step
+        ids = np.frombuffer(b"".join(table), dtype=self.width)
+        order = np.empty(len(flat), dtype=np.int64)
+        order[inner] = np.asarray(coded.indices)
+        order[offsets[:-1]] = len(known) + np.arange(n)
+        lengths = sizes[order]
+        ends = np.cumsum(lengths)
+        from_ = (np.cumsum(sizes) - sizes)[order] - (ends - lengths)
+        raw = ids[np.arange(ends[-1] if n else 0) + np.repeat(from_, lengths)].tobytes()
+        cuts = (np.concatenate([[0], ends])[offsets] * step).tolist()
+        out = [raw[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
+        slow = {t for t, first in enumerate(firsts) if not first or first[-1].isspace()}
+        if bad.any():
+            at = np.flatnonzero(bad[order[inner]])
+            slow |= set((np.searchsorted(offsets, np.flatnonzero(inner)[at], side="right") - 1).tolist())
+        slow = sorted(slow)
+        for t, found in zip(slow, self.whole([texts[t].as_py() for t in slow])):
+            out[t] = found
         return out

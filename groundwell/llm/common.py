@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,10 +28,6 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % FOLDS
 
 
-def no_rows(schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pylist([], schema=schema)
-
-
 def utf8(column: pa.Array) -> Iterator[bytes]:
     """The texts of a column as UTF-8; a null is an empty text. One text is copied at a time."""
     column = column.cast(pa.binary())
@@ -40,8 +37,7 @@ def utf8(column: pa.Array) -> Iterator[bytes]:
 
 def slices(batch: pa.RecordBatch, max_bytes: int) -> Iterator[pa.RecordBatch]:
     """Cuts a batch so that what is worked on at once stays small; one row may exceed the bound."""
-    text = batch.column("text")
-    lengths = np.array([0 if not v.is_valid else v.as_buffer().size for v in text.cast(pa.binary())], dtype=np.int64)
+    lengths = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     ends = np.cumsum(lengths)
     start = 0
     while start < len(lengths):

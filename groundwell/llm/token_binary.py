@@ -14,6 +14,7 @@ the files, so a lost executor leaves no half-written shard.
 from __future__ import annotations
 
 import struct
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -23,14 +24,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from groundwell.llm.bpe_ids import WordMemo
-from groundwell.llm.common import crc_of, no_rows, parts
+from groundwell.llm.common import crc_of, parts, slices
 from groundwell.session import fresh_folder, settle
 
 SCALE = 20
 LOW = np.uint64(1 << 31)
-LANES = 512
+LANES = 2048
 CHECKPOINT_STEPS = 128
-BLOCK_TOKENS = 1 << 18
+BLOCK_TOKENS = 1 << 19
 SHARD_TOKENS = 4_000_000
 END_ID = 0
 WORKING_SET = 1 << 23  # bytes of text taken up at once
@@ -139,9 +140,8 @@ def stage_ids(docs: DataFrame, tokenizer: str) -> DataFrame:
         memo = _memo(tokenizer)
         end = np.array([END_ID], dtype=memo.width).tobytes()
         for whole in batches:
-            for a in range(0, whole.num_rows, 512):
-                batch = whole.slice(a, 512)
-                coded = [b + end for b in memo.encode([t or "" for t in batch.column("text").to_pylist()])]
+            for batch in slices(whole, WORKING_SET):
+                coded = [b + end for b in memo.encode(batch.column("text"))]
                 yield pa.RecordBatch.from_arrays([
                     batch.column("doc_id"), pa.array([len(b) // memo.width.itemsize for b in coded], pa.int64()),
                     pa.array(coded, pa.binary())], schema=STAGED)
@@ -156,9 +156,10 @@ def count_ids(staged: DataFrame, width: str) -> dict[int, int]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, dtype=np.int64)
         for batch in batches:
-            for value in batch.column("ids"):
-                ids = np.frombuffer(value.as_buffer(), dtype=width)
-                found = np.bincount(ids)
+            column = batch.column("ids")
+            if batch.num_rows:
+                first, last = (np.frombuffer(column.buffers()[1], "<i4")[column.offset + k] for k in (0, batch.num_rows))
+                found = np.bincount(np.frombuffer(column.buffers()[2][first:last], dtype=width))
                 if len(found) > len(total):
                     total = np.concatenate([total, np.zeros(len(found) - len(total), np.int64)])
                 total[: len(found)] += found
@@ -243,7 +244,7 @@ def read_tokens(spark: SparkSession, folder: str, with_ids: bool = True) -> Data
                 yield pa.RecordBatch.from_arrays([
                     pa.array(row["doc_ids"], pa.int64()), pa.array([row["shard"]] * n, pa.int32()),
                     pa.array(starts + row["first_token"], pa.int64()), pa.array(row["doc_lens"], pa.int64()),
-                    pa.array([crc_of(p) for p in pieces], pa.int64()),
+                    pa.array([zlib.crc32(p.data) for p in pieces], pa.int64()),
                     pa.array([p.tobytes() for p in pieces] if with_ids else [None] * n, pa.binary())], schema=READ)
 
     blocks = spark.read.schema(
