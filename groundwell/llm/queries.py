@@ -10,14 +10,21 @@ from groundwell.llm.decontaminate import contamination
 from groundwell.llm.exact_dedup import exact_duplicates
 from groundwell.llm.language_id import identify
 from groundwell.llm.mixing import mix_sources
+from groundwell.llm.quality import quality_scores
+from groundwell.llm.secret_scan import secret_spans
 from groundwell.llm.simhash import simhash_groups
 from groundwell.llm.token_binary import token_files
+from groundwell.llm.token_counts import count_tokens
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(documents(spark, sf_dir))
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_spans(documents(spark, sf_dir))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(documents(spark, sf_dir))
 
@@ -34,10 +41,18 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(documents(spark, sf_dir))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(documents(spark, sf_dir))
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 OP6_SQL = """
 WITH d AS (
   SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
@@ -49,11 +64,14 @@ FROM d
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op2_secret_scan": op2_secret_scan,
     "op3_simhash": op3_simhash,
     "op4_token_binary": op4_token_binary,
     "op5_decontaminate": op5_decontaminate,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_quality": op7_quality,
     "op8_mix_sources": op8_mix_sources,
+    "op9_token_counts": op9_token_counts,
 }
 SQL = {
     "op6_exact_dedup": OP6_SQL,
