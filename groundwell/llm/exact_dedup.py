@@ -14,6 +14,7 @@ import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -113,19 +114,16 @@ def directory(entries: DataFrame, bucket_bytes: int) -> list[tuple[int, int]]:
     return sorted(done, key=lambda b: b[1] << (64 - b[0]))
 
 
-def with_bucket(entries: DataFrame, buckets: list[tuple[int, int]]) -> DataFrame:
-    """Adds the number of the bucket that owns each entry's hash."""
-    spark = entries.sparkSession
-    known = spark.createDataFrame([(d, p, i) for i, (d, p) in enumerate(buckets)], "depth int, prefix long, bucket int")
-    depths = sorted({d for d, _ in buckets})
-    if depths == [0]:
-        return entries.withColumn("bucket", F.lit(0))
-    tops = F.array(*[F.struct(F.lit(d).alias("depth"), (F.shiftrightunsigned("h", 64 - d) if d else F.lit(0).cast(
-        "long")).alias("prefix")) for d in depths])
-    tried = entries.withColumn("try", F.explode(tops)) if len(depths) > 1 else entries.withColumn("try", tops[0])
-    # every hash matches one bucket: the prefixes are free of each other
-    return tried.join(known, (F.col("try.depth") == F.col("depth")) & (F.col("try.prefix") == F.col("prefix"))).drop(
-        "try", "depth", "prefix")
+def bucket_of(buckets: list[tuple[int, int]]):
+    """A function of the hash: the number of the bucket that owns it.  Buckets are ranges of the unsigned hash."""
+    firsts = np.array([p << (64 - d) if d else 0 for d, p in buckets], dtype=np.uint64)
+
+    @F.arrow_udf("int")
+    def owner(h: pa.Array) -> pa.Array:
+        unsigned = h.to_numpy(zero_copy_only=False).view(np.uint64)
+        return pa.array((np.searchsorted(firsts, unsigned, side="right") - 1).astype(np.int32))
+
+    return owner
 
 
 def exact_duplicates(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
@@ -139,7 +137,7 @@ def exact_duplicates(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataF
     entries = settle(rows.mapInArrow(collapse, "h long, sha string, n_bytes long, doc_ids array<bigint>, text binary"),
                      "exact-entries")
     buckets = directory(entries, bucket_bytes)
-    owned = with_bucket(entries.select("h", "sha", "doc_ids", "text"), buckets)
+    owned = entries.select("h", "sha", "doc_ids", "text").withColumn("bucket", bucket_of(buckets)("h"))
     owned = owned.repartitionById(len(buckets), F.col("bucket")).sortWithinPartitions("h")
     classes = settle(owned.select("h", "sha", "doc_ids", "text").mapInArrow(
         chain, "h long, link int, sha string, doc_ids array<bigint>"), "exact-classes")
