@@ -13,6 +13,7 @@ from groundwell.llm.mixing import mix_sources
 from groundwell.llm.quality import quality_scores
 from groundwell.llm.secret_scan import secret_spans
 from groundwell.llm.simhash import simhash_groups
+from groundwell.llm.suffix_dedup import without_repeats
 from groundwell.llm.token_binary import token_files
 from groundwell.llm.token_counts import count_tokens
 
@@ -53,6 +54,10 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_repeats(documents(spark, sf_dir))
+
+
 OP6_SQL = """
 WITH d AS (
   SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
@@ -72,6 +77,7 @@ QUERIES = {
     "op7_quality": op7_quality,
     "op8_mix_sources": op8_mix_sources,
     "op9_token_counts": op9_token_counts,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 SQL = {
     "op6_exact_dedup": OP6_SQL,
