@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from groundwell.functions import text as T
 from groundwell.operators import codeintel as K
 
 from . import inputs as I
@@ -28,22 +29,22 @@ def s(x):
 LINES = f"""{I.FILES}, ll AS (SELECT repository_id, file_path, unnest({I.sql_lines('text')}) AS text, generate_subscripts({I.sql_lines('text')}, 1) AS line FROM files)"""
 
 
-@register("regex_search", f"""WITH {LINES} SELECT repository_id, file_path, line, left(text, 400) AS text FROM ll WHERE regexp_matches(text, '[aeiou]{{2}}n[ .,]') AND regexp_matches(file_path, '\\.(md|txt)$')
+@register("regex_search", f"""WITH {LINES} SELECT repository_id, file_path, line, left(text, 400) AS text, greatest(0, count(*) OVER (PARTITION BY file_path) - 3) AS remaining FROM ll WHERE regexp_matches(text, '[aeiou]{{2}}n[ .,]') AND regexp_matches(file_path, '\\.(md|txt)$')
 QUALIFY row_number() OVER (PARTITION BY file_path ORDER BY line) <= 3""")
 def regex_search(spark, sf):
     files = I.files(spark, sf)
-    found = K.regex_search(files, r"[aeiou]{2}n[ .,]", glob="*.md", max_results=3).unionByName(
-        K.regex_search(files, r"[aeiou]{2}n[ .,]", glob="*.txt", max_results=3))
-    return found.withColumn("line", F.col("line").cast("bigint"))
+    found = K.regex_search(files, r"[aeiou]{2}n[ .,]", glob="*.md", max_results=3, text_chars=400).unionByName(
+        K.regex_search(files, r"[aeiou]{2}n[ .,]", glob="*.txt", max_results=3, text_chars=400))
+    return found.withColumn("line", F.col("line").cast("bigint")).withColumn("remaining", F.col("remaining").cast("bigint"))
 
 
-@register("regex_search_literal", f"WITH {LINES} SELECT repository_id, file_path, line, left(text, 400) AS text FROM ll WHERE contains(text, 'the (') OR contains(text, '. T')")
+@register("regex_search_literal", f"WITH {LINES} SELECT repository_id, file_path, line, text FROM ll WHERE contains(text, 'the (') OR contains(text, '. T')")
 def regex_search_literal(spark, sf):
     """A pattern that is no valid regex is searched as it stands; a fixed one too."""
     files = I.files(spark, sf)
-    odd = K.regex_search(files, "the (", max_results=1000)
-    dot = K.regex_search(files, ". T", fixed=True, max_results=1000)
-    return odd.unionByName(dot).distinct().withColumn("line", F.col("line").cast("bigint"))
+    odd = K.regex_search(files, "the (")
+    dot = K.regex_search(files, ". T", fixed=True)
+    return odd.unionByName(dot).distinct().drop("remaining").withColumn("line", F.col("line").cast("bigint"))
 
 
 @register("glob_filter", f"WITH {I.FILES} SELECT file_path FROM files WHERE regexp_extract(file_path, '[^/]*$') GLOB '[!1-4]?*.m?'")
@@ -67,14 +68,17 @@ def line_slice(spark, sf):
 
 # --- sources: Python and script files written from the documents -------------------
 def sources(spark, sf):
-    """A module per document: imports, a marker, a long function, a bare except."""
+    """A module per document: an import for each of its words, a marker for each of its lines, a function with a line
+    for each word, a bare except."""
     n = F.col("doc_id")
-    words = F.regexp_extract_all(F.col("text"), F.lit("[a-z]{4,}"), F.lit(0))
-    word = lambda i: F.coalesce(F.get(words, F.lit(i)), F.lit("none"))
-    body = F.array_join(F.transform(F.sequence(F.lit(1), (F.col("n_chars") % 100 + 1).cast("int")), lambda i: F.concat(F.lit("    x = "), s(i))), "\n")
+    words = F.array_distinct(F.regexp_extract_all(F.col("text"), F.lit("[a-z]{4,}"), F.lit(0)))
+    joined = lambda items: F.array_join(items, "")
     code = F.concat(
-        F.lit("import m_"), word(0), F.lit(".sub, os\nfrom .m_"), word(1), F.lit(" import x\nfrom m_"), word(2), F.lit(".k import y\n# todo: "), word(3),
-        F.lit("\ndef long():\n"), body, F.lit("\ntry:\n    pass\nexcept:\n    print(1)\n"), F.when(F.col("lang") == "es", F.lit("def (\n")).otherwise(F.lit("")))
+        joined(F.transform(words, lambda w: F.concat(F.lit("import m_"), w, F.lit(".sub\n")))),
+        F.lit("import os\nfrom .m_"), F.col("lang"), F.lit(" import x\n"),
+        joined(F.transform(T.split_lines(F.col("text")), lambda x: F.concat(F.lit("# todo: "), x, F.lit("\n")))),
+        F.lit("def long():\n"), joined(F.transform(words, lambda w: F.concat(F.lit("    x = '"), w, F.lit("'\n")))),
+        F.lit("try:\n    pass\nexcept:\n    print(1)\n"), F.when(F.col("lang") == "es", F.lit("def (\n")).otherwise(F.lit("")))
     path = F.concat(F.lit("pkg/"), F.col("lang"), F.lit("/m"), s(n), F.lit(".py"))
     docs = I.documents(spark, sf)
     modules = docs.select(F.col("source").alias("repository_id"), path.alias("file_path"), code.alias("text"))
@@ -84,12 +88,13 @@ def sources(spark, sf):
     return modules.unionByName(inits).unionByName(roots)
 
 
-SRC = """src AS (SELECT doc_id, source AS repository_id, lang, 'pkg/' || lang || '/m' || doc_id || '.py' AS file_path, regexp_extract_all(text, '[a-z]{4,}') AS w, n_chars % 100 + 1 AS body FROM documents),
-wd AS (SELECT *, coalesce(w[1], 'none') AS w0, coalesce(w[2], 'none') AS w1, coalesce(w[3], 'none') AS w2, coalesce(w[4], 'none') AS w3 FROM src)"""
+SRC = f"""src AS (SELECT doc_id, source AS repository_id, lang, 'pkg/' || lang || '/m' || doc_id || '.py' AS file_path, list_distinct(regexp_extract_all(text, '[a-z]{{4,}}')) AS w, {I.sql_lines('text')} AS ls FROM documents),
+wd AS (SELECT *, len(w) AS nw, len(ls) AS nl FROM src)"""
+IMPORTED = "array_to_string(list_sort(list_concat(list_transform(w, lambda x: 'm_' || x), ['os'])), ',')"
 
 
-@register("python_imports", f"""WITH {SRC} SELECT file_path, CASE WHEN lang = 'es' THEN '' ELSE '.m_' || w1 END AS internal,
-  CASE WHEN lang = 'es' THEN '' ELSE array_to_string(list_sort(list_distinct(['m_' || w0, 'm_' || w2, 'os'])), ',') END AS external, lang = 'es' AS warned FROM wd""")
+@register("python_imports", f"""WITH {SRC} SELECT file_path, CASE WHEN lang = 'es' THEN '' ELSE '.m_' || lang END AS internal,
+  CASE WHEN lang = 'es' THEN '' ELSE {IMPORTED} END AS external, lang = 'es' AS warned FROM wd""")
 def python_imports(spark, sf):
     return K.python_imports(sources(spark, sf)).where(F.col("file_path").rlike("/m[0-9]+")).select(
         "file_path", F.array_join("internal", ",").alias("internal"), F.array_join("external", ",").alias("external"), F.col("warning").isNotNull().alias("warned"))
@@ -114,7 +119,7 @@ def js_imports(spark, sf):
     return K.js_imports(scripts(spark, sf)).select("file_path", F.array_join("internal", ",").alias("internal"), F.array_join("external", ",").alias("external"))
 
 
-@register("import_map", f"""WITH {SRC}, {SCRIPTS} SELECT * FROM jm UNION ALL SELECT file_path, '.m_' || w1, array_to_string(list_sort(list_distinct(['m_' || w0, 'm_' || w2, 'os'])), ',') FROM wd WHERE lang <> 'es'""")
+@register("import_map", f"""WITH {SRC}, {SCRIPTS} SELECT * FROM jm UNION ALL SELECT file_path, '.m_' || lang, {IMPORTED} FROM wd WHERE lang <> 'es'""")
 def import_map(spark, sf):
     return K.import_map(sources(spark, sf).unionByName(scripts(spark, sf))).select(
         "file_path", F.array_join("internal", ",").alias("internal"), F.array_join("external", ",").alias("external"))
@@ -123,7 +128,7 @@ def import_map(spark, sf):
 # --- manifests ---------------------------------------------------------------------
 def manifests(spark, sf):
     n = F.col("doc_id")
-    words = F.transform(F.slice(F.array_distinct(F.regexp_extract_all(F.col("text"), F.lit("[a-z]{4,}"), F.lit(0))), 1, 5), lambda w: F.concat(F.lit("d-"), w))
+    words = F.transform(F.array_distinct(F.regexp_extract_all(F.col("text"), F.lit("[a-z]{4,}"), F.lit(0))), lambda w: F.concat(F.lit("d-"), w))
     req = F.concat(F.lit("# c\n-r x\n\n"), F.array_join(F.transform(words, lambda w: F.concat(w, F.lit(">=1.0 ; x"))), "\n"))
     toml = F.concat(F.lit("[project]\ndependencies = ["), F.array_join(F.transform(words, lambda w: F.concat(F.lit('"'), w, F.lit('[a]~=2"'))), ", "),
                     F.lit("]\n[tool.poetry.dependencies]\npython = \"3\"\nextra = \"1\"\n"))
@@ -136,17 +141,17 @@ def manifests(spark, sf):
 
 @register("declared_dependencies", """WITH m AS (SELECT source AS repository_id, doc_id || '/' || CASE doc_id % 3 WHEN 0 THEN 'requirements.txt' WHEN 1 THEN 'pyproject.toml' ELSE 'package.json' END AS manifest, doc_id,
   regexp_extract_all(text, '[a-z]{4,}') AS w FROM documents),
-u AS (SELECT repository_id, manifest, doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS n FROM m), f0 AS (SELECT repository_id, manifest, word, min(n) AS n FROM u GROUP BY ALL), f AS (SELECT * FROM f0 QUALIFY row_number() OVER (PARTITION BY manifest ORDER BY n) <= 5)
+f AS (SELECT DISTINCT repository_id, manifest, unnest(w) AS word FROM m)
 SELECT repository_id, manifest, 'd-' || word AS dependency FROM f UNION ALL SELECT repository_id, manifest, CASE doc_id % 3 WHEN 1 THEN 'extra' ELSE 'dev' END FROM m WHERE doc_id % 3 <> 0""")
 def declared_dependencies(spark, sf):
     return K.declared_dependencies(manifests(spark, sf))
 
 
 # --- findings ----------------------------------------------------------------------
-MARKS = "marks AS (SELECT repository_id, file_path, 'marker:TODO' AS kind, 4 AS line, left('# todo: ' || w3, 160) AS message FROM wd)"
-AST = """tree AS (SELECT repository_id, file_path, 'syntax-error' AS kind, CAST(10 + body AS BIGINT) AS line, NULL AS message FROM wd WHERE lang = 'es'
-  UNION ALL SELECT repository_id, file_path, 'bare-except', 8 + body, '' FROM wd WHERE lang <> 'es' UNION ALL SELECT repository_id, file_path, 'print-call', 9 + body, '' FROM wd WHERE lang <> 'es'
-  UNION ALL SELECT repository_id, file_path, 'long-function', 5, '' FROM wd WHERE lang <> 'es' AND body + 1 > 60)"""
+MARKS = "marks AS (SELECT repository_id, file_path, 'marker:TODO' AS kind, nw + 2 + i AS line, left(rtrim('# todo: ' || l), 160) AS message FROM (SELECT repository_id, file_path, nw, unnest(ls) AS l, generate_subscripts(ls, 1) AS i FROM wd))"
+AST = """tree AS (SELECT repository_id, file_path, 'syntax-error' AS kind, 2 * nw + nl + 8 AS line, NULL AS message FROM wd WHERE lang = 'es'
+  UNION ALL SELECT repository_id, file_path, 'bare-except', 2 * nw + nl + 6, '' FROM wd WHERE lang <> 'es' UNION ALL SELECT repository_id, file_path, 'print-call', 2 * nw + nl + 7, '' FROM wd WHERE lang <> 'es'
+  UNION ALL SELECT repository_id, file_path, 'long-function', nw + nl + 3, '' FROM wd WHERE lang <> 'es' AND nw + 1 > 60)"""
 INIT = "bare AS (SELECT DISTINCT repository_id, 'pkg/' || lang AS file_path, 'missing-init' AS kind, 0 AS line FROM wd WHERE lang NOT IN ('fr', 'en'))"
 ALL = "every AS (SELECT repository_id, file_path, kind, line FROM marks UNION ALL SELECT repository_id, file_path, kind, line FROM tree UNION ALL SELECT * FROM bare)"
 
@@ -176,7 +181,7 @@ def findings_by_kind(spark, sf):
 
 
 @register("findings_report", f"""WITH {SRC}, {MARKS}, {AST}, {INIT}, {ALL} SELECT * FROM every ORDER BY CASE string_split(kind, ':')[1] WHEN 'syntax-error' THEN 0 WHEN 'bare-except' THEN 1 WHEN 'missing-init' THEN 2
-  WHEN 'long-function' THEN 3 WHEN 'marker' THEN 4 ELSE 5 END, file_path, line LIMIT 200""")
+  WHEN 'long-function' THEN 3 WHEN 'marker' THEN 4 ELSE 5 END, file_path, line""")
 def findings_report(spark, sf):
     return _where(K.findings_report(K.static_findings(sources(spark, sf))))
 
@@ -205,7 +210,7 @@ def diff_stats(spark, sf):
 
 
 @register("lint_by_rule", """SELECT code, count(*) AS n FROM (SELECT CASE WHEN o_orderkey % 11 = 0 THEN '?' ELSE 'E' || (o_custkey % 40) END AS code FROM orders WHERE o_orderkey % 13 <> 12
-  UNION ALL SELECT 'W' || left(o_orderpriority, 1) FROM orders WHERE o_orderkey % 13 <> 12) GROUP BY 1 ORDER BY n DESC, code LIMIT 25""")
+  UNION ALL SELECT 'W' || left(o_orderpriority, 1) FROM orders WHERE o_orderkey % 13 <> 12) GROUP BY 1 ORDER BY n DESC, code""")
 def lint_by_rule(spark, sf):
     k = F.col("o_orderkey")
     item = lambda code: F.struct(code.alias("code"), F.lit("m").alias("message"))

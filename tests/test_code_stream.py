@@ -22,6 +22,59 @@ def test_search(spark):
     assert CI.regex_search(files, "import a").count() == 0  # skipped folder
 
 
+def test_search_reads_large_files_whole(spark):
+    rows = "\n".join(f"row {i} needle" if i % 1000 == 0 else "hay " * 12 for i in range(60_000)) + "\n" + "z" * 500 + " needle"
+    files = file_rows(spark, {"big.txt": rows, "a/b/c/d/e/f/deep.py": "import needle\nprint(needle, print(1))\n"})
+    assert len(rows) > 2_000_000
+    hits = CI.regex_search(files, "needle").collect()
+    assert len(hits) == 63 and {r.remaining for r in hits} == {0} and max(len(r.text) for r in hits) == 507
+    cut = CI.regex_search(files, "needle", glob="*.txt", max_results=5, text_chars=9).collect()
+    assert {(len(r.text), r.remaining) for r in cut} == {(9, 56)} and len(cut) == 5
+    for wrong in ({"max_results": 0}, {"text_chars": -1}):
+        try:
+            CI.regex_search(files, "x", **wrong)
+        except ValueError:
+            continue
+        raise AssertionError(wrong)
+    assert {(r.kind, r.line) for r in CI.ast_findings(files).collect()} == {("print-call", 2)} and CI.ast_findings(files).count() == 2
+
+
+def test_line_rules_of_python(spark):
+    text = '''"""import a_docstring
+from b_docstring import x
+def (
+"""
+import os.path as p, sys  # import no
+from . import near
+from ..up.there import x; import late
+if True:
+    from deep.er import (
+        one,
+    )
+s = "import in_string"
+async def outer(
+    a,
+):
+    try:
+        pass
+
+    except :
+        return print
+
+    def inner():
+        self.print(1); print (2)
+# except:
+'''
+    files = file_rows(spark, {"m.py": text, "async.py": "async def (x):\n    pass\nimport os\n"})
+    found = {r.file_path: r for r in CI.python_imports(files).collect()}
+    assert found["m.py"].internal == [".", "..up.there"] and found["m.py"].external == ["deep", "late", "os", "sys"]
+    assert found["m.py"].warning is None and found["async.py"].external == [] and "line 1" in found["async.py"].warning
+    kinds = {(r.file_path, r.kind, r.line, r.message) for r in CI.ast_findings(files, 9).collect()}
+    assert {k[:3] for k in kinds} == {("m.py", "bare-except", 19), ("m.py", "print-call", 23), ("m.py", "long-function", 13),
+                                      ("async.py", "syntax-error", 1)}
+    assert [k[3] for k in kinds if k[1] == "long-function"] == ["function 'outer' is 11 lines (> 9)"]
+
+
 def test_line_slice(spark):
     files = file_rows(spark, {"a": "x\ny\nz", "e": ""})
     rows = {r.file_path: r for r in CI.line_slice(files, F.lit(1), F.lit(1)).collect()}
@@ -37,6 +90,8 @@ def test_imports_and_manifests(spark):
         "requirements-dev.txt": "pytest>=8\n# c\n-r base.txt\nRuff ; x\n", "pyproject.toml": '[project]\ndependencies = ["a[b]>1"]\n[tool.poetry.dependencies]\npython = "3"\nz = "1"\n',
         "package.json": '{"dependencies": {"react": "1"}, "devDependencies": {"vite": "2"}}', "broken/package.json": "{"})
     found = {r.file_path: (r.internal, r.external) for r in CI.import_map(files).collect()}
+    assert found.pop("a/b/c/d/e/deep.py") == ([], ["sys"])
+    assert "a/b/c/d/e/deep.py" not in {r.file_path for r in CI.import_map(files, depth=4).collect()}
     assert found == {"config.py": ([], ["os"]), "service.py": ([".config"], []), "web/a.ts": (["./x"], ["@s/p", "lodash"])}
     deps = {(r.manifest, r.dependency) for r in CI.declared_dependencies(files).collect()}
     assert deps == {("requirements-dev.txt", "pytest"), ("requirements-dev.txt", "Ruff"), ("pyproject.toml", "a"), ("pyproject.toml", "z"),
