@@ -170,11 +170,11 @@ def planned(spark, sf):
         F.array(F.concat(F.lit("src"), (i % 5).cast("string"))).alias("repository_ids"), F.lit("main").alias("branch"), plan.alias("plan"))
 
 
-PLANNED = """SELECT 'r' || item_id AS request_id, no AS query_no, CASE no WHEN 0 THEN trim(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) WHEN 2 THEN 'second ' || item_id ELSE 'third' END AS query,
-  CASE no WHEN 0 THEN 'sparse' WHEN 2 THEN 'hybrid' ELSE 'dense' END AS strategy, CASE no WHEN 0 THEN 50 WHEN 2 THEN greatest(1, item_id % 7) ELSE 8 END AS top_k,
+PLANNED = """SELECT 'r' || item_id AS request_id, no AS query_no, CASE no WHEN 0 THEN trim(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) WHEN 2 THEN 'second ' || item_id WHEN 3 THEN 'third' ELSE 'fifth' END AS query,
+  CASE no WHEN 0 THEN 'sparse' WHEN 2 THEN 'hybrid' ELSE 'dense' END AS strategy, CASE no WHEN 0 THEN 99 WHEN 2 THEN greatest(1, item_id % 7) WHEN 3 THEN 8 ELSE 3 END AS top_k,
   'src' || (item_id % 5) AS repos, 'main' AS branch, CASE WHEN no = 2 THEN 'py' END AS file_types, CASE WHEN no <> 2 THEN 'src/' END AS path_prefix,
-  CASE WHEN no <> 2 THEN 'code' END AS chunk_types, false AS fallback FROM benchmark, (VALUES (0), (2), (3)) v(no) WHERE item_id % 4 < 2"""
-FALLBACK = """SELECT 'r' || item_id AS request_id, 0 AS query_no, left(text, 512) AS query, 'hybrid' AS strategy, 8 AS top_k, 'src' || (item_id % 5) AS repos, 'main' AS branch,
+  CASE WHEN no <> 2 THEN 'code' END AS chunk_types, false AS fallback FROM benchmark, (VALUES (0), (2), (3), (4)) v(no) WHERE item_id % 4 < 2"""
+FALLBACK = """SELECT 'r' || item_id AS request_id, 0 AS query_no, text AS query, 'hybrid' AS strategy, 8 AS top_k, 'src' || (item_id % 5) AS repos, 'main' AS branch,
   CAST(NULL AS VARCHAR) AS file_types, CAST(NULL AS VARCHAR) AS path_prefix, CAST(NULL AS VARCHAR) AS chunk_types, true AS fallback FROM benchmark WHERE item_id % 4 >= 2"""
 
 
@@ -274,7 +274,7 @@ def normalize_review_output(spark, sf):
     return d.select("conv_id", "turn", "d.summary", "d.risk_level", F.array_join("d.suggested_tests", ",").alias("tests"))
 
 
-@register("normalize_next_actions", "SELECT conv_id, turn, 'A:d,B:,C:' AS actions, 'one,two,three' AS derived FROM conversations")
+@register("normalize_next_actions", "SELECT conv_id, turn, 'A:d,B:,C:,D:' AS actions, 'one,two,three' AS derived FROM conversations")
 def normalize_next_actions(spark, sf):
     a = R.normalize_next_actions(F.col("raw"))
     d = R.diagnostic_actions(R.normalize_debug_output(F.col("raw"), F.lit(4))["diagnostic_steps"])

@@ -182,7 +182,7 @@ KEPT = f"""tr AS (SELECT 't' || (event_id - event_id % 3) AS id, * FROM events),
 kept AS (SELECT * FROM fresh QUALIFY row_number() OVER (PARTITION BY id ORDER BY ts DESC) = 1)"""
 
 
-@register("trace_sink", f"WITH {KEPT} SELECT id, event_type AS workflow, {STAMP.format('ts')} AS created_at FROM kept ORDER BY ts DESC, id LIMIT 500")
+@register("trace_sink", f"WITH {KEPT} SELECT id, event_type AS workflow, {STAMP.format('ts')} AS created_at FROM kept")
 def trace_sink(spark, sf):
     return TR.trace_sink(traces(spark, sf), now_of(spark, sf).scalar()).select("id", "workflow", stamp("created_at").alias("created_at"))
 
@@ -225,7 +225,7 @@ def merge_scores_onto_traces(spark, sf):
     return out.select("id", F.col("scores")["grounding"].alias("grounding"), F.col("scores")["tone"].alias("tone"), F.col("scores")["overall"].alias("overall"))
 
 
-@register("recent_evals", f"SELECT 'e' || event_id AS id, {STAMP.format('ts')} AS created_at, round(value, 6) AS overall FROM events WHERE event_type <> 'error' ORDER BY ts DESC LIMIT 500")
+@register("recent_evals", f"SELECT 'e' || event_id AS id, {STAMP.format('ts')} AS created_at, round(value, 6) AS overall FROM events WHERE event_type <> 'error' ORDER BY ts DESC LIMIT 1000")
 def recent_evals(spark, sf):
     rows = I.table(spark, sf, "events").select(F.concat(F.lit("e"), s("event_id")).alias("id"), F.col("ts").alias("created_at"),
                                                F.when(F.col("event_type") != "error", F.col("value")).alias("overall"))

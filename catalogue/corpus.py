@@ -257,12 +257,9 @@ def chunk_scan(spark, sf):
     return CS.chunk_scan(chunked(spark, sf), flt).select("file_path", F.col("start_line").cast("bigint").alias("start_line"))
 
 
-_HASHED = """words AS (SELECT doc_id, unnest(CASE WHEN regexp_matches(lower(text), '[\\p{L}\\p{N}_]') THEN regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') ELSE [text] END) AS w FROM documents),
-wc AS (SELECT doc_id, w, count(*) AS c FROM words GROUP BY 1, 2),
-hx AS (SELECT w, sha1(w) AS h FROM (SELECT DISTINCT w FROM wc)),
-dims AS (SELECT w, i, (CAST('0x' || substr(h, 2 * ((2 * i) % 20) + 1, 2) AS INT)) / 255.0 *
-    CASE WHEN CAST('0x' || substr(h, 2 * ((2 * i + 1) % 20) + 1, 2) AS INT) % 2 = 1 THEN 1.0 ELSE -1.0 END AS v FROM hx, range(0, 32) r(i)),
-vecs AS (SELECT doc_id, i, sum(c * CAST(v AS DOUBLE)) AS v FROM wc JOIN dims USING (w) GROUP BY 1, 2),
+_HASHED = """words AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS w FROM documents),
+slots AS (SELECT doc_id, CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) % 64 AS slot, count(*) AS c FROM words GROUP BY 1, 2),
+vecs AS (SELECT doc_id, i, CAST(coalesce(sum(CASE WHEN slot = 2 * i THEN c WHEN slot = 2 * i + 1 THEN -c END), 0) AS DOUBLE) AS v FROM documents CROSS JOIN range(0, 32) r(i) LEFT JOIN slots USING (doc_id) GROUP BY 1, 2),
 norms AS (SELECT doc_id, sqrt(sum(v * v)) AS n FROM vecs GROUP BY 1)"""
 
 

@@ -16,8 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .. import fixed_values as fv
 from .scope import scope_chunks, with_scope
+from .sparse import largest_top_k, top_k_of
 
 # queries x dimension that may be sent to every task (8 bytes each)
 MAX_SHIPPED_NUMBERS = 4_000_000
@@ -113,13 +113,11 @@ def dense_pool(queries: DataFrame, chunks: DataFrame, factor: int = 1,
                chunk_tile: int = CHUNK_TILE) -> DataFrame:
     """Best ``factor * top_k`` chunks per query: query_id, chunk_id, score, dense_rank.
 
-    ``queries``: query_id, query_vec, optionally top_k (at most 50) and filter.
+    ``queries``: query_id, query_vec, optionally top_k and filter.
     ``chunks``: chunk_id, embedding, and the filtered columns if filters are used.
     """
     asked = with_scope(queries)
-    top_k = F.col("top_k") if "top_k" in asked.columns else F.lit(fv.DEFAULT_TOP_K)
-    top_k = F.least(F.greatest(top_k, F.lit(1)), F.lit(fv.MAX_TOP_K)).cast("int")
-    asked = asked.select("query_id", "scope_id", "query_vec", (top_k * factor).alias("pool")).where(
+    asked = asked.select("query_id", "scope_id", "query_vec", (top_k_of(asked) * factor).alias("pool")).where(
         F.size("query_vec") > 0)
     vectors = scope_chunks(queries, chunks, ["chunk_id", "embedding"]).where(F.size("embedding") > 0)
     width = asked.select(F.size("query_vec")).first()
@@ -132,7 +130,7 @@ def dense_pool(queries: DataFrame, chunks: DataFrame, factor: int = 1,
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
     # the literal bound lets Spark drop rows before the shuffle
     ranked = candidates.withColumn("__n", F.row_number().over(order)).where(
-        F.col("__n") <= fv.MAX_TOP_K * factor)
+        F.col("__n") <= largest_top_k(queries) * factor)
     # rows beyond a query's own pool go next; the pool size is a function of the query
     return (
         ranked.join(asked.select("query_id", "pool"), "query_id")

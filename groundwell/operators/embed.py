@@ -1,9 +1,10 @@
-"""Embedders as plug-ins: text in, a vector of floats out, batch by batch."""
+"""Embedders as plug-ins: text in, a vector of floats out.
+
+A plug-in is either a model that runs in Python workers, batch by batch, or an expression of built-in functions.
+"""
 
 from __future__ import annotations
 
-import hashlib
-import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,29 +15,43 @@ from pyspark.sql.types import ArrayType, FloatType
 
 # name: (dimension, factory); the factory runs once per Python worker and
 # returns a function from a list of texts to a list of vectors
-_EMBEDDERS: dict[str, tuple[int, Callable[[], Callable[[list[str]], list]]]] = {}
+_MODELS: dict[str, tuple[int, Callable[[], Callable[[list[str]], list]]]] = {}
+_EXPRESSIONS: dict[str, Callable[[Column], Column]] = {}
 
 EMBED_BATCH = 64
 
 
 def register_embedder(name: str, dim: int, factory: Callable[[], Callable[[list[str]], list]]) -> None:
-    _EMBEDDERS[name] = (dim, factory)
+    _MODELS[name] = (dim, factory)
+    _EXPRESSIONS.pop(name, None)
+
+
+def register_expression(name: str, build: Callable[[Column], Column]) -> None:
+    _EXPRESSIONS[name] = build
+    _MODELS.pop(name, None)
 
 
-def embedder(name: str) -> Callable[[Column], Column]:
+def embedder(name: str, on_error: str = "raise") -> Callable[[Column], Column]:
     """The embedder as a Column function.
 
-    A batch that fails, or comes back with the wrong shape, gives zero vectors.
+    A model that fails, or gives another number of vectors or another width than it was registered with, ends the
+    job; with ``on_error="zeros"`` the batch gets zero vectors instead.
     """
-    dim, factory = _EMBEDDERS[name]
+    if on_error not in ("raise", "zeros"):
+        raise ValueError("on_error is 'raise' or 'zeros'")
+    if name in _EXPRESSIONS:
+        return _EXPRESSIONS[name]
+    dim, factory = _MODELS[name]
 
     def encode(texts: list[str], model) -> list:
         try:
-            vectors = [np.asarray(v, dtype=np.float32) for v in model(texts)]
-            if len(vectors) == len(texts):
-                return [v if len(v) else np.zeros(dim, np.float32) for v in vectors]
+            vectors = np.asarray(model(texts), dtype=np.float32)
+            if vectors.shape != (len(texts), dim):
+                raise ValueError(f"embedder {name!r} gave {vectors.shape}, not {(len(texts), dim)}")
+            return list(vectors)
         except Exception:
-            pass
+            if on_error == "raise":
+                raise
         return [np.zeros(dim, np.float32)] * len(texts)
 
     @F.pandas_udf(ArrayType(FloatType()))
@@ -52,34 +67,30 @@ def embedder(name: str) -> Callable[[Column], Column]:
     return embed
 
 
-def embed_documents(rows: DataFrame, name: str, text: str = "text", output: str = "embedding") -> DataFrame:
-    return rows.withColumn(output, embedder(name)(F.col(text)))
+def embed_documents(rows: DataFrame, name: str, text: str = "text", output: str = "embedding",
+                    on_error: str = "raise") -> DataFrame:
+    return rows.withColumn(output, embedder(name, on_error)(F.col(text)))
 
 
-def hash_model(dim: int) -> Callable[[list[str]], list]:
-    """Bag-of-words vectors from word hashes: the same text, the same vector, anywhere."""
-    at = np.arange(dim)
+def signed_buckets(text: Column, dim: int) -> Column:
+    """Feature hashing: each word adds 1 to, or takes 1 from, the place that its hash picks; unit length.
+
+    A text without words, and a null, give zeros.
+    """
+    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+    slots = F.transform(words, lambda w: F.conv(F.substring(F.md5(w.cast("binary")), 1, 8), 16, 10).cast("long") % (2 * dim))
+
+    def at(slots: Column, slot: Column) -> Column:
+        return F.size(F.filter(slots, lambda s: s == slot))
 
-    def vector_of(word: str) -> np.ndarray:
-        digest = np.frombuffer(hashlib.sha1(word.encode("utf-8", "ignore")).digest(), dtype=np.uint8)
-        size = len(digest)
-        sign = np.where(digest[(2 * at + 1) % size] & 1, 1.0, -1.0)
-        return sign * digest[(2 * at) % size] / 255.0
+    sums = F.transform(F.array(slots), lambda known: F.transform(
+        F.sequence(F.lit(0), F.lit(dim - 1)), lambda d: (at(known, 2 * d) - at(known, 2 * d + 1)).cast("double")))[0]
 
-    def model(texts: list[str]) -> list:
-        known: dict[str, np.ndarray] = {}
-        out = []
-        for text in texts:
-            total = np.zeros(dim)
-            for word in re.findall(r"\w+", text.lower()) or [text]:
-                if word not in known:
-                    known[word] = vector_of(word)
-                total += known[word]
-            norm = float(np.sqrt(total @ total)) or 1.0
-            out.append(total / norm)
-        return out
+    def scaled(v: Column) -> Column:
+        length = F.sqrt(F.aggregate(v, F.lit(0.0), lambda total, x: total + x * x))
+        return F.transform(F.array(length), lambda n: F.transform(v, lambda x: F.when(n > 0, x / n).otherwise(0.0)))[0]
 
-    return model
+    return F.transform(F.array(sums), scaled)[0].cast("array<float>")
 
 
-register_embedder("hash-32", 32, lambda: hash_model(32))
+register_expression("hash-32", lambda text: signed_buckets(text, 32))

@@ -9,7 +9,7 @@ from .. import fixed_values as fv
 from ..session import settle
 from .dense import dense_pool, dense_topk
 from .scope import with_scope
-from .sparse import SparseLeg, sparse_topk, top_k_of
+from .sparse import SparseLeg, largest_top_k, sparse_topk, top_k_of
 
 
 def min_max_norm(score: Column, lo: Column, hi: Column) -> Column:
@@ -72,9 +72,10 @@ def hybrid_topk(queries: DataFrame, chunks: DataFrame, alpha: float = fv.HYBRID_
         .otherwise(F.lit("hybrid")).alias("retriever"))
     order = Window.partitionBy("query_id").orderBy(
         F.desc("score"), F.asc_nulls_last("dense_rank"), "chunk_id")
+    most = largest_top_k(queries)  # the literal bound lets tasks drop rows before the shuffle
     return (
         labelled.withColumn("__n", F.row_number().over(order))
-        .where((F.col("__n") <= fv.MAX_TOP_K) & (F.col("__n") <= F.col("top_k")))
+        .where((F.col("__n") <= most) & (F.col("__n") <= F.col("top_k")))
         .select("query_id", "chunk_id",
                 F.when(F.col("retriever") == "hybrid", F.round("score", 6)).otherwise(F.col("score")).alias("score"),
                 (F.col("__n") - 1).alias("rank"), "retriever")

@@ -159,7 +159,12 @@ def bm25_score(queries: DataFrame, chunks: DataFrame) -> DataFrame:
 
 def top_k_of(queries: DataFrame) -> Column:
     wanted = F.col("top_k") if "top_k" in queries.columns else F.lit(fv.DEFAULT_TOP_K)
-    return F.least(F.greatest(F.coalesce(wanted, F.lit(fv.DEFAULT_TOP_K)), F.lit(1)), F.lit(fv.MAX_TOP_K)).cast("int")
+    return F.greatest(F.coalesce(wanted, F.lit(fv.DEFAULT_TOP_K)), F.lit(1)).cast("int")
+
+
+def largest_top_k(queries: DataFrame) -> int:
+    """The most rows that any query asks for; window bounds need it as a literal."""
+    return queries.agg(F.max(top_k_of(queries))).first()[0] or 1
 
 
 class SparseLeg:
@@ -183,7 +188,7 @@ class SparseLeg:
     def __init__(self, queries: DataFrame, chunks: DataFrame, factor: int = 1, pairs: DataFrame | None = None,
                  max_shipped: int = MAX_SHIPPED_ROWS):
         self.factor = factor
-        self.most = fv.MAX_TOP_K * factor
+        self.most = largest_top_k(queries) * factor
         self.queries = queries
         self.pairs = pairs
         self.asked = with_scope(queries).select("query_id", "scope_id", (top_k_of(queries) * factor).alias("pool"))

@@ -6,18 +6,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
+from ..functions.coerce import positive
 from ..functions.text import preview
 
 
 def latest_by_id(rows: DataFrame, order: list[Column]) -> DataFrame:
-    """The last record per id; copies are cut down in every task before they move."""
-    window = Window.partitionBy("id").orderBy(*order)
+    """The last record per id, of equal ones the largest as JSON; copies are cut down in every task before they move."""
+    window = Window.partitionBy("id").orderBy(*order, F.desc(F.to_json(F.struct(*rows.columns))))
     return rows.withColumn("__n", F.row_number().over(window)).where(F.col("__n") == 1).drop("__n")
 
 
 def trace_sink(traces: DataFrame, now: Column, ttl_days: int = fv.TRACE_TTL_DAYS,
-               cap: int | None = fv.TRACE_INDEX_CAP) -> DataFrame:
-    """What the store holds: last record per id, no older than the TTL, newest ``cap``."""
+               cap: int | None = None) -> DataFrame:
+    """What the store holds: last record per id, no older than the TTL; all, or the newest ``cap``."""
+    positive(cap, "cap")
     fresh = traces.where(F.col("created_at") >= now - F.expr(f"INTERVAL {int(ttl_days)} DAYS"))
     kept = latest_by_id(fresh, [F.desc("created_at")])
     return kept if cap is None else kept.orderBy(F.desc("created_at"), "id").limit(cap)
@@ -27,13 +29,15 @@ def trace_lookup(traces: DataFrame, trace_id: str) -> DataFrame:
     return traces.where(F.col("id") == trace_id)
 
 
-def trace_list(traces: DataFrame, limit: int = 50, workflow: str | None = None) -> DataFrame:
-    """Newest traces, of one workflow if asked; the limit is a distributed top-n."""
+def trace_list(traces: DataFrame, limit: int | None = None, workflow: str | None = None) -> DataFrame:
+    """Traces from the newest on, of one workflow if asked; a limit is a distributed top-n."""
+    positive(limit, "limit")
     chosen = traces if workflow is None else traces.where(F.col("workflow") == workflow)
-    return chosen.orderBy(F.desc("created_at"), "id").limit(max(1, min(500, limit)))
+    ordered = chosen.orderBy(F.desc("created_at"), "id")
+    return ordered if limit is None else ordered.limit(limit)
 
 
-def trace_summaries(traces: DataFrame, limit: int = 50, workflow: str | None = None) -> DataFrame:
+def trace_summaries(traces: DataFrame, limit: int | None = None, workflow: str | None = None) -> DataFrame:
     return trace_list(traces, limit, workflow).select(
         "id", "name", "workflow", "status", "latency_ms", preview(F.col("input")).alias("input_preview"),
         preview(F.col("output")).alias("output_preview"), "scores", "metadata")
@@ -67,7 +71,13 @@ def merge_scores_onto_traces(traces: DataFrame, scores: DataFrame) -> DataFrame:
         "scores", F.when(F.col("__new").isNotNull(), merged).otherwise(F.col("scores"))).drop("__new", "__overall")
 
 
-def recent_evals(results: DataFrame, limit: int = 50, cap: int = fv.TRACE_INDEX_CAP) -> DataFrame:
-    """Newest evaluation results; those without a score are not usable and go."""
-    usable = results.where(F.col("overall").isNotNull())
-    return usable.orderBy(F.desc("created_at"), "id").limit(min(cap, limit))
+def recent_evals(results: DataFrame, limit: int | None = None) -> DataFrame:
+    """Evaluation results from the newest on; those without a score are not usable and go."""
+    positive(limit, "limit")
+    usable = results.where(F.col("overall").isNotNull()).orderBy(F.desc("created_at"), "id")
+    return usable if limit is None else usable.limit(limit)
+
+
+def eval_result_sink(results: DataFrame, path: str) -> None:
+    """Appends evaluation results below ``path``, one folder per day of ``created_at``."""
+    results.withColumn("day", F.to_date("created_at")).write.mode("append").partitionBy("day").parquet(path)

@@ -11,11 +11,8 @@ from ..functions import text as T
 from ..operators.evidence import ordered_distinct
 from ..operators.scope import scope_filter
 
-MAX_QUERIES = 4
-MAX_REQUEST_CHARS = 512
-MAX_CANDIDATES = 5
-MAX_ACTIONS = 5
 DERIVED_ACTIONS = 3
+MOST_INT = (1 << 31) - 1
 MAX_TOUCHED_FILES = 20
 
 _FIELD = "struct<repository_ids:array<string>,branch:string,file_types:array<string>,path_prefix:string,chunk_types:array<string>>"
@@ -44,7 +41,7 @@ def json_items(document: Column, path: str) -> Column:
 
 
 def normalize_query_plan(requests: DataFrame, default_top_k: int = fv.DEFAULT_TOP_K) -> DataFrame:
-    """Queries of each request's plan, at most four, always within the request's scope.
+    """All queries of each request's plan, always within the request's scope.
 
     ``requests``: request_id, request, repository_ids, branch and plan (the
     JSON text of the model's plan, or NULL).  A request without a usable
@@ -53,7 +50,7 @@ def normalize_query_plan(requests: DataFrame, default_top_k: int = fv.DEFAULT_TO
     top = _planned_filter(F.col("plan"), "$.filter")
     planned = (
         requests.withColumn("__top", top)
-        .select("*", F.posexplode(F.slice(json_items(F.col("plan"), "$.queries"), 1, MAX_QUERIES)).alias("query_no", "__q"))
+        .select("*", F.posexplode(json_items(F.col("plan"), "$.queries")).alias("query_no", "__q"))
         .withColumn("query", T.strip_space(F.coalesce(F.get_json_object("__q", "$.query"), F.lit(""))))
         .where(F.col("query") != "")
     )
@@ -64,7 +61,7 @@ def normalize_query_plan(requests: DataFrame, default_top_k: int = fv.DEFAULT_TO
     good = planned.select(
         "request_id", "query_no", "query",
         C.coerce_enum(F.get_json_object("__q", "$.strategy"), fv.STRATEGIES, "hybrid").alias("strategy"),
-        C.coerce_int(F.regexp_replace(top_k, r"^(-?\d+)\.\d*$", "$1"), default_top_k, 1, fv.MAX_TOP_K).alias("top_k"),
+        C.coerce_int(F.regexp_replace(top_k, r"^(-?\d+)\.\d*$", "$1"), default_top_k, 1, MOST_INT).alias("top_k"),
         scope_filter(chosen, F.col("repository_ids"), F.col("branch")).alias("filter"),
         F.lit(False).alias("fallback"))
     return good.unionByName(fallback_query(requests, good, default_top_k)).withColumn(
@@ -75,7 +72,7 @@ def fallback_query(requests: DataFrame, planned: DataFrame, default_top_k: int =
     """The request's own text for requests that no planned query covers."""
     nothing = F.lit(None).cast(_FIELD)
     return requests.join(planned.select("request_id").distinct(), "request_id", "left_anti").select(
-        "request_id", F.lit(0).alias("query_no"), F.substring("request", 1, MAX_REQUEST_CHARS).alias("query"),
+        "request_id", F.lit(0).alias("query_no"), F.col("request").alias("query"),
         F.lit("hybrid").alias("strategy"), F.lit(default_top_k).alias("top_k"),
         scope_filter(nothing, F.col("repository_ids"), F.col("branch")).alias("filter"),
         F.lit(True).alias("fallback"))
@@ -113,7 +110,7 @@ _TEXTS = "array<string>"
 
 def normalize_debug_output(raw: Column, n_evidence: Column) -> Column:
     """A debug answer as a struct: candidates, impacted files, steps, fix plan, confidence."""
-    items = F.slice(json_items(raw, "$.root_cause_candidates"), 1, MAX_CANDIDATES)
+    items = json_items(raw, "$.root_cause_candidates")
 
     def candidate(item: Column) -> Column:
         # evidence indices count from 0, citations from 1
@@ -167,7 +164,7 @@ def _action(title: Column, detail: Column, rationale: Column) -> Column:
     return F.struct(title.alias("title"), detail.alias("detail"), rationale.alias("rationale"))
 
 
-def normalize_next_actions(raw: Column, path: str = "$.next_actions", limit: int = MAX_ACTIONS) -> Column:
+def normalize_next_actions(raw: Column, path: str = "$.next_actions", limit: int | None = None) -> Column:
     """Follow-up actions of an answer: objects need a title, plain strings are titles."""
 
     def action(item: Column) -> Column:
@@ -177,7 +174,8 @@ def normalize_next_actions(raw: Column, path: str = "$.next_actions", limit: int
         as_text = _action(T.strip_space(item), F.lit(""), F.lit(""))
         return F.when(item.startswith("{"), _action(part("title"), part("detail"), part("rationale"))).otherwise(as_text)
 
-    return F.filter(F.transform(F.slice(json_items(raw, path), 1, limit), action), lambda a: a["title"] != "")
+    kept = F.filter(F.transform(json_items(raw, path), action), lambda a: a["title"] != "")
+    return kept if C.positive(limit, "limit") is None else F.slice(kept, 1, limit)
 
 
 def derived_actions(steps: Column, title: str, rationale: str) -> Column:

@@ -162,15 +162,15 @@ def norm(scores):
 
 @pytest.mark.parametrize("k,options", [(1, {}), (3, {}), (2, {"max_shipped": 0})])
 def test_hybrid_equals_formula(spark, k, options):
-    model = E.hash_model(32)
-    vec = {i: np.asarray(v) for i, v in zip(TEXTS, model(list(TEXTS.values())))}
     chunks = E.embed_documents(chunk_frame(spark), "hash-32")
+    vec = {r.chunk_id: np.asarray(r.embedding) for r in chunks.collect()}
     queries = E.embed_documents(spark.createDataFrame([(q, t, k) for q, t in QUERIES.items()], "query_id string, query string, top_k int"),
                                 "hash-32", "query", "query_vec")
+    asked = {r.query_id: np.asarray(r.query_vec) for r in queries.collect()}
     got = by_query(H.hybrid_topk(queries, chunks, **options))
     for q, text in QUERIES.items():
-        qv = np.asarray(model([text])[0]).astype(np.float32).astype(float)
-        cos = {i: round(float(v.astype(np.float32).astype(float) @ qv / (np.linalg.norm(v.astype(np.float32).astype(float)) * np.linalg.norm(qv))), 9) for i, v in vec.items()}
+        qv = asked[q].astype(np.float32).astype(float)
+        cos = {i: round(float(v.astype(np.float32).astype(float) @ qv / ((np.linalg.norm(v.astype(np.float32).astype(float)) * np.linalg.norm(qv)) or 1.0)), 9) for i, v in vec.items()}
         pool = top(cos, 3 * k)
         place = {i: n for n, (i, _) in enumerate(pool)}
         d, s = norm(dict(pool)), norm(bm25(text, TEXTS))
@@ -204,7 +204,28 @@ def test_rerank(spark):
         ("q1", "b", 5.0, True), ("q1", "a", 1.0, True), ("q2", "a", 1.0, False), ("q2", "bad", 0.5, False)]
 
 
-def test_failing_embedder_gives_zero_vectors(spark):
+def test_failing_embedders(spark):
+    texts = spark.createDataFrame([("x",)], "text string")
     E.register_embedder("broken", 3, lambda: lambda texts: 1 / 0)
-    row = E.embed_documents(spark.createDataFrame([("x",)], "text string"), "broken").first()
-    assert row.embedding == [0.0, 0.0, 0.0]
+    E.register_embedder("wide", 3, lambda: lambda texts: [[1.0] * 4 for _ in texts])
+    for name in ("broken", "wide"):
+        assert E.embed_documents(texts, name, on_error="zeros").first().embedding == [0.0, 0.0, 0.0]
+        with pytest.raises(Exception, match="division by zero|not \\(1, 3\\)"):
+            E.embed_documents(texts, name).collect()
+
+
+def test_hashed_words_have_unit_length(spark):
+    rows = spark.createDataFrame([("One two two",), ("two ONE two!",), ("",), (None,), ("...",)], "text string")
+    a, b, *empty = [r.embedding for r in E.embed_documents(rows, "hash-32").collect()]
+    assert a == b and abs(sum(x * x for x in a) - 1) < 1e-6
+    assert all(e == [0.0] * 32 for e in empty)
+
+
+def test_more_than_fifty_rows_per_query(spark):
+    chunks = spark.createDataFrame([(f"c{i:04}", f"common word{i}") for i in range(400)], "chunk_id string, text string")
+    queries = spark.createDataFrame([("q", "common", 200), ("r", "common", 3)], "query_id string, query string, top_k int")
+    found = by_query(B.sparse_topk(queries, chunks))
+    assert len(found["q"]) == 200 and len(found["r"]) == 3
+    vectors = E.embed_documents(chunks, "hash-32")
+    asked = E.embed_documents(queries, "hash-32", "query", "query_vec")
+    assert len(by_query(D.dense_topk(asked, vectors))["q"]) == 200
