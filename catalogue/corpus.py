@@ -13,6 +13,8 @@ from groundwell.sources import chunk_store as CS
 from groundwell.sources import datasets as DS
 from groundwell.sources import files as FS
 
+from groundwell.session import fresh_folder
+
 from . import inputs as I
 
 QUERIES, SQL = {}, {}
@@ -27,9 +29,17 @@ def register(name, sql=None):
     return add
 
 
-@register("scan_repo_files")
+@register("scan_repo_files", """SELECT 'r' || page_id % 7 || '/r' || page_id % 7 || '/' || CASE page_id % 3 WHEN 0 THEN '_' ELSE '' END || 'page' || page_id || '.txt' AS file_path,
+  strlen(html) AS length FROM pages WHERE page_id % 7 <> 6""")
 def scan_repo_files(spark, sf):
-    return FS.scan_repo_files(spark, sf).select("file_path", "length")
+    """Pages written out as files, some under names that Spark's listing passes over, in nested folders of one name."""
+    root = fresh_folder(spark, "tree") + "/r0"
+    pages = I.table(spark, sf, "pages")
+    group = F.concat(F.lit("r"), (F.col("page_id") % 7).cast("string"))
+    name = F.concat(F.when(F.col("page_id") % 3 == 0, F.lit("_")).otherwise(F.lit("")), F.lit("page"), F.col("page_id").cast("string"), F.lit(".txt"))
+    folder = F.when(F.col("page_id") % 7 == 6, F.lit("node_modules/x")).otherwise(F.concat_ws("/", group, group))
+    FS.write_files(pages.select(F.concat_ws("/", folder, name).alias("file_path"), F.col("html").alias("text")), root)
+    return FS.scan_repo_files(spark, root).select("file_path", "length")
 
 
 @register("scope_paths", f"WITH {I.FILES} SELECT repository_id, file_path FROM files WHERE starts_with(file_path, 'en/1') OR starts_with(file_path, 'fr')")
@@ -235,13 +245,20 @@ def upsert_chunks(spark, sf):
     old = chunked(spark, sf)
     new = old.where(F.substring("file_path", 1, 2).isin("es", "de") & (F.col("start_line") == 1)).withColumn(
         "content_hash", F.lit("new"))
-    return CS.merge_chunks(old, new).select(
+    path = fresh_folder(spark, "chunk-table")
+    CS.upsert_chunks(spark, path, old)
+    CS.upsert_chunks(spark, path, new)
+    return CS.read_chunks(spark, path, old.schema).select(
         "repository_id", "file_path", F.col("start_line").cast("bigint").alias("start_line"), "content_hash")
 
 
 @register("delete_repository", f"WITH {CHUNKED} SELECT repository_id, count(*) AS n_chunks FROM chunks WHERE repository_id <> 'src3' GROUP BY 1")
 def delete_repository(spark, sf):
-    return CS.chunk_count(CS.without_repository(chunked(spark, sf), "src3"))
+    path = fresh_folder(spark, "chunk-table")
+    chunks = chunked(spark, sf)
+    CS.upsert_chunks(spark, path, chunks)
+    CS.delete_repository(spark, path, "src3")
+    return CS.chunk_count(CS.read_chunks(spark, path, chunks.schema))
 
 
 @register("chunk_count", f"WITH {CHUNKED} SELECT repository_id, count(*) AS n_chunks FROM chunks GROUP BY 1")

@@ -75,7 +75,7 @@ def classify_chunk(spark, sf):
 @register("is_indexable", f"""SELECT page_id, length BETWEEN 1 AND 1000000 AND {_PICK} NOT IN ('unknown', '.gitignore') AS keep
 FROM ({PAGE_PATHS})""")
 def is_indexable(spark, sf):
-    return page_paths(spark, sf).select("page_id", P.is_indexable(F.col("path"), F.col("length")).alias("keep"))
+    return page_paths(spark, sf).select("page_id", P.is_indexable(F.col("path"), F.col("length"), 1_000_000).alias("keep"))
 
 
 # --- T3 / T4 / T5 ----------------------------------------------------------

@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
+from .coerce import positive
 
 
 def _lookup(table: dict[str, str], key: Column) -> Column:
@@ -73,8 +74,9 @@ def scope_paths(path: Column, prefixes: list[str]) -> Column:
     return hit
 
 
-def is_indexable(path: Column, length: Column) -> Column:
-    """Whether a file is worth indexing, from its name and size alone."""
+def is_indexable(path: Column, length: Column, max_bytes: int | None = None) -> Column:
+    """Whether a file is worth indexing, from its name and size alone; without ``max_bytes`` any size above 0 is."""
+    positive(max_bytes, "max_bytes")
     name = F.lower(basename(path))
     last = F.when(F.contains(name, F.lit(".")), F.substring_index(name, ".", -1)).otherwise(F.lit(""))
     suffixes = "|".join(s.replace(".", r"\.") for s in fv.EXCLUDE_SUFFIXES)
@@ -83,7 +85,7 @@ def is_indexable(path: Column, length: Column) -> Column:
         & ~name.rlike(f"(?:{suffixes})$")
         & ~last.isin(fv.EXCLUDE_EXTENSIONS)
         & (detect_language(path).isNotNull() | last.isin("", "txt"))
-        & length.between(1, fv.MAX_FILE_BYTES)
+        & (length.between(1, max_bytes) if max_bytes is not None else length >= 1)
     )
 
 

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import os
+import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,7 +36,21 @@ def local_session(cores: str | int = "*", memory: str = "8g", name: str = "groun
         builder = builder.config("spark.checkpoint.dir", shared)
     for key, value in SETTINGS.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Hands this package to the Python workers of a session, wherever its driver was started."""
+    root = Path(__file__).resolve().parent
+    if not root.is_dir():  # run out of an archive that was shipped already
+        return
+    archive = Path(tempfile.mkdtemp(prefix="groundwell-")) / "groundwell-package.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for source in sorted(root.rglob("*.py")):
+            out.write(source, f"{root.name}/{source.relative_to(root)}")
+    spark.sparkContext.addPyFile(str(archive))
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..operators.scope import retrieval_filter
+from ..schemas import CHUNKS
 from ..session import settle
 
 FILE_KEY = ["repository_id", "branch", "file_path"]
@@ -16,18 +18,27 @@ def pair_with_vectors(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
     return chunks.join(vectors.select("chunk_id", "embedding"), "chunk_id")
 
 
-def merge_chunks(old: DataFrame, new: DataFrame, key: list[str] | None = None) -> DataFrame:
+def merge_chunks(old: DataFrame, new: DataFrame, key: list[str] | None = None,
+                 scanned: DataFrame | None = None) -> DataFrame:
     """Insert-or-replace.
 
     By default a file's chunks are replaced together, so a file that shrank
     leaves nothing behind; ``key=["chunk_id"]`` replaces single chunks.
+    ``scanned`` names all files that were looked at (the columns of
+    ``FILE_KEY``): those that have no chunks any more lose their old ones.
     """
     keys = key or FILE_KEY
-    return old.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new)
+    replaced = new.select(*keys)
+    if scanned is not None:
+        if key:
+            raise ValueError("files are scanned, so they are replaced as files")
+        replaced = replaced.unionByName(scanned.select(*keys))
+    return old.join(replaced.distinct(), keys, "left_anti").unionByName(new)
 
 
-def read_chunks(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def read_chunks(spark: SparkSession, path: str, schema: str | StructType = CHUNKS) -> DataFrame:
+    """The table as declared, also where no chunk has been written yet."""
+    return spark.read.schema(schema).parquet(path)
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -35,21 +46,38 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return location.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(location)
 
 
-def upsert_chunks(spark: SparkSession, path: str, new: DataFrame, key: list[str] | None = None) -> None:
+def touched_chunks(spark: SparkSession, path: str, new: DataFrame, scanned: DataFrame | None = None) -> DataFrame:
+    """Stored chunks of the repositories that a write touches; the others' partitions are not read.
+
+    The driver gets one id per touched repository.
+    """
+    ids = new.select("repository_id")
+    if scanned is not None:
+        ids = ids.unionByName(scanned.select("repository_id"))
+    names = [r.repository_id for r in ids.distinct().collect()]
+    return read_chunks(spark, path, new.schema).where(F.col("repository_id").isin(names)).select(*new.columns)
+
+
+def upsert_chunks(spark: SparkSession, path: str, new: DataFrame, key: list[str] | None = None,
+                  scanned: DataFrame | None = None) -> None:
     """Merge ``new`` into the table at ``path``.
 
-    Only repositories that ``new`` touches are read and rewritten.  The merged
-    rows go to the shared folder first, because a table cannot be overwritten
-    while it is being read; the overwrite then swaps whole partitions.
+    Only repositories that ``new`` or ``scanned`` touch are read and rewritten.
+    The merged rows go to the shared folder first, because a table cannot be
+    overwritten while it is being read; the overwrite then swaps whole
+    partitions, so that a repeated call leaves the same table.
     """
     if not _exists(spark, path):
         new.write.partitionBy("repository_id").parquet(path)
         return
     fresh = settle(new, "chunks-new")
-    touched = read_chunks(spark, path).join(fresh.select("repository_id").distinct(), "repository_id", "left_semi")
-    merged = settle(merge_chunks(touched.select(*new.columns), fresh, key), "chunks-merged")
+    merged = settle(merge_chunks(touched_chunks(spark, path, fresh, scanned), fresh, key, scanned), "chunks-merged")
     merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
         "repository_id").parquet(path)
+    if scanned is not None:  # an overwrite does not touch partitions that have become empty
+        left = merged.select("repository_id").distinct()
+        for row in scanned.select("repository_id").distinct().join(left, "repository_id", "left_anti").collect():
+            delete_repository(spark, path, row.repository_id)
 
 
 def without_repository(chunks: DataFrame, repository_id: str) -> DataFrame:

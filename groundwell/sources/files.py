@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from .. import fixed_values as fv
 from ..functions import paths as P
 
+FRAME_BYTES = 32 << 20  # of file contents handed on at once
 # two non-characters that stand in for a genuine U+FFFD while bad bytes are dropped
 _STAND_IN = "\ufdd0\ufdd1"
 
@@ -24,24 +25,29 @@ def scan_repo_files(spark: SparkSession, root: str, prefixes: list[str] | None =
     """
     base = root.rstrip("/")
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
-    folder = base.split("://", 1)[-1].lstrip("/")
-    after_root = F.substring_index(F.col("path"), folder + "/", -1)
     files = found.select(
-        after_root.alias("file_path"), "length", F.col("modificationTime").alias("modified"), "content")
+        below_root(spark, base, F.col("path")).alias("file_path"), "length", F.col("modificationTime").alias("modified"), "content")
     every = files.unionByName(_underscored_files(spark, base))
     return every.where(
         ~P.in_skipped_dir(F.col("file_path"), fv.EXCLUDE_DIRS)
         & P.scope_paths(F.col("file_path"), prefixes or []))
 
 
+def below_root(spark: SparkSession, root: str, path: Column) -> Column:
+    """The part of a path below ``root``, whose full name the file system gives."""
+    location = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    system = location.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    full = system.makeQualified(location).toString().rstrip("/")
+    return F.substring(path, len(full) + 2, 1 << 30)
+
+
 _FILE = "file_path string, length bigint, modified timestamp, content binary"
 
 
 def _underscored_files(spark: SparkSession, base: str) -> DataFrame:
     """Files Spark's own listing passes over: ``__init__.py`` and other ``_`` or ``.`` names.
 
-    The folders right below the root are walked in parallel tasks; only files
-    of a size that can be indexed are opened, in the task that lists them.
+    The folders right below the root are walked in parallel tasks.
     """
     filesystem, top = _open_fs(base)
     from pyarrow.fs import FileSelector, FileType
@@ -66,7 +72,7 @@ def _walk_underscored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]
         for base, folder in zip(batch["base"], batch["folder"]):
             filesystem, top = _open_fs(base)
             start = f"{top}/{folder}" if folder else top
-            held = []
+            held, size = [], 0
             for info in filesystem.get_file_info(FileSelector(start, recursive=bool(folder))):
                 relative = info.path[len(top) + 1 :]
                 parts = relative.split("/")
@@ -74,14 +80,13 @@ def _walk_underscored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]
                     p in fv.EXCLUDE_DIRS or p.startswith(".git") for p in parts[:-1])
                 if info.type != FileType.File or not hidden:
                     continue
-                content = None
-                if 0 < info.size <= fv.MAX_FILE_BYTES:
-                    with filesystem.open_input_stream(info.path) as stream:
-                        content = stream.read()
+                with filesystem.open_input_stream(info.path) as stream:
+                    content = stream.read()
                 held.append((relative, info.size, info.mtime, content))
-                if len(held) >= 500:
+                size += len(content)
+                if len(held) >= 500 or size >= FRAME_BYTES:
                     yield _file_frame(held)
-                    held = []
+                    held, size = [], 0
             if held:
                 yield _file_frame(held)
 
@@ -90,6 +95,20 @@ def _file_frame(rows: list) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["file_path", "length", "modified", "content"])
 
 
+def write_files(files: DataFrame, root: str) -> None:
+    """Writes ``text`` of every row to ``root``/``file_path`` through the root's own file system."""
+
+    def write(rows) -> None:
+        filesystem, top = _open_fs(root)
+        for row in rows:
+            path = f"{top}/{row.file_path}"
+            filesystem.create_dir(path.rpartition("/")[0], recursive=True)
+            with filesystem.open_output_stream(path) as stream:
+                stream.write((row.text or "").encode("utf-8"))
+
+    files.select("file_path", "text").foreachPartition(write)
+
+
 def decode_lenient(content: Column) -> Column:
     """UTF-8 text with invalid bytes dropped; a genuine U+FFFD survives."""
     raw = content.cast("string")
@@ -109,9 +128,11 @@ def read_text_lenient(files: DataFrame) -> DataFrame:
 
 
 def repository_files(spark: SparkSession, root: str, repository_id: str, repo_name: str, branch: str = "main",
-                     commit_hash: str | None = None, prefixes: list[str] | None = None) -> DataFrame:
-    """All indexable files of one working tree, ready for ``chunk_files``."""
-    files = scan_repo_files(spark, root, prefixes).where(P.is_indexable(F.col("file_path"), F.col("length")))
+                     commit_hash: str | None = None, prefixes: list[str] | None = None,
+                     max_bytes: int | None = None) -> DataFrame:
+    """All indexable files of one working tree, ready for ``chunk_files``; ``max_bytes`` leaves larger ones out."""
+    files = scan_repo_files(spark, root, prefixes).where(
+        P.is_indexable(F.col("file_path"), F.col("length"), max_bytes))
     return read_text_lenient(files).select(
         F.lit(repository_id).alias("repository_id"), F.lit(repo_name).alias("repo_name"),
         F.lit(branch).alias("branch"), F.lit(commit_hash).cast("string").alias("commit_hash"),

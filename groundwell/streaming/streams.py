@@ -17,7 +17,7 @@ from ..operators.chunking import chunk_files
 from ..operators.evals import score_all
 from ..operators.traces import latest_by_id, trace_sink
 from ..sources.chunk_store import upsert_chunks
-from ..sources.files import read_text_lenient
+from ..sources.files import below_root, read_text_lenient
 
 
 def stream_eval(responses: DataFrame, **options) -> DataFrame:
@@ -114,8 +114,7 @@ def stream_files(spark: SparkSession, root: str, repository_id: str, repo_name:
         spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary")
         .option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files_per_batch).load(base)
     )
-    folder = base.split("://", 1)[-1].lstrip("/")
-    named = found.select(F.substring_index("path", folder + "/", -1).alias("file_path"), "length", "content")
+    named = found.select(below_root(spark, base, F.col("path")).alias("file_path"), "length", "content")
     wanted = named.where(
         ~P.in_skipped_dir(F.col("file_path"), fv.EXCLUDE_DIRS) & P.is_indexable(F.col("file_path"), F.col("length")))
     return read_text_lenient(wanted).select(
@@ -127,7 +126,7 @@ def stream_ingest(files: DataFrame, path: str, checkpoint: str, trigger: dict |
     """Chunk files as they arrive and replace their chunks in the table at ``path``."""
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
-        upsert_chunks(batch.sparkSession, path, chunk_files(batch))
+        upsert_chunks(batch.sparkSession, path, chunk_files(batch), scanned=batch)
 
     return (
         files.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint)

@@ -1,3 +1,5 @@
+import re
+
 from conftest import SAMPLE, file_rows
 from pyspark.sql import functions as F
 
@@ -124,6 +126,41 @@ def test_store_round_trip(spark, tmp_path):
     assert {r.repository_id for r in CS.read_chunks(spark, path).collect()} == {"repo_2"}
 
 
+def test_store_prunes_partitions_and_forgets_emptied_files(spark, tmp_path):
+    path = str(tmp_path / "chunks")
+    none = C.chunk_files(file_rows(spark, {"e.md": ""}))
+    CS.upsert_chunks(spark, path, none)  # a first batch without chunks leaves a readable table
+    CS.upsert_chunks(spark, path, none)
+    assert CS.read_chunks(spark, path).count() == 0
+    for repo in ("repo_1", "repo_2"):
+        CS.upsert_chunks(spark, path, C.chunk_files(file_rows(spark, {"a.md": "# A\none", "b.md": "# B\ntwo"}, repo=repo)))
+    new = C.chunk_files(file_rows(spark, {"a.md": "# A\nthree"}))
+    plan = CS.touched_chunks(spark, path, new)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*repository_id[^\]]*repo_1", plan)
+    emptied = file_rows(spark, {"a.md": "", "c.md": "# C\nx"})
+    for _ in range(2):  # a repeated call changes nothing
+        CS.upsert_chunks(spark, path, C.chunk_files(emptied), scanned=emptied)
+        rows = sorted((r.repository_id, r.file_path) for r in CS.read_chunks(spark, path).collect())
+        assert rows == [("repo_1", "b.md"), ("repo_1", "c.md"), ("repo_2", "a.md"), ("repo_2", "b.md")]
+    gone = file_rows(spark, {"a.md": "", "b.md": ""}, repo="repo_2")
+    CS.upsert_chunks(spark, path, C.chunk_files(gone), scanned=gone)
+    assert {r.repository_id for r in CS.read_chunks(spark, path).collect()} == {"repo_1"}
+
+
+def test_paths_below_roots_whose_name_comes_again(spark, tmp_path, monkeypatch):
+    root = tmp_path / "repo"
+    for name in ("packages/repo/sub/a.py", "lib/myrepo/b.py", "repo/c.py", "top.py", "_repo/repo/d.py"):
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text("x = 1")
+    want = {"packages/repo/sub/a.py", "lib/myrepo/b.py", "repo/c.py", "top.py", "_repo/repo/d.py"}
+    assert {r.file_path for r in FS.scan_repo_files(spark, str(root)).collect()} == want
+    assert {r.file_path for r in FS.scan_repo_files(spark, f"file://{root}/").collect()} == want
+    big = root / "big.py"
+    big.write_text("y = 1\n" * 400_000)
+    assert "big.py" in {r.file_path for r in FS.repository_files(spark, str(root), "r", "r").collect()}
+    assert "big.py" not in {r.file_path for r in FS.repository_files(spark, str(root), "r", "r", max_bytes=1_000_000).collect()}
+
+
 def test_index_stats(spark):
     files = file_rows(spark, {"a.py": "x = 1", "b.md": "# T\né", "c.md": "", "d": "plain"})
     files = files.unionByName(file_rows(spark, {"bin.txt": "x"}).withColumn("text", F.lit(None).cast("string")))
