@@ -36,6 +36,28 @@ DEFINITION = (
     rf"\A{_MODIFIERS}(?:def|class|func|fn|function\*?|interface|trait|impl(?:<[^>]*>)?|struct|enum|"
     rf"mod|module|object|record|protocol|namespace|type|fun|sub)\s+(?:\([^)]*\)\s*)?{_NAME}"
 )
+# What else begins a definition in some languages, one rule each; the first rule that gives a name wins.
+_C_LIKE = (
+    r"\A(?!(?:return|else|if|for|while|switch|case|goto|using|typedef|new|delete|throw)\b)"
+    r"[A-Za-z_][\w \t:<>,*&\[\]]*[ \t*&]([A-Za-z_~][\w:~]*)[ \t]*\([^;]*\z"
+)
+_ARROW = (
+    rf"\A(?:export\s+(?:default\s+)?)?(?:const|let|var)\s+{_NAME}\s*(?::[^=]+)?=\s*(?:async\s*)?"
+    r"(?:function\b|\([^)]*\)\s*(?::[^=]+)?=>|[\w$]+\s*=>)"
+)
+LANGUAGE_DEFINITIONS = [
+    (["rust"], rf"\A(?:unsafe\s+)?impl(?:<[^>]*>)?\s+\S.*\sfor\s+{_NAME}"),
+    (["c", "cpp", "objc", "java", "csharp", "dart", "groovy"], _C_LIKE),
+    (["javascript", "typescript", "tsx", "vue", "svelte"], _ARROW),
+    (["bash"], r"\A(?:function\s+)?([A-Za-z_][\w:-]*)\s*\(\s*\)"),
+    (["elixir"], r"\Adef(?:module|protocol|impl|macro|macrop|p)?\s+([\w.?!]+)"),
+    (["lua"], r"\A(?:local\s+)?function\s+([\w.:]+)"),
+    (["haskell"], r"\A(?:(?:data|newtype|class|type)\s+([A-Z][\w']*))"),
+    (["haskell"], r"\A([a-z_][\w']*)\s*::"),
+    (["sql"], r"(?i)\Acreate\s+(?:or\s+replace\s+)?(?:temp(?:orary)?\s+)?(?:materialized\s+)?(?:unique\s+)?"
+              r"(?:table|view|function|procedure|index|trigger|type)\s+(?:if\s+not\s+exists\s+)?([\w.\"]+)"),
+]
+ANNOTATION = r"\A@[A-Za-z_]"  # belongs to the definition below it
 # left-margin lines that still belong to the definition above them
 CONTINUATION = r"\A(?:[\s})\]{]|end\b|\z)"
 
@@ -146,28 +168,34 @@ def markdown_pieces(lines: Column) -> Column:
     return split_long(_sections(lines), fv.MAX_SECTION_LINES)
 
 
-def boundary_spans(lines: Column) -> Column:
-    """Definitions that begin at the left margin, up to the next left-margin line."""
+def definition_name(head: Column, language: Column | None = None) -> Column:
+    """The name of the definition that a left-margin line begins, or NULL."""
+    own = [] if language is None else [
+        F.when(language.isin(names), F.nullif(F.regexp_extract(head, rule, 1), F.lit("")))
+        for names, rule in LANGUAGE_DEFINITIONS]
+    return F.coalesce(*own, F.nullif(F.regexp_extract(head, DEFINITION, 1), F.lit("")))
+
+
+def boundary_spans(lines: Column, language: Column | None = None) -> Column:
+    """Definitions that begin at the left margin, up to the next left-margin line; annotations go with them."""
     n = F.size(lines)
-    tops = F.filter(
-        F.transform(lines, lambda line, i: F.when(~line.rlike(CONTINUATION), i)), lambda i: i.isNotNull()
-    )
+    tops = F.filter(F.transform(lines, lambda line, i: F.when(
+        ~line.rlike(CONTINUATION) & ~F.coalesce(F.get(lines, i - 1).rlike(ANNOTATION), F.lit(False)), i)),
+        lambda i: i.isNotNull())
 
-    def span(start: Column, i: Column) -> Column:
-        stop = F.coalesce(F.get(tops, i + 1), n)
+    def span(known: Column, start: Column, i: Column) -> Column:
+        stop = F.coalesce(F.get(known, i + 1), n)
+        mine = F.slice(lines, start + 1, stop - start)
         filled = F.filter(
-            F.transform(F.slice(lines, start + 1, stop - start),
-                        lambda line, j: F.when(~T.is_blank(line), start + j + 1)),
-            lambda j: j.isNotNull(),
-        )
-        head = _line(lines, start)
-        return F.when(
-            head.rlike(DEFINITION),
-            F.struct((start + 1).cast("int").alias("start"), F.element_at(filled, -1).cast("int").alias("end"),
-                     F.regexp_extract(head, DEFINITION, 1).alias("symbol")),
-        )
+            F.transform(mine, lambda line, j: F.when(~T.is_blank(line), start + j + 1)), lambda j: j.isNotNull())
+        name = definition_name(F.get(F.filter(mine, lambda x: ~x.rlike(ANNOTATION)), F.lit(0)), language)
+        return F.when(name.isNotNull(), F.struct(
+            (start + 1).cast("int").alias("start"), F.element_at(filled, -1).cast("int").alias("end"),
+            name.alias("symbol")))
 
-    return F.filter(F.transform(tops, span), lambda s: s.isNotNull())
+    # a one-element transform names the boundaries so that they are found once
+    return F.transform(F.array(tops), lambda known: F.filter(
+        F.transform(known, lambda start, i: span(known, start, i)), lambda s: s.isNotNull()))[0]
 
 
 def _outermost(nodes) -> list[tuple[int, int, str | None]]:
@@ -260,7 +288,7 @@ def chunk_files(files: DataFrame) -> DataFrame:
         "__spans", F.coalesce(python_spans(F.col("text")), boundary_spans(F.col("__lines"))))
     other_code = (F.col("chunk_type") == "code") & F.col("language").isin(fv.PARSED_LANGUAGES) & ~is_python
     rest = typed.where(F.coalesce(~is_python, F.lit(True))).withColumn(
-        "__spans", F.when(other_code, boundary_spans(F.col("__lines"))).otherwise(F.array().cast(SPAN)))
+        "__spans", F.when(other_code, boundary_spans(F.col("__lines"), F.col("language"))).otherwise(F.array().cast(SPAN)))
     lines, spans = F.col("__lines"), F.col("__spans")
     pieces = F.when(F.col("chunk_type") == "markdown", markdown_pieces(lines)).otherwise(
         definition_pieces(lines, spans))

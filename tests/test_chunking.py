@@ -3,6 +3,7 @@ import re
 from conftest import SAMPLE, file_rows
 from pyspark.sql import functions as F
 
+from groundwell import fixed_values as fv
 from groundwell.operators import chunking as C
 from groundwell.operators import corpus as K
 from groundwell.sources import chunk_store as CS
@@ -161,6 +162,30 @@ def test_paths_below_roots_whose_name_comes_again(spark, tmp_path, monkeypatch):
     assert "big.py" not in {r.file_path for r in FS.repository_files(spark, str(root), "r", "r", max_bytes=1_000_000).collect()}
 
 
+def test_definitions_of_many_languages(spark):
+    sources = {
+        "a.c": "#include <x.h>\nstatic int add(int a,\n               int b)\n{\n    return a;\n}\nint x = f(1);\n",
+        "b.cpp": "void Box::open() const {\n    go();\n}\n", "c.js": "export const run = async (x) => {\n  y();\n};\nconst n = 3;\n",
+        "d.sh": "deploy() {\n  ls\n}\n", "e.ex": "defmodule App.Core do\n  def go, do: 1\nend\n", "f.lua": "local function help(x)\n  return x\nend\n",
+        "g.hs": "size :: Int -> Int\nsize x = x\n", "h.sql": "CREATE OR REPLACE VIEW v.totals AS\n  SELECT 1;\n",
+        "i.rs": "impl<T> Show for Wrapper {\n    fn x() {}\n}\nfn plain() {\n}\n", "J.java": "@Service\npublic class Store {\n  int x;\n}\n",
+    }
+    found = {}
+    for r in C.chunk_files(file_rows(spark, sources)).collect():
+        if r.symbol:
+            found.setdefault(r.file_path, []).append((r.symbol, r.start_line, r.end_line))
+    want = {"a.c": [("add", 2, 6)], "b.cpp": [("Box::open", 1, 3)], "c.js": [("run", 1, 3)], "d.sh": [("deploy", 1, 3)],
+            "e.ex": [("App.Core", 1, 3)], "f.lua": [("help", 1, 3)], "g.hs": [("size", 1, 1)], "h.sql": [("v.totals", 1, 2)],
+            "i.rs": [("Wrapper", 1, 3), ("plain", 4, 5)], "J.java": [("Store", 1, 4)]}
+    assert {k: sorted(v, key=lambda x: x[1]) for k, v in found.items()} == {
+        k: v for k, v in want.items() if detected(k) in fv.PARSED_LANGUAGES}
+    assert len(found) >= 8
+
+
+def detected(path):
+    return fv.LANGUAGE_BY_EXTENSION[path.rpartition(".")[2].lower()]
+
+
 def test_index_stats(spark):
     files = file_rows(spark, {"a.py": "x = 1", "b.md": "# T\né", "c.md": "", "d": "plain"})
     files = files.unionByName(file_rows(spark, {"bin.txt": "x"}).withColumn("text", F.lit(None).cast("string")))
