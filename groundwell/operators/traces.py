@@ -22,7 +22,8 @@ def trace_sink(traces: DataFrame, now: Column, ttl_days: int = fv.TRACE_TTL_DAYS
     positive(cap, "cap")
     fresh = traces.where(F.col("created_at") >= now - F.expr(f"INTERVAL {int(ttl_days)} DAYS"))
     kept = latest_by_id(fresh, [F.desc("created_at")])
-    return kept if cap is None else kept.orderBy(F.desc("created_at"), "id").limit(cap)
+    ordered = kept.orderBy(F.desc("created_at"), "id")
+    return ordered if cap is None else ordered.limit(cap)
 
 
 def trace_lookup(traces: DataFrame, trace_id: str) -> DataFrame:
