@@ -42,10 +42,12 @@ FILTER_BITS = 23
 
 _VALUE = np.random.default_rng(10).integers(1, 1 << 63, 256, dtype=np.uint64)
 
-ANCHORS = pa.schema([("bucket", pa.int64()), ("context", pa.int64()), ("key", pa.int64()), ("place", pa.int64())])
+ANCHORS = pa.schema([("bucket", pa.int64()), ("context", pa.int64()), ("key", pa.int64()), ("place", pa.int64()),
+                     ("known", pa.int32())])
 REFINED = pa.schema([("kind", pa.int32()), ("bucket", pa.int64()), ("key", pa.int64()), ("place", pa.int64())])
 CONTEXTS = pa.schema([("bucket", pa.int64()), ("key", pa.int64()), ("place", pa.int64()), ("bytes", pa.binary())])
 RANGES = pa.schema([("key", pa.int64()), ("first", pa.int64()), ("last", pa.int64())])
+FRESH, TWICE, DONE = 0, 1, 2  # anchors: met once; one of several equal ones of a task; the others of them
 WHOLE, LOOK, DEAL = 0, 1, 2  # kinds of refined rows: repeated as a whole; to be compared; to be dealt out
 
 
@@ -113,10 +115,19 @@ def _emit_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         for batch in slices(whole, WORKING_SET):
             texts = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
             text, anchor, first, last, bucket, context = anchors(texts)
-            keys = batch.column("key").to_numpy(zero_copy_only=False)
+            keys = batch.column("key").to_numpy(zero_copy_only=False)[text]
+            place = _place(anchor, first, last)
+            # of equal anchors one stands for all in their bucket; the others are known to be repeated and go anywhere
+            order = np.lexsort((context, bucket))
+            new = np.concatenate([[True], (context[order][1:] != context[order][:-1]) | (
+                bucket[order][1:] != bucket[order][:-1])]) if len(order) else np.zeros(0, bool)
+            _, size = _runs(np.cumsum(new)) if len(order) else (None, np.zeros(0, np.int64))
+            known = np.where(new, np.where(np.repeat(size > 1, size), TWICE, FRESH), DONE)
+            bucket, context, keys, place = bucket[order], context[order], keys[order], place[order]
+            bucket = np.where(known == DONE, mix(keys.view(np.uint64) ^ place.view(np.uint64)), bucket)
             yield pa.RecordBatch.from_arrays([
-                pa.array(bucket.view(np.int64)), pa.array(context.view(np.int64)), pa.array(keys[text]),
-                pa.array(_place(anchor, first, last))], schema=ANCHORS)
+                pa.array(bucket.view(np.int64)), pa.array(context.view(np.int64)), pa.array(keys), pa.array(place),
+                pa.array(known.astype(np.int32))], schema=ANCHORS)
 
 
 def _grouped(batches: Iterator[pa.RecordBatch], column: str = "bucket") -> Iterator[pa.Table]:
@@ -150,13 +161,22 @@ def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _refine(batches: Iterator[pa.RecordBatch], held: int = HELD) -> Iterator[pa.RecordBatch]:
     """Second step, over anchors sorted by bucket and context."""
     for table in _grouped(batches):
-        bucket, context, key, place = (table[c].to_numpy() for c in ANCHORS.names)
+        done = np.flatnonzero(table["known"].to_numpy() == DONE)
+        if len(done):
+            bucket, key, place = (table[c].to_numpy()[done] for c in ("bucket", "key", "place"))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(done), WHOLE, np.int32)), *map(
+                pa.array, (bucket, key, place))], schema=REFINED)
+            table = table.filter(pa.array(np.logical_not(np.isin(np.arange(table.num_rows), done))))
+            if not table.num_rows:
+                continue
+        bucket, context, key, place, known = (table[c].to_numpy() for c in ANCHORS.names)
         at, size = _runs(bucket)
         of = np.repeat(np.arange(len(at)), size)
         new = np.concatenate([[True], (context[1:] != context[:-1]) | (bucket[1:] != bucket[:-1])])
         kind_at = np.flatnonzero(new)
-        copies = np.diff(np.append(kind_at, len(key)))
-        repeated = np.repeat(copies > 1, copies)
+        rows_each = np.diff(np.append(kind_at, len(key)))
+        copies = np.add.reduceat(1 + (known == TWICE), kind_at)
+        repeated = np.repeat(copies > 1, rows_each)
         kinds = np.bincount(of[kind_at], minlength=len(at))
         single = np.bincount(of[kind_at], weights=copies == 1, minlength=len(at))
         look = kind_at[((kinds > 1) & (single > 0))[of[kind_at]]]  # one anchor for each context of such a bucket
@@ -335,8 +355,8 @@ def _maybe(keys: DataFrame):
 
 def repeated_ranges(keyed: DataFrame, held: int = HELD, pairwise: int = PAIRWISE) -> DataFrame:
     """(key, first, last): ranges of starts of repeated windows, of texts ``keyed`` (key, text)."""
-    found = keyed.mapInArrow(_emit_anchors, "bucket long, context long, key long, place long")
-    sorted_ = found.repartition("bucket").sortWithinPartitions("bucket", "context")
+    found = keyed.mapInArrow(_emit_anchors, "bucket long, context long, key long, place long, known int")
+    sorted_ = found.repartition("bucket").sortWithinPartitions("bucket", "context", "known")
     refined = settle(sorted_.mapInArrow(partial(_refine, held=held), "kind int, bucket long, key long, place long"), "refined")
     looks = refined.where(F.col("kind") != WHOLE)
     known = _maybe(looks)
