@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 
 REMEMBERED = 300_000  # stretches in each of a worker's two memories
 JOINED = 1_000  # stretches that are encoded in one call
-ENDINGS = ".,"  # a stretch of letters that ends in these is encoded without them
+ENDINGS = ".,"  # a stretch that ends in one of these after a letter is encoded without it
 
 
 class WordMemo:
@@ -30,7 +30,7 @@ class WordMemo:
         self.opens = np.array([(self.tokenizer.id_to_token(i) or "").startswith("Ġ") for i in range(size)])
         self.memo: dict[str, bytes] = {}  # of late
         self.older: dict[str, bytes] = {}
-        self.endings: dict[str, bytes] = {"": b""}
+        self.endings = self.whole(list(ENDINGS))
         self.remembered = remembered
 
     def whole(self, texts: list[str]) -> list[bytes]:
@@ -59,33 +59,31 @@ class WordMemo:
             self.memo, self.older = {}, self.memo
         memo, older = self.memo, self.older
         found = list(map(memo.get, words))
-        plain, ended, new = [], [], []
-        for i, ids in enumerate(found):
-            if ids is None:
-                w = words[i]
-                ids = older.get(w)
-                if ids is not None:
-                    found[i] = memo[w] = ids
-                elif w and not w[0].isspace() and not w[-1].isspace():
-                    new.append(i)
-                    core = w.rstrip(ENDINGS)
-                    if len(core) != len(w) and core and core[-1].isalpha():  # so that the endings are a piece
-                        ended.append((w, core, w[len(core) :]))
-                    else:
-                        plain.append(w)
-        cores = {c for _, c, _ in ended if c not in memo}.difference(plain)
-        for c in [c for c in cores if c in older]:
-            memo[c] = older[c]
-            cores.discard(c)
-        self._encode(plain + list(cores))
-        for w, core, ending in ended:
-            if ending not in self.endings:
-                self.endings[ending] = self.whole([ending])[0]
-            memo[w] = memo[core] + self.endings[ending]
+        new = []
+        for i in [i for i, ids in enumerate(found) if ids is None]:
+            w = words[i]
+            ids = older.get(w)
+            if ids is not None:
+                found[i] = memo[w] = ids
+            elif w and not w[0].isspace() and not w[-1].isspace():
+                new.append(i)
+        self._encode([words[i] for i in new])
         for i in new:
             found[i] = memo[words[i]]
         return found
 
+    @staticmethod
+    def _ended(words: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """(words without a last full stop or comma after a letter, 0 for a stop, 1 for a comma, 2 for neither).
+
+        After a letter, such a mark is a piece of its own.
+        """
+        core = pc.utf8_rtrim(words, characters=ENDINGS)
+        one = pc.equal(pc.subtract(pc.binary_length(words), pc.binary_length(core)), 1)
+        cut = pc.and_(one, pc.utf8_is_alpha(pc.utf8_slice_codeunits(core, -1, 1 << 30)))
+        comma = pc.ends_with(words, ",").to_numpy(zero_copy_only=False)
+        return pc.if_else(cut, core, words), np.where(cut.to_numpy(zero_copy_only=False), comma.astype(np.int32), 2)
+
     def encode(self, texts: pa.Array) -> list[bytes]:
         """The ids of each text as little-endian bytes of ``width``; a null is an empty text."""
         texts = texts.cast(pa.large_string()).fill_null("")
@@ -98,23 +96,31 @@ class WordMemo:
         inner[offsets[:-1]] = False
         coded = flat.filter(pa.array(inner)).dictionary_encode()
         firsts = flat.take(pa.array(offsets[:-1])).to_pylist()
-        known = self._known(coded.dictionary.to_pylist())
-        bad = np.fromiter((k is None for k in known), dtype=bool, count=len(known))
-        step, table = self.width.itemsize, [k or b"" for k in known] + self.whole(firsts)
+        core, ending = self._ended(coded.dictionary)
+        core = core.dictionary_encode()
+        known = self._known(core.dictionary.to_pylist())
+        step, table = self.width.itemsize, [k or b"" for k in known] + [*self.endings, b""] + self.whole(firsts)
         sizes = np.fromiter(map(len, table), dtype=np.int64, count=len(table)) // step
         ids = np.frombuffer(b"".join(table), dtype=self.width)
-        order = np.empty(len(flat), dtype=np.int64)
-        order[inner] = np.asarray(coded.indices)
-        order[offsets[:-1]] = len(known) + np.arange(n)
+        # each word is its core and its ending; an opening has no ending
+        word, core_of = np.asarray(coded.indices), np.asarray(core.indices)
+        order = np.full((len(flat), 2), len(known) + 2, dtype=np.int32)
+        order[inner, 0] = core_of[word]
+        order[inner, 1] = len(known) + ending[word]
+        order[offsets[:-1], 0] = len(known) + 3 + np.arange(n)
+        order = order.ravel()
         lengths = sizes[order]
         ends = np.cumsum(lengths)
-        from_ = (np.cumsum(sizes) - sizes)[order] - (ends - lengths)
-        raw = ids[np.arange(ends[-1] if n else 0) + np.repeat(from_, lengths)].tobytes()
-        cuts = (np.concatenate([[0], ends])[offsets] * step).tolist()
+        total = int(ends[-1]) if n else 0
+        place = np.int32 if max(total, len(ids)) < 1 << 31 else np.int64
+        from_ = ((np.cumsum(sizes) - sizes)[order] - (ends - lengths)).astype(place)
+        raw = ids[np.arange(total, dtype=place) + np.repeat(from_, lengths)].tobytes()
+        cuts = (np.concatenate([[0], ends])[2 * offsets] * step).tolist()
         out = [raw[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
         slow = {t for t, first in enumerate(firsts) if not first or first[-1].isspace()}
+        bad = np.fromiter((k is None for k in known), dtype=bool, count=len(known))
         if bad.any():
-            at = np.flatnonzero(bad[order[inner]])
+            at = np.flatnonzero(bad[core_of[word]])
             slow |= set((np.searchsorted(offsets, np.flatnonzero(inner)[at], side="right") - 1).tolist())
         slow = sorted(slow)
         for t, found in zip(slow, self.whole([texts[t].as_py() for t in slow])):
