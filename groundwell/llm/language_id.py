@@ -1,28 +1,34 @@
 """Language identification with interpolated Kneser-Ney models of characters, one per language.
 
 Texts become runs of lower-case letters with one blank between them.  Spark counts the runs of ``ORDER`` characters
-of every training text; the driver gets the most frequent ones, up to a stated number, and builds for each language
-the interpolated probabilities of all orders.  The models lie in sorted arrays of packed keys, one per order, whose
-rows hold the log probability for each language and the log weight that is left for the shorter context.  A text goes
-to the language of lowest cross-entropy per character.  On a fold of the training texts kept apart, the sharpness of
-the confidence and the limit for rejection are fitted.
+of every training text, and from all of them the discounts, the continuation counts and the interpolated
+probabilities of all orders for each language.  Sorted by packed key, they are written to the shared folder: for each
+order the log probability of a run, and the log weight that its context leaves for the shorter one.  Tasks map these
+files into memory and look keys up in place, so that neither the driver nor a worker holds the model.  A text goes to
+the language of lowest cross-entropy per character.  On a fold of the training texts kept apart, the sharpness of the
+confidence and the limit for rejection are fitted.
 """
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyarrow import fs
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from groundwell.llm.common import fold, slices
-from groundwell.session import settle
+from groundwell.llm.common import fold, parts, slices
+from groundwell.session import fresh_folder, settle
 
 ORDER = 5
 SYMBOL_BITS = 12
-CAPACITY = 1_000_000  # runs of ORDER characters kept over all languages, the most frequent of each
+PART_ROWS = 4_000_000  # about as many rows of a table are sorted and written by one task
 CALIBRATION_ROWS = 20_000
 CALIBRATION_FOLD = 1
 TAIL = 1e-3
@@ -31,6 +37,7 @@ UNKNOWN = "und"
 BLANK = 1
 
 COUNTS = pa.schema([("lang", pa.string()), ("key", pa.int64()), ("n", pa.int64())])
+ROWS = pa.schema([("key", pa.int64()), ("lang", pa.int32()), ("value", pa.float32())])
 SCORES = pa.schema([("row", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()),
                     ("entropy", pa.float64()), ("runner_up", pa.float64()), ("n_letters", pa.int64())])
 
@@ -127,54 +134,91 @@ def _counted(lang: str, key: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBat
                                          schema=COUNTS)
 
 
+def _low(m: int) -> int:
+    """Mask of the last ``m`` symbols of a key."""
+    return (1 << SYMBOL_BITS * m) - 1
+
+
 def _grouped(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     unique, inverse = np.unique(keys, return_inverse=True)
     return unique, np.bincount(inverse, weights=weights, minlength=len(unique))
 
 
+@cache
+def _opened(uri: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The columns of a file of ``ROWS``, mapped into memory; a file that is not on a mounted folder is copied first."""
+    system, path = fs.FileSystem.from_uri(uri)
+    copied = not isinstance(system, fs.LocalFileSystem)
+    if copied:
+        handle, local = tempfile.mkstemp(prefix="groundwell-")
+        os.close(handle)
+        fs.copy_files(path, local, source_filesystem=system, destination_filesystem=fs.LocalFileSystem())
+        path = local
+    batch = pa.ipc.open_file(pa.memory_map(path)).get_batch(0)
+    if copied:
+        os.unlink(path)  # the mapping keeps it
+    return tuple(c.to_numpy() for c in batch.columns)
+
+
+class Table:
+    """(key, language, value) sorted by key, in parts: arrays, or files that are opened where they are needed."""
+
+    def __init__(self, firsts: np.ndarray, held: list):
+        self.firsts, self.held = firsts, held  # the least key of each part
+
+    @classmethod
+    def of(cls, rows: list[tuple[np.ndarray, int, np.ndarray]]) -> Table:
+        key = np.concatenate([np.zeros(0, np.int64), *[k for k, _, _ in rows]])
+        lang = np.concatenate([np.zeros(0, np.int32), *[np.full(len(k), j, np.int32) for k, j, _ in rows]])
+        value = np.concatenate([np.zeros(0, np.float32), *[v.astype(np.float32) for _, _, v in rows]])
+        order = np.argsort(key, kind="stable")
+        return cls(key[order][:1], [(key[order], lang[order], value[order])] if len(key) else [])
+
+    def fill(self, out: np.ndarray, wanted: np.ndarray, add: bool = False) -> None:
+        """Sets ``out`` (wanted key, language), or adds to it, wherever the table has a row."""
+        part = np.searchsorted(self.firsts, wanted, side="right") - 1
+        for p in np.unique(part[part >= 0]).tolist():
+            keys, lang, value = _opened(self.held[p]) if isinstance(self.held[p], str) else self.held[p]
+            live = np.flatnonzero(part == p)
+            at = np.searchsorted(keys, wanted[live])
+            while len(live):
+                hit = at < len(keys)
+                hit[hit] = keys[at[hit]] == wanted[live[hit]]
+                live, at = live[hit], at[hit]
+                if add:
+                    out[live, lang[at]] += value[at]
+                else:
+                    out[live, lang[at]] = value[at]
+                at = at + 1
+
+
 class Models:
-    """Kneser-Ney models of several languages over common sorted key arrays."""
+    """Kneser-Ney models of several languages: a table of log probabilities and one of weights left for each order."""
 
     def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]]):
+        """From counts that fit in memory; ``stored_models`` does the same from a table."""
         self.langs = sorted(counts)
-        order, bits = ORDER, SYMBOL_BITS
-        tables = []  # per language: per order (1..ORDER) dict of arrays
-        for lang in self.langs:
-            key, n = counts[lang]
-            tables.append(self._one(key.astype(np.int64), n.astype(np.float64)))
-        self.keys, self.logp, self.left = [], [], []
-        for m in range(1, order + 1):
-            held = [t[m - 1][0] for t in tables] + [t[m][2] for t in tables if m < order]  # runs and contexts
-            keys = np.unique(np.concatenate(held or [np.zeros(0, np.int64)]))
-            self.keys.append(keys)
-            # log weight that the context of order m leaves for shorter ones: 0 where it was never seen
-            left = np.zeros((len(keys), len(tables)), dtype=np.float32)
-            for j, t in enumerate(tables):
-                if m < order:
-                    ctx, gamma = t[m][2], t[m][3]
-                    at = np.searchsorted(keys, ctx)
-                    left[at, j] = np.log(gamma)
-            self.left.append(left)
-        self.floor = [np.float32(np.log(1.0 / (1 << bits)))] * len(tables)
-        self.base = [np.float32(np.log(t[0][3])) if len(t[0][3]) else np.float32(0) for t in tables]
-        unseen = np.array([b + f for b, f in zip(np.ravel(self.base), self.floor)], dtype=np.float32)
-        self.unseen = unseen
-        for m in range(1, order + 1):
-            keys = self.keys[m - 1]
-            logp = np.empty((len(keys), len(tables)), dtype=np.float32)
-            shorter = self._logp_of(keys & ((1 << bits * (m - 1)) - 1), m - 1) if m > 1 else None
-            for j, t in enumerate(tables):
-                if m == 1:
-                    logp[:, j] = unseen[j]
-                else:
-                    logp[:, j] = shorter[:, j] + self._left_of(keys >> bits, m - 1)[:, j]
-                own, p = t[m - 1][0], t[m - 1][1]
-                at = np.searchsorted(keys, own)
-                low = np.full(len(own), 1.0 / (1 << bits)) if m == 1 else np.exp(
-                    shorter[at, j].astype(np.float64))
-                gamma = t[m - 1][3][np.searchsorted(t[m - 1][2], own >> bits)]
-                logp[at, j] = np.log(p + gamma * low)
-            self.logp.append(logp)
+        own = [self._one(counts[lang][0].astype(np.int64), counts[lang][1].astype(np.float64)) for lang in self.langs]
+        self.unseen = np.array([np.log(t[0][3][0] / (1 << SYMBOL_BITS)) if len(t[0][3]) else -np.log(1 << SYMBOL_BITS)
+                                for t in own], dtype=np.float32)
+        self.logp, self.left, shorter = [], [], [None] * len(own)
+        for m in range(1, ORDER + 1):
+            logp, left = [], []
+            for j, t in enumerate(own):
+                key, share, ctx, gamma = t[m - 1]
+                low = np.full(len(key), 1.0 / (1 << SYMBOL_BITS)) if m == 1 else np.exp(
+                    shorter[j][np.searchsorted(t[m - 2][0], key & _low(m - 1))])
+                shorter[j] = np.log(share + gamma[np.searchsorted(ctx, key >> SYMBOL_BITS)] * low)
+                logp.append((key, j, shorter[j]))
+                left.append((ctx, j, np.log(gamma)))
+            self.logp.append(Table.of(logp))
+            self.left.append(Table.of(left))  # of contexts one shorter than the runs
+
+    @classmethod
+    def stored(cls, langs: list[str], unseen: list[float], logp: list[Table], left: list[Table]) -> Models:
+        out = cls({})
+        out.langs, out.unseen, out.logp, out.left = langs, np.array(unseen, dtype=np.float32), logp, left
+        return out
 
     @staticmethod
     def _one(key: np.ndarray, n: np.ndarray) -> list[tuple]:
@@ -189,27 +233,20 @@ class Models:
             share = np.maximum(n - d, 0) / total[np.searchsorted(ctx, ctx_of)]
             out.append((key, share, ctx, d * kinds / total))
             # the next shorter order counts in how many kinds of context a run appears
-            key, n = _grouped(key & ((1 << SYMBOL_BITS * (m - 1)) - 1), np.ones(len(key)))
+            key, n = _grouped(key & _low(m - 1), np.ones(len(key)))
         return out[::-1]
 
-    def _left_of(self, ctx: np.ndarray, m: int) -> np.ndarray:
-        keys = self.keys[m - 1]
-        at = np.minimum(np.searchsorted(keys, ctx), max(0, len(keys) - 1))
-        hit = keys[at] == ctx if len(keys) else np.zeros(len(ctx), bool)
-        return np.where(hit[:, None], self.left[m - 1][at] if len(keys) else 0, np.float32(0))
-
     def _logp_of(self, key: np.ndarray, m: int) -> np.ndarray:
         """Log probability of the last symbol of each key of ``m`` symbols, for every language."""
         if m == 0:
             return np.tile(self.unseen, (len(key), 1))
-        keys = self.keys[m - 1]
-        at = np.minimum(np.searchsorted(keys, key), max(0, len(keys) - 1))
-        hit = keys[at] == key if len(keys) else np.zeros(len(key), bool)
-        out = self.logp[m - 1][at].copy() if len(keys) else np.zeros((len(key), len(self.langs)), np.float32)
-        miss = np.flatnonzero(~hit)
-        if len(miss):
-            lower = self._logp_of(key[miss] & ((1 << SYMBOL_BITS * (m - 1)) - 1), m - 1)
-            out[miss] = lower + (self._left_of(key[miss] >> SYMBOL_BITS, m - 1) if m > 1 else 0)
+        if m == 1:
+            out = np.tile(self.unseen, (len(key), 1))
+        else:
+            short, at = np.unique(key & _low(m - 1), return_inverse=True)
+            out = self._logp_of(short, m - 1)[at]
+            self.left[m - 1].fill(out, key >> SYMBOL_BITS, add=True)
+        self.logp[m - 1].fill(out, key)
         return out
 
     def entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -248,24 +285,93 @@ class LanguageModel:
         return out
 
 
-def train(docs: DataFrame, capacity: int = CAPACITY) -> LanguageModel:
+def _write_part(folder: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(list(batches), schema=ROWS).combine_chunks()  # about PART_ROWS
+        if rows.num_rows:
+            uri = f"{folder}/{uuid.uuid4().hex}.arrow"  # what a failed attempt leaves is never listed
+            system, path = fs.FileSystem.from_uri(uri)
+            system.create_dir(path.rpartition("/")[0])
+            with system.open_output_stream(path) as sink, pa.ipc.new_file(sink, ROWS) as out:
+                out.write_table(rows, max_chunksize=rows.num_rows)
+            yield pa.RecordBatch.from_arrays([rows["key"][:1].combine_chunks(), pa.array([uri])], ["first", "uri"])
+
+    return run
+
+
+def stored_table(rows: DataFrame, label: str, part_rows: int = PART_ROWS) -> Table:
+    """Writes ``rows`` (key, lang, value) as sorted files to the shared folder; all rows of a key are in one file."""
+    spark = rows.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(fresh_folder(spark, label))
+    folder = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    if folder.startswith("file:"):
+        folder = "file:///" + folder[5:].lstrip("/")
+    dealt = rows.select("key", F.col("lang").cast("int").alias("lang"), F.col("value").cast("float").alias("value"))
+    dealt = dealt.repartitionByRange(parts(rows.count(), part_rows), "key").sortWithinPartitions("key")
+    made = sorted(tuple(r) for r in dealt.mapInArrow(_write_part(folder), "first long, uri string").collect())
+    return Table(np.array([k for k, _ in made], dtype=np.int64), [uri for _, uri in made])
+
+
+def stored_models(counted: DataFrame, part_rows: int = PART_ROWS) -> Models:
+    """Models of all of ``counted`` (lang, key, n: runs of ``ORDER`` symbols), stored in the shared folder.
+
+    Nothing is left out.  The driver gets the languages, one number for each, and the names of the files.  A context
+    has at most ``1 << SYMBOL_BITS`` runs, so no window is larger.
+    """
+    langs = sorted(r.lang for r in counted.select("lang").distinct().collect())
+    if not langs:
+        return Models({})
+    numbers = counted.sparkSession.createDataFrame(list(enumerate(langs)), "j int, lang string")
+    level = settle(counted.join(F.broadcast(numbers), "lang").select(F.col("j").alias("lang"), "key", "n"), "language-5")
+    levels = [level]
+    for m in range(ORDER - 1, 0, -1):  # the next shorter order counts in how many kinds of context a run appears
+        level = settle(level.groupBy("lang", F.col("key").bitwiseAND(F.lit(_low(m))).alias("key")).agg(
+            F.count("*").alias("n")), f"language-{m}")
+        levels.insert(0, level)
+    logp, left, shorter, unseen = [], [], None, []
+    for m, level in enumerate(levels, 1):
+        ones, twos = F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)
+        d = ones / F.greatest(F.lit(1), ones + 2 * twos)
+        discount = level.groupBy("lang").agg(
+            F.least(F.greatest(F.when(d == 0, 0.5).otherwise(d), F.lit(0.1)), F.lit(0.95)).alias("d"))
+        context = Window.partitionBy("lang", "ctx")
+        rows = level.withColumn("ctx", F.shiftright("key", SYMBOL_BITS)).withColumn(
+            "total", F.sum("n").over(context)).withColumn("kinds", F.count("*").over(context))
+        rows = rows.join(F.broadcast(discount), "lang").select(
+            "lang", "key", "ctx", F.col("key").bitwiseAND(F.lit(_low(m - 1))).alias("short"),
+            (F.greatest(F.col("n") - F.col("d"), F.lit(0.0)) / F.col("total")).alias("share"),
+            (F.col("d") * F.col("kinds") / F.col("total")).alias("gamma"))
+        if m == 1:
+            rows = rows.withColumn("low", F.lit(1.0 / (1 << SYMBOL_BITS)))
+        else:
+            rows = rows.join(shorter.select("lang", F.col("key").alias("short"), F.exp("value").alias("low")),
+                             ["lang", "short"])
+        rows = settle(rows.select("lang", "key", "ctx", "gamma", F.log(
+            F.col("share") + F.col("gamma") * F.col("low")).alias("value")), f"language-logp-{m}")
+        weights = rows.groupBy("lang", F.col("ctx").alias("key")).agg(F.log(F.first("gamma")).alias("value"))
+        if m == 1:
+            bases = {r.lang: r.value for r in weights.collect()}
+            unseen = [bases[j] - np.log(1 << SYMBOL_BITS) for j in range(len(langs))]
+            left.append(Table.of([]))
+        else:
+            left.append(stored_table(weights, f"language-left-{m}", part_rows))
+        logp.append(stored_table(rows, f"language-table-{m}", part_rows))
+        shorter = rows
+    return Models.stored(langs, unseen, logp, left)
+
+
+def train(docs: DataFrame, part_rows: int = PART_ROWS) -> LanguageModel:
     """Fits on ``docs`` (doc_id, text, lang); rows of fold 0 and rows without a language are not used.
 
-    Counts cover all rows of folds 2 to 4.  The driver gets at most ``capacity`` runs, the most frequent of each
-    language; fold 1 fits the sharpness on at most ``CALIBRATION_ROWS`` rows and the limits on all of its rows.
+    Counts cover all rows of folds 2 to 4, and the models all of their runs; they lie in the shared folder.  Fold 1
+    fits the sharpness on at most ``CALIBRATION_ROWS`` rows and the limits on all of its rows.
     """
     known = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"),
                         F.col("lang").cast("string").alias("lang")).where("lang is not null")
     k = fold(F.col("doc_id"))
     counted = settle(count_runs(known.where(~k.isin(0, CALIBRATION_FOLD))), "language-runs")
-    langs = [r.lang for r in counted.select("lang").distinct().collect()]
-    counts = {}
-    for lang in langs:
-        best = counted.where(F.col("lang") == lang).orderBy(F.desc("n"), "key").limit(capacity // len(langs))
-        table = best.select("key", "n").toArrow()
-        counts[lang] = (table["key"].to_numpy(), table["n"].to_numpy())
-    model = LanguageModel(Models(counts), 1.0, [])
-    if not langs:
+    model = LanguageModel(stored_models(counted, part_rows), 1.0, [])
+    if not model.models.langs:
         return model
     apart = known.where(k == CALIBRATION_FOLD)
     limits = settle(score_rows(apart.withColumn("row", F.col("doc_id").cast("long")), model).join(
@@ -289,7 +395,7 @@ def train(docs: DataFrame, capacity: int = CAPACITY) -> LanguageModel:
 
 def score_rows(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """(row, lang_pred, score, entropy, runner_up, n_letters) of ``docs`` (row, text)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # CAPACITY bounds its size
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # the names of its files
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted = shared.value

@@ -1,11 +1,13 @@
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 
-from groundwell.llm.language_id import BLANK, ORDER, LanguageModel, Models, count_runs, identify, runs, train
+from groundwell.llm.language_id import (BLANK, ORDER, LanguageModel, Models, _opened, count_runs, identify, runs,
+                                        stored_models, train)
 
 SCHEMA = "doc_id long, text string, lang string, score string"
 
@@ -110,3 +112,29 @@ def test_counts_match_a_plain_count_and_empty_tables(spark):
     assert got == dict(want)
     none = spark.createDataFrame([], SCHEMA)
     assert identify(none).count() == 0 and train(none).models.langs == []
+
+
+def test_stored_models_keep_every_run(spark):
+    rng = np.random.default_rng(8)
+    texts = {lang: ["".join(rng.choice(list(stem), 300)) for _ in range(12)]
+             for lang, stem in (("a", "abcdefgh "), ("b", "efghijklé "))}
+    docs = spark.createDataFrame([(lang, t) for lang, ts in texts.items() for t in ts], "lang string, text string")
+    models = stored_models(count_runs(docs), part_rows=500)
+    assert models.langs == ["a", "b"] and len(models.logp[ORDER - 1].held) > 2
+    for j, lang in enumerate(models.langs):
+        counts = Counter(g for t in texts[lang] for g in grams_of(t))
+        asked = [(packed(g), g) for g in [*sorted(counts)[::50], *grams_of("zq hij abx fée")]]
+        assert {counts[g] > 0 for _, g in asked} == {True, False}
+        got = models._logp_of(np.array([k for k, _ in asked]), ORDER)[:, j]
+        for (_, g), p in zip(asked, got):
+            assert math.isclose(p, math.log(brute(counts, g)), abs_tol=1e-4), (lang, g)
+
+
+def test_a_corpus_of_over_a_million_runs_is_kept_whole(spark):
+    rng = np.random.default_rng(10)
+    rows = [(i, bytes(rng.integers(97, 123, 40_000, dtype=np.uint8)).decode(), "a") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    key = np.unique(runs([t for i, t, _ in rows if zlib.crc32(str(i).encode()) % 5 > 1])[0])
+    assert len(key) > 1_000_000  # the bound on runs that there was
+    held = train(docs).models.logp[ORDER - 1]
+    assert np.array_equal(np.concatenate([_opened(uri)[0] for uri in held.held]), key)
