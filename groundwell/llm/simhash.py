@@ -202,21 +202,3 @@ def simhash_groups(docs: DataFrame, bits: int = BITS, words_each: int = SHINGLE)
     labelled = rooted.join(least, "root").select("fp", "component_id")
     return marked.join(labelled, "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def near_duplicates(docs: DataFrame, bits: int = BITS, words_each: int = SHINGLE) -> DataFrame:
-    """``docs`` with one row of each component: the smallest doc_id, a null one last, any of repeated rows.
-
-    All columns are returned.  Of rows that share doc_id and text but differ elsewhere, any one stays.
-    """
-    marked = settle(fingerprints(docs, words_each), "fingerprints")
-    rooted = settle(_rooted(marked, bits), "rooted")
-    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")
-    per_fp = marked.groupBy("fp").agg(F.min(order).alias("first")).join(rooted, "fp")
-    kept = settle(per_fp.groupBy("root").agg(F.min("first").alias("first")).select(
-        F.col("first.key").alias("_kept")), "kept")
-    repeated = marked.join(kept, marked.key == kept._kept, "left_semi").groupBy("key").count().where("count > 1")
-    chosen = docs.withColumn("_row_key", _key()).join(kept, F.col("_row_key") == F.col("_kept"), "left_semi")
-    if not repeated.isEmpty():
-        chosen = chosen.dropDuplicates(["_row_key"])
-    return chosen.select(*docs.columns)
