@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from groundwell.llm.common import documents
 from groundwell.llm.decontaminate import contamination
@@ -16,6 +17,7 @@ from groundwell.llm.simhash import simhash_groups
 from groundwell.llm.suffix_dedup import without_repeats
 from groundwell.llm.token_binary import token_files
 from groundwell.llm.token_counts import count_tokens
+from groundwell.llm.word_table import encode_and_decode
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,6 +60,12 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeats(documents(spark, sf_dir))
 
 
+def op12_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = encode_and_decode(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
+                        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 OP6_SQL = """
 WITH d AS (
   SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
@@ -78,6 +86,7 @@ QUERIES = {
     "op8_mix_sources": op8_mix_sources,
     "op9_token_counts": op9_token_counts,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op12_word_bpe": op12_word_bpe,
 }
 SQL = {
     "op6_exact_dedup": OP6_SQL,
