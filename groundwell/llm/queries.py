@@ -6,11 +6,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from groundwell.llm.alignment import align
 from groundwell.llm.common import documents
 from groundwell.llm.decontaminate import contamination
 from groundwell.llm.exact_dedup import exact_duplicates
 from groundwell.llm.language_id import identify
 from groundwell.llm.mixing import mix_sources
+from groundwell.llm.prefix_trie import prefix_trie
 from groundwell.llm.quality import quality_scores
 from groundwell.llm.secret_scan import secret_spans
 from groundwell.llm.simhash import simhash_groups
@@ -60,12 +62,22 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeats(documents(spark, sf_dir))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aligned = align(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"),
+                    public_tokenizers.path("piece_bpe_32k.model"), written=False)
+    return aligned.withColumnRenamed("groups", "groups_sha256")
+
+
 def op12_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = encode_and_decode(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
                         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 OP6_SQL = """
 WITH d AS (
   SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
@@ -86,7 +98,9 @@ QUERIES = {
     "op8_mix_sources": op8_mix_sources,
     "op9_token_counts": op9_token_counts,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_alignment": op11_alignment,
     "op12_word_bpe": op12_word_bpe,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 SQL = {
     "op6_exact_dedup": OP6_SQL,
