@@ -51,9 +51,8 @@ def dense_topk(spark, sf):
 @register("query_x_chunk", f"""WITH {VECTORS}, {PAIRS}
 SELECT query_id, chunk_id, round(score, 6) AS score, rank AS dense_rank FROM ({I.sql_top('pairs', '24')})""")
 def query_x_chunk(spark, sf):
-    """The candidate pool: three times top_k per query, through the tiled plan."""
-    return D.dense_pool(vector_queries(spark, sf), vectors(spark, sf), 3, max_shipped=1,
-                        query_tile=500, chunk_tile=500).select(
+    """The candidate pool: three times top_k per query."""
+    return D.dense_pool(vector_queries(spark, sf), vectors(spark, sf), 3).select(
         "query_id", "chunk_id", F.round("score", 6).alias("score"), F.col("dense_rank").cast("bigint").alias("dense_rank"))
 
 
@@ -159,11 +158,10 @@ def finalize_rank(spark, sf):
         "query_id", "chunk_id", F.col("rank").cast("bigint").alias("rank"))
 
 
-@register("fuse_legs", f"""WITH {VECTORS}, {PAIRS}, pool AS ({I.sql_top('pairs', '24')}),
-d AS (SELECT query_id, chunk_id, score FROM pool WHERE rank < 16), s AS (SELECT query_id, chunk_id, 1 - score AS sc FROM pool WHERE rank >= 8)
-SELECT coalesce(d.query_id, s.query_id) AS query_id, coalesce(d.chunk_id, s.chunk_id) AS chunk_id,
-       round(round(0.6 * coalesce(d.score, 0) + 0.4 * coalesce(s.sc, 0), 9), 6) AS fused
-FROM d FULL OUTER JOIN s ON d.query_id = s.query_id AND d.chunk_id = s.chunk_id""")
+# the legs are cut out of one pool, so that every fused row is a row of the pool
+@register("fuse_legs", f"""WITH {VECTORS}, {PAIRS}, pool AS ({I.sql_top('pairs', '24')})
+SELECT query_id, chunk_id, round(round(0.6 * CASE WHEN rank < 16 THEN score ELSE 0 END
+       + 0.4 * CASE WHEN rank >= 8 THEN 1 - score ELSE 0 END, 9), 6) AS fused FROM pool""")
 def fuse_legs(spark, sf):
     pool = D.dense_pool(vector_queries(spark, sf), vectors(spark, sf), 3)
     left = pool.where(F.col("dense_rank") < 16).withColumn("norm", F.col("score"))

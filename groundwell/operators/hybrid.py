@@ -9,7 +9,8 @@ from .. import fixed_values as fv
 from ..session import settle
 from .dense import dense_pool, dense_topk
 from .scope import with_scope
-from .sparse import SparseLeg, largest_top_k, sparse_topk, top_k_of
+from .sparse import SparseLeg, sparse_topk, token_table
+from .topk import largest_top_k, top_k_of
 
 
 def min_max_norm(score: Column, lo: Column, hi: Column) -> Column:
@@ -45,10 +46,9 @@ def hybrid_topk(queries: DataFrame, chunks: DataFrame, alpha: float = fv.HYBRID_
     dense_range = pool.groupBy("query_id").agg(
         F.min("dense_score").alias("d_lo"), F.max("dense_score").alias("d_hi"))
     leg = SparseLeg(queries, chunks, 1 + pool_factor, pool.select("query_id", "chunk_id"), **options)
-    sparse_range = leg.ranges()
-    in_pool = leg.pair_scores()
-    sparse = settle(leg.ranked().select("query_id", "chunk_id", "score").unionByName(in_pool).dropDuplicates(
-        ["query_id", "chunk_id"]), "sparse-pool")
+    ranked = settle(leg.ranked().select("query_id", "chunk_id", "score"), "sparse-ranked")
+    sparse_range = leg.ranges(ranked)
+    sparse = settle(ranked.unionByName(leg.pair_scores()).dropDuplicates(["query_id", "chunk_id"]), "sparse-pool")
 
     dense_leg = pool.join(dense_range, "query_id").withColumn(
         "norm", min_max_norm(F.col("dense_score"), F.col("d_lo"), F.col("d_hi")))

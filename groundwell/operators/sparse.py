@@ -1,11 +1,13 @@
 """Sparse retrieval: BM25 over code-aware tokens, statistics per scope.
 
-The text is tokenised once into a token table (one row per chunk, no shuffle)
-that is written to the shared folder; everything after reads its columns.
-Term statistics need one shuffle of (term, count) rows.  Scoring keeps just the
-tokens some query asks for and shuffles those once, by chunk.  The query terms
-are written too, so that Spark knows their true size: it broadcasts them below
-its threshold and falls back to a shuffled join above it.
+The text is tokenised once into a token table (one row per chunk, no shuffle) that is written to the shared folder;
+everything after reads its columns.  Term statistics need one shuffle of (term, count) rows.  Postings of the terms
+that queries ask for are written with their impact, the part of a score that does not depend on the query.
+
+The best rows are found without scoring every pair that shares a term.  A term's largest impact bounds what it can
+add; its k-th largest gives a query a score that at least k chunks reach.  Terms that cannot reach it even together,
+which are the common ones, find no candidates: chunks are looked up by the other terms alone, those that cannot
+reach the k-th best partial score any more are dropped, and only what is left is scored in full.
 """
 
 from __future__ import annotations
@@ -17,13 +19,15 @@ from .. import fixed_values as fv
 from ..functions import text as T
 from ..session import settle
 from .scope import scope_chunks, with_scope
-from .sparse_scan import FOUND, pack_terms, scan
+from .topk import largest_top_k, top_k_of
 
 # sums of floats depend on row order; scores this close are ties
 SCORE_DIGITS = 9
-# rows of each query-side table that may be sent to every task
-MAX_SHIPPED_ROWS = 500_000
-
+SLACK = 1e-8
+# postings of one term under one key of a join, about
+SALT_ROWS = 200_000
+# short chunks of a scope that are tried as proof that a query does not match everything
+WITNESSES = 64
 
 FILTERED = ["repository_id", "branch", "language", "chunk_type", "file_path"]
 
@@ -109,180 +113,185 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 def postings(queries: DataFrame, rows: DataFrame) -> DataFrame:
     """(scope_id, chunk_id, length, term, tf), only for terms that some query holds."""
-    return _tally_terms(_wanted_tokens(query_terms(queries), rows))
-
-
-def _wanted_tokens(terms: DataFrame, rows: DataFrame) -> DataFrame:
-    wanted = terms.select("scope_id", "term").distinct()
-    return rows.select("scope_id", "chunk_id", "length", F.explode("tokens").alias("term")).join(
-        wanted, ["scope_id", "term"], "left_semi")
-
+    wanted = query_terms(queries).select("scope_id", "term").distinct()
+    tokens = rows.select("scope_id", "chunk_id", "length", F.explode("tokens").alias("term"))
+    return _tally_terms(tokens.join(wanted, ["scope_id", "term"], "left_semi"))
 
-def _tally_terms(tokens: DataFrame) -> DataFrame:
-    """Term frequencies per chunk.
 
-    The tokens of a chunk are brought together by one shuffle on the chunk, so
-    that counting terms here and summing scores later need no further one.
-    """
-    gathered = tokens.groupBy("scope_id", "chunk_id").agg(
-        F.max("length").alias("length"), F.collect_list("term").alias("terms"))
-    return (
-        gathered.select("scope_id", "chunk_id", "length", F.explode("terms").alias("term"))
-        .groupBy("scope_id", "chunk_id", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
-    )
+def _tally_terms(tokens: DataFrame, *along: str) -> DataFrame:
+    """Term frequencies per chunk; ``along`` are columns that the term decides."""
+    return tokens.groupBy("scope_id", "chunk_id", "term").agg(
+        F.max("length").alias("length"), *[F.max(c).alias(c) for c in along], F.count(F.lit(1)).alias("tf"))
 
 
 def _weighted_terms(queries: DataFrame, counts: DataFrame, corpus: DataFrame) -> DataFrame:
-    """Query terms with idf and mean length: (query_id, scope_id, term, gain, mean_length)."""
+    """Query terms with what they multiply an impact by: (query_id, scope_id, term, df, mean_length, gain)."""
     joined = with_idf(query_terms(queries).join(counts, ["scope_id", "term"]), corpus)
-    return joined.select("query_id", "scope_id", "term", "mean_length",
-                         (F.col("weight") * F.col("idf") * (fv.BM25_K1 + 1)).alias("gain"))
+    gain = F.coalesce(F.col("weight") * F.col("idf") * (fv.BM25_K1 + 1), F.lit(0.0))
+    return joined.select("query_id", "scope_id", "term", "df", "mean_length", gain.alias("gain"))
 
 
-def _sum_scores(tallied: DataFrame, weighted: DataFrame) -> DataFrame:
-    norm = fv.BM25_K1 * (1 - fv.BM25_B + fv.BM25_B * F.col("length") / F.col("mean_length"))
-    part = F.coalesce(F.col("gain") * F.col("tf") / (F.col("tf") + norm), F.lit(0.0))
-    return (
-        tallied.join(weighted, ["scope_id", "term"])
-        .groupBy("query_id", "scope_id", "chunk_id")
-        .agg(F.round(F.sum(part), SCORE_DIGITS).alias("score"))
-    )
+class SparseIndex:
+    """What queries and chunks have in common: weighted query terms and the postings of these terms.
 
+    ``weighted``: query_id, scope_id, term, df, gain, salts.  ``postings``: scope_id, term, salt, chunk_id, impact.
+    A term of many chunks is several keys (``salts`` of them), so that no join meets all its postings in one task.
+    """
 
-def bm25_score(queries: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(query_id, chunk_id, score) for every pair that shares a term; all other pairs score 0."""
-    rows = token_rows(queries, chunks)
-    counts = settle(term_counts(rows), "terms")
-    weighted = settle(_weighted_terms(queries, counts, corpus_stats(counts)), "query-terms")
-    return _sum_scores(_tally_terms(_wanted_tokens(weighted, rows)), weighted).select("query_id", "chunk_id", "score")
+    def __init__(self, queries: DataFrame, chunks: DataFrame, salt_rows: int = SALT_ROWS):
+        self.tokens = token_table(chunks)
+        self.rows = token_rows(queries, self.tokens)
+        counts = settle(term_counts(self.rows), "terms")
+        self.corpus = settle(corpus_stats(counts), "corpus")
+        weighted = _weighted_terms(queries, counts, self.corpus).withColumn(
+            "salts", F.ceil(F.col("df") / salt_rows).cast("int"))
+        # written, so that Spark knows its true size when it plans the joins
+        self.weighted = settle(weighted, "query-terms")
+        wanted = self.weighted.select("scope_id", "term", "mean_length", "salts").distinct()
+        tokens = self.rows.select("scope_id", "chunk_id", "length", F.explode("tokens").alias("term"))
+        tallied = _tally_terms(tokens.join(wanted, ["scope_id", "term"]), "mean_length", "salts")
+        norm = fv.BM25_K1 * (1 - fv.BM25_B + fv.BM25_B * F.col("length") / F.col("mean_length"))
+        self.postings = settle(tallied.select(
+            "scope_id", "term", F.pmod(F.xxhash64("chunk_id"), F.col("salts")).cast("int").alias("salt"), "chunk_id",
+            (F.col("tf") / (F.col("tf") + norm)).alias("impact")), "postings")
 
+    def matches(self, terms: DataFrame) -> DataFrame:
+        """(query_id, scope_id, chunk_id, score) for every pair that shares one of ``terms`` (rows of ``weighted``)."""
+        salted = terms.select("query_id", "scope_id", "term", "gain",
+                              F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+        return self.postings.join(salted, ["scope_id", "term", "salt"]).groupBy(
+            "query_id", "scope_id", "chunk_id").agg(F.sum(F.col("gain") * F.col("impact")).alias("score"))
 
-def top_k_of(queries: DataFrame) -> Column:
-    wanted = F.col("top_k") if "top_k" in queries.columns else F.lit(fv.DEFAULT_TOP_K)
-    return F.greatest(F.coalesce(wanted, F.lit(fv.DEFAULT_TOP_K)), F.lit(1)).cast("int")
+    def completed(self, pairs: DataFrame, terms: DataFrame) -> DataFrame:
+        """(query_id, chunk_id, score) of those of ``pairs`` (query_id, scope_id, chunk_id) that share a term."""
+        asked = pairs.join(terms.select("query_id", "scope_id", "term", "gain"), ["query_id", "scope_id"])
+        return asked.join(self.postings.drop("salt"), ["scope_id", "term", "chunk_id"]).groupBy(
+            "query_id", "chunk_id").agg(F.sum(F.col("gain") * F.col("impact")).alias("score"))
 
 
-def largest_top_k(queries: DataFrame) -> int:
-    """The most rows that any query asks for; window bounds need it as a literal."""
-    return queries.agg(F.max(top_k_of(queries))).first()[0] or 1
+def bm25_score(queries: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(query_id, chunk_id, score) for every pair that shares a term; all other pairs score 0."""
+    index = SparseIndex(queries, chunks)
+    return index.matches(index.weighted).select("query_id", "chunk_id", F.round("score", SCORE_DIGITS).alias("score"))
 
 
 class SparseLeg:
-    """BM25 scores of all queries, with the zero-score chunks that may be needed.
-
-    A chunk without a match scores 0 and still ranks.  Fewer than k chunks
-    score above 0 only for some queries, and the zero rows they need lie among
-    the first 2k chunk ids of the scope.  Those chunks therefore carry the
-    empty term, which every query holds with no weight, and so come out of the
-    same sum with score 0 when nothing else matches.  Where the mean idf of a
-    scope is negative a match may score below 0 and zero rows may lie anywhere:
-    in such a scope every chunk carries the empty term.
+    """BM25 ranking of all queries, with the zero-score chunks that may be needed.
 
-    While queries and terms are few enough to be sent to every task, the tasks
-    that read the token table score it in place and nothing is shuffled but the
-    best rows.  Beyond that, terms and tokens are joined.
+    A chunk without a match scores 0 and still ranks.  Fewer than k chunks score above 0 only for some queries, and
+    the zero rows they need lie among the first 2k chunk ids of the scope, which are carried along.  Where the mean
+    idf of a scope is negative a match may score below 0 and zero rows may lie anywhere: a query with such a term is
+    scored against every chunk of its scope.
 
     ``pairs`` (query_id, chunk_id) names chunks whose scores are wanted too.
     """
 
     def __init__(self, queries: DataFrame, chunks: DataFrame, factor: int = 1, pairs: DataFrame | None = None,
-                 max_shipped: int = MAX_SHIPPED_ROWS):
-        self.factor = factor
+                 salt_rows: int = SALT_ROWS, witnesses: int = WITNESSES):
         self.most = largest_top_k(queries) * factor
-        self.queries = queries
+        self.witnesses = witnesses
         self.pairs = pairs
         self.asked = with_scope(queries).select("query_id", "scope_id", (top_k_of(queries) * factor).alias("pool"))
-        self.tokens = token_table(chunks)
-        self.rows = token_rows(queries, self.tokens)
-        counts = settle(term_counts(self.rows), "terms")
-        self.corpus = settle(corpus_stats(counts), "corpus")
-        self.weighted = settle(_weighted_terms(queries, counts, self.corpus), "query-terms")
-        self.found = self._scan(max_shipped)
-
-    def _scan(self, max_shipped: int) -> DataFrame | None:
-        """Best rows, ranges and pair scores out of one pass, if its inputs may be shipped."""
-        shipped = []
-        for frame in (self.asked, self.weighted, self.pairs):
-            # never more rows than may be shipped reach the driver
-            rows = None if frame is None else frame.limit(max_shipped + 1).toPandas()
-            if rows is not None and len(rows) > max_shipped:
-                return None
-            shipped.append(rows)
-        asked, weighted, pairs = shipped
-        if not len(asked) or asked["pool"].sum() > max_shipped:
-            return None
-        terms = self.asked.sparkSession.sparkContext.broadcast(pack_terms(asked, weighted, pairs))
-        rows = self.rows.select("scope_id", "chunk_id", "tokens")
-        return settle(rows.mapInPandas(lambda batches: scan(terms.value, batches), FOUND), "sparse-found")
+        self.index = SparseIndex(queries, chunks, salt_rows)
+        self.terms = settle(self._essential(), "essential-terms")
+        self.candidates = settle(self._candidates(), "sparse-candidates")
+
+    def _essential(self) -> DataFrame:
+        """Adds to the query terms: ``essential``, and per query ``safe`` (no negative gain), ``rest`` (what the other
+        terms can add) and ``reach`` (a score that as many chunks have as the query wants, if known)."""
+        best = Window.partitionBy("scope_id", "term").orderBy(F.desc("impact"))
+        # the literal bound drops rows before the shuffle
+        top = self.index.postings.select("scope_id", "term", "impact").withColumn(
+            "n", F.row_number().over(best)).where(F.col("n") <= self.most)
+        bounds = top.groupBy("scope_id", "term").agg(
+            F.max("impact").alias("largest"), F.max(F.when(F.col("n") == self.most, F.col("impact"))).alias("last"))
+        per_query = Window.partitionBy("query_id")
+        upto = per_query.orderBy("most", "term").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        terms = self.index.weighted.join(bounds, ["scope_id", "term"]).withColumns({
+            "most": F.col("gain") * F.col("largest"), "safe": F.min("gain").over(per_query) >= 0,
+            "reach": F.max(F.col("gain") * F.col("last")).over(per_query)})
+        terms = terms.withColumn("essential", ~F.col("safe") | F.col("reach").isNull() | (
+            F.sum("most").over(upto) >= F.col("reach") - SLACK))
+        return terms.withColumn("rest", F.sum(F.when(~F.col("essential"), F.col("most")).otherwise(0.0)).over(per_query)
+                                ).select("query_id", "scope_id", "term", "gain", "salts", "essential", "safe", "rest", "reach")
+
+    def _candidates(self) -> DataFrame:
+        """(query_id, scope_id, chunk_id, partial): every pair that can be among the first ``pool`` of its query."""
+        partial = settle(self.index.matches(self.terms.where("essential")).withColumnRenamed("score", "partial"),
+                         "sparse-partial")
+        order = Window.partitionBy("query_id").orderBy(F.desc("partial"))
+        last = partial.select("query_id", "partial").withColumn("n", F.row_number().over(order)).where(
+            F.col("n") <= self.most).join(self.asked.select("query_id", "pool"), "query_id").where(
+            F.col("n") == F.col("pool")).select("query_id", F.col("partial").alias("reached"))
+        known = self.terms.select("query_id", "safe", "rest", "reach").distinct().join(last, "query_id", "left")
+        needed = F.greatest("reach", "reached") - SLACK  # of partial scores that are no less than 0
+        return partial.join(known, "query_id").where(
+            ~F.col("safe") | needed.isNull() | (F.col("partial") + F.col("rest") >= needed)).select(
+            "query_id", "scope_id", "chunk_id", "partial")
 
     @property
     def scores(self) -> DataFrame:
-        """Scores by joining tokens with query terms: the plan for any number of queries."""
-        no_weight = self.asked.select(
-            "query_id", "scope_id", F.lit("").alias("term"), F.lit(None).cast("double").alias("mean_length"),
-            F.lit(0.0).alias("gain"))
-        weighted = self.weighted.unionByName(no_weight)
-        tokens = _wanted_tokens(weighted, self.rows).select("scope_id", "chunk_id", "length", "term")
-        return _sum_scores(_tally_terms(tokens.unionByName(self._empty_terms())), weighted)
-
-    def _empty_terms(self) -> DataFrame:
-        ids = self.rows.select("scope_id", "chunk_id")
+        """(query_id, chunk_id, score) of all candidates, and of chunks without a match that may rank."""
+        more = self.index.completed(self.candidates.select("query_id", "scope_id", "chunk_id"),
+                                    self.terms.where(~F.col("essential")))
+        full = self.candidates.join(more, ["query_id", "chunk_id"], "left").select(
+            "query_id", "chunk_id", F.round(F.col("partial") + F.coalesce("score", F.lit(0.0)), SCORE_DIGITS).alias("score"))
+        zeros = self._unmatched().join(self.candidates, ["query_id", "chunk_id"], "left_anti")
+        return full.unionByName(zeros.withColumn("score", F.lit(0.0)))
+
+    def _unmatched(self) -> DataFrame:
+        """(query_id, chunk_id): where the zero rows that a query may need are to be found."""
+        ids = self.index.rows.select("scope_id", "chunk_id")
         by_id = Window.partitionBy("scope_id").orderBy("chunk_id")
         # the literal bound drops rows before the shuffle
-        first = ids.withColumn("__i", F.row_number().over(by_id)).where(F.col("__i") <= 2 * self.most)
-        deepest = self.asked.groupBy("scope_id").agg(F.max("pool").alias("pool"))
-        first = first.join(deepest, "scope_id").where(F.col("__i") <= 2 * F.col("pool"))
-        below = self.corpus.where(F.col("floor_idf") < 0).select("scope_id")
-        carriers = first.select("scope_id", "chunk_id").unionByName(
-            ids.join(below, "scope_id", "left_semi")).distinct()
-        return carriers.select(
-            "scope_id", "chunk_id", F.lit(None).cast("int").alias("length"), F.lit("").alias("term"))
+        first = ids.withColumn("n", F.row_number().over(by_id)).where(F.col("n") <= 2 * self.most)
+        few = first.join(self.asked, "scope_id").where(F.col("n") <= 2 * F.col("pool")).select("query_id", "chunk_id")
+        unsafe = self.terms.where(~F.col("safe")).select("query_id", "scope_id").distinct()
+        return few.unionByName(ids.join(unsafe, "scope_id").select("query_id", "chunk_id")).distinct()
 
     def ranked(self) -> DataFrame:
         """query_id, chunk_id, score, rank: the first ``factor * top_k`` of each query."""
         order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
-        scores = self.scores if self.found is None else self.found.where(F.col("kind") == "best")
-        limited = scores.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= self.most)
+        limited = self.scores.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= self.most)
         return (
             limited.join(self.asked.select("query_id", "pool"), "query_id").where(F.col("__n") <= F.col("pool"))
             .select("query_id", "chunk_id", "score", (F.col("__n") - 1).alias("rank"))
         )
 
-    def ranges(self) -> DataFrame:
-        """query_id, s_lo, s_hi: score range of each query over its whole scope."""
-        if self.found is not None:
-            return self.found.where(F.col("kind") == "range").groupBy("query_id").agg(
-                F.min("score").alias("s_lo"), F.max("hi").alias("s_hi"))
-        seen = self.scores.groupBy("query_id").agg(
-            F.min("score").alias("lo"), F.max("score").alias("hi"), F.count(F.lit(1)).alias("n"))
-        sized = self.asked.select("query_id", "scope_id").join(
-            self.corpus.select("scope_id", "n_chunks"), "scope_id").join(seen, "query_id", "left")
-        partial = F.coalesce(F.col("n"), F.lit(0)) < F.col("n_chunks")
-
-        def bound(pick, column: str) -> Column:
-            return F.coalesce(F.when(partial, pick(F.col(column), F.lit(0.0))).otherwise(F.col(column)), F.lit(0.0))
-
-        return sized.select("query_id", bound(F.least, "lo").alias("s_lo"), bound(F.greatest, "hi").alias("s_hi"))
+    def ranges(self, ranked: DataFrame) -> DataFrame:
+        """query_id, s_lo, s_hi: score range of each query over its whole scope; ``ranked`` is this leg's ranking.
+
+        A query with no negative gain that leaves one chunk unmatched has 0 for its least score.  The shortest chunks
+        of the scope show that for most queries; the others are scored against all chunks.
+        """
+        shortest = Window.partitionBy("scope_id").orderBy("length", "chunk_id")
+        tried = self.index.rows.withColumn("n", F.row_number().over(shortest)).where(F.col("n") <= self.witnesses)
+        held = tried.select("scope_id", "chunk_id", F.explode(F.array_distinct("tokens")).alias("term")).join(
+            self.terms.select("query_id", "scope_id", "term"), ["scope_id", "term"]).groupBy("query_id").agg(
+            F.countDistinct("chunk_id").alias("hit"))
+        n_tried = tried.groupBy("scope_id").agg(F.count(F.lit(1)).alias("tried"))
+        safe = self.terms.groupBy("query_id").agg(F.min("safe").alias("safe"))
+        sized = settle(
+            self.asked.select("query_id", "scope_id").join(self.index.corpus.select("scope_id", "n_chunks"), "scope_id")
+            .join(n_tried, "scope_id").join(held, "query_id", "left").join(safe, "query_id", "left").select(
+                "query_id", "n_chunks", (F.coalesce("safe", F.lit(True)) & (F.coalesce("hit", F.lit(0)) < F.col("tried")))
+                .alias("open")), "sparse-ranges")
+        needy = self.terms.join(sized.where(~F.col("open")).select("query_id"), "query_id", "left_semi")
+        least = self.index.matches(needy).groupBy("query_id").agg(
+            F.round(F.min("score"), SCORE_DIGITS).alias("lo"), F.count(F.lit(1)).alias("matched"))
+        top = ranked.groupBy("query_id").agg(F.max("score").alias("s_hi"))
+        all_matched = ~F.col("open") & (F.coalesce("matched", F.lit(0)) == F.col("n_chunks"))
+        return sized.join(least, "query_id", "left").join(top, "query_id").select(
+            "query_id", F.when(all_matched, F.col("lo")).otherwise(
+                F.least(F.coalesce("lo", F.lit(0.0)), F.lit(0.0))).alias("s_lo"), "s_hi")
 
     def pair_scores(self) -> DataFrame:
         """Scores of the given pairs that lie in the scope of their query."""
-        if self.found is not None:
-            return self.found.where(F.col("kind") == "pair").select("query_id", "chunk_id", "score")
-        pairs, queries = self.pairs, self.queries
-        # only the chunks named are read
-        few = self.tokens.join(pairs.select("chunk_id").distinct(), "chunk_id", "left_semi")
-        rows = token_rows(queries, few)
-        mine = pairs.select("query_id", "chunk_id").join(self.asked.select("query_id", "scope_id"), "query_id")
-        tf = _tally_terms(rows.select("scope_id", "chunk_id", "length", F.explode("tokens").alias("term")))
-        norm = fv.BM25_K1 * (1 - fv.BM25_B + fv.BM25_B * F.col("length") / F.col("mean_length"))
-        part = F.col("gain") * F.col("tf") / (F.col("tf") + norm)
-        found = (
-            mine.join(tf, ["scope_id", "chunk_id"]).join(self.weighted, ["query_id", "scope_id", "term"])
-            .groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), SCORE_DIGITS).alias("score"))
-        )
-        admitted = mine.join(rows.select("scope_id", "chunk_id"), ["scope_id", "chunk_id"])
-        return admitted.join(found, ["query_id", "chunk_id"], "left").select(
-            "query_id", "chunk_id", F.coalesce("score", F.lit(0.0)).alias("score"))
+        mine = self.pairs.select("query_id", "chunk_id").join(self.asked.select("query_id", "scope_id"), "query_id")
+        # only the chunks named are looked at
+        admitted = mine.join(self.index.rows.select("scope_id", "chunk_id"), ["scope_id", "chunk_id"])
+        return admitted.join(self.index.completed(mine, self.index.weighted), ["query_id", "chunk_id"], "left").select(
+            "query_id", "chunk_id", F.round(F.coalesce("score", F.lit(0.0)), SCORE_DIGITS).alias("score"))
 
 
 def sparse_topk(queries: DataFrame, chunks: DataFrame, **options) -> DataFrame:

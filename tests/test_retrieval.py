@@ -64,7 +64,7 @@ def same(got, want):
 QUERIES = {"q1": "transfer amount transfer", "q2": "nothingmatches", "q3": "the", "q4": "load balance ledger", "q5": ""}
 
 
-@pytest.mark.parametrize("k,options", [(2, {}), (5, {"max_shipped": 0}), (50, {})])
+@pytest.mark.parametrize("k,options", [(2, {}), (5, {"salt_rows": 1}), (50, {})])
 def test_sparse_equals_formula(spark, k, options):
     queries = spark.createDataFrame([(q, t, k) for q, t in QUERIES.items()], "query_id string, query string, top_k int")
     got = by_query(B.sparse_topk(queries, chunk_frame(spark), **options))
@@ -79,7 +79,7 @@ def test_sparse_equals_formula(spark, k, options):
     {"c": "x q", "b": "x q", "a": "x q", "d": "x w", "e": "x w q"},
     {"a": "", "b": "!!"},
 ])
-@pytest.mark.parametrize("options", [{}, {"max_shipped": 0}])
+@pytest.mark.parametrize("options", [{}, {"salt_rows": 1}])
 def test_sparse_with_negative_idf(spark, texts, options):
     asked = {"q1": "x", "q2": "y z", "q3": "w q x"}
     queries = spark.createDataFrame([(q, t, k, f"{q}-{k}") for q, t in asked.items() for k in (1, 2, 9)], "q string, query string, top_k int, query_id string")
@@ -116,7 +116,7 @@ def test_scopes_and_filtered_statistics(spark):
         paired.setdefault(r.query_id, set()).add(r.chunk_id)
     want = {q: {r.chunk_id for r in rows if admitted(f, r)} for q, f in FILTERS.items()}
     assert paired == {q: v for q, v in want.items() if v}
-    for options in ({}, {"max_shipped": 0}):
+    for options in ({}, {"salt_rows": 2}):
         got = by_query(B.sparse_topk(queries, chunks, **options))
         assert set(got) == {"q1", "q2", "q3", "q4"}
         for q in got:
@@ -138,13 +138,50 @@ def exact(data, q, k):
     return top({f"v{i:03}": s for i, s in enumerate(scores)}, k)
 
 
-@pytest.mark.parametrize("options", [{}, {"max_shipped": 1, "query_tile": 7, "chunk_tile": 11}])
-def test_dense_plans_are_exact(spark, options):
+@pytest.mark.parametrize("options", [
+    {}, {"query_block": 7, "chunk_block": 11, "cells": 20, "first_slice": 2}, {"chunk_block": 3, "first_slice": 1}])
+def test_dense_is_exact_for_any_blocks(spark, options):
     data, df = vectors(spark)
-    queries = df.select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("query_vec"), F.lit(5).alias("top_k"))
+    top_k = (F.substring("chunk_id", 2, 3).cast("int") % 9 + 1).alias("top_k")  # queries want different numbers
+    queries = df.select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("query_vec"), top_k)
     got = by_query(D.dense_topk(queries, df.repartition(4), **options))
     for q in range(len(data)):
-        same(got[f"v{q:03}"], exact(data, q, 5))
+        same(got[f"v{q:03}"], exact(data, q, q % 9 + 1))
+
+
+@pytest.mark.parametrize("shape", [(1, 1), (7, 11), (1000, 4000), (3, 100_000), (5_000, 1)])
+@pytest.mark.parametrize("cells", [1, 10, 2_000_000])
+def test_products_stay_within_their_cells(shape, cells):
+    done = np.zeros(shape, dtype=int) if np.prod(shape) < 100_000 else None
+    if done is None and cells < 100:
+        return  # too many parts to list
+    total = 0
+    for q, v in D.cell_slices(*shape, cells):
+        size = (q.stop - q.start) * (v.stop - v.start)
+        assert 0 < size <= cells
+        total += size
+        if done is not None:
+            done[q, v] += 1
+    assert total == np.prod(shape) and (done is None or (done == 1).all())
+
+
+def test_bounds_leave_little_to_pass_on(spark):
+    """Once the last place of a query is known from a slice, a block passes on no more than what can beat it."""
+    rng = np.random.default_rng(2)
+    units, data = D._unit_rows(rng.normal(size=(20, 16))), D._unit_rows(rng.normal(size=(8_000, 16)))
+    ids, seen = np.array([f"c{i:05}" for i in range(len(data))], dtype=object), D.Seen(np.full(20, -np.inf), np.full(20, 5))
+    found = [D._candidates(units, data[a : a + 250], ids[a : a + 250], seen, 1_000) for a in range(0, 8_000, 250)]
+    assert len(found[0]) >= 100 and (seen.bounds > -1).all()
+    assert sum(map(len, found[1:])) < 20 * 5 * np.log(8_000 / 250) * 2  # about k per doubling, not k per block
+    best = np.sort(np.round(units @ data.T, 9), axis=1)[:, -5]
+    assert (seen.bounds == best).all()
+
+
+def test_vectors_of_different_lengths_are_refused(spark):
+    df = spark.createDataFrame([("a", [1.0, 2.0]), ("b", [1.0])], "chunk_id string, embedding array<float>")
+    queries = df.where("chunk_id = 'a'").select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("query_vec"))
+    with pytest.raises(Exception, match="different lengths|matmul"):
+        D.dense_topk(queries, df.coalesce(1)).collect()
 
 
 def test_cosine_column(spark):
@@ -160,7 +197,7 @@ def norm(scores):
     return {i: (s - lo) / (hi - lo) for i, s in scores.items()}
 
 
-@pytest.mark.parametrize("k,options", [(1, {}), (3, {}), (2, {"max_shipped": 0})])
+@pytest.mark.parametrize("k,options", [(1, {}), (3, {}), (2, {"salt_rows": 1, "witnesses": 1})])
 def test_hybrid_equals_formula(spark, k, options):
     chunks = E.embed_documents(chunk_frame(spark), "hash-32")
     vec = {r.chunk_id: np.asarray(r.embedding) for r in chunks.collect()}
