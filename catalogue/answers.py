@@ -196,29 +196,65 @@ def fallback_query(spark, sf):
     return _plan_rows(R.fallback_query(asked, R.normalize_query_plan(asked).where(~F.col("fallback"))))
 
 
-_HALF = "left(text, 80)"
-
-
-@register("batch_retrieve", f"""WITH {I.DOC_WINDOWS}, pq AS (SELECT 'r' || item_id || '/0' AS query_id, 'r' || item_id AS request_id, 0 AS query_no, text AS query, 8 AS k FROM benchmark
-  UNION ALL SELECT 'r' || item_id || '/1', 'r' || item_id, 1, {_HALF}, 5 FROM benchmark), {I.sql_bm25('pq', 'chunks')},
-top AS (SELECT s.*, pq.request_id, query_no, row_number() OVER (PARTITION BY s.query_id ORDER BY score DESC, chunk_id) - 1 AS rank FROM scored s JOIN pq USING (query_id)
-  QUALIFY row_number() OVER (PARTITION BY s.query_id ORDER BY score DESC, chunk_id) <= k),
-best AS (SELECT * FROM top QUALIFY row_number() OVER (PARTITION BY request_id, chunk_id ORDER BY score DESC, query_no, rank) = 1)
-SELECT request_id, row_number() OVER w AS index, chunk_id AS place, round(score, 4) AS score FROM best
-WINDOW w AS (PARTITION BY request_id ORDER BY score DESC, query_no, rank, chunk_id) QUALIFY row_number() OVER w <= 12""")
+# --- requests with a model's plan, or none, answered from the windows of all documents ---
+def asked(spark, sf):
+    """Three planned queries per benchmark text, one per strategy and with filters of their own; every fourth has no plan."""
+    i = F.col("item_id")
+    plan = lambda strategy, k, flt: F.struct(F.col("text").alias("query"), F.lit(strategy).alias("strategy"), F.lit(k).alias("top_k"), flt.alias("filter"))
+    kind = "struct<file_types:array<string>,path_prefix:string,chunk_types:array<string>>"
+    flt = lambda types, prefix, kinds: F.struct(types.alias("file_types"), prefix.alias("path_prefix"), kinds.alias("chunk_types")).cast(kind)
+    none = F.lit(None)
+    queries = F.to_json(F.struct(F.array(
+        plan("hybrid", 8, flt(none, none, none)), plan("sparse", 5, flt(F.array(F.lit("md")), none, none)),
+        plan("dense", 4, flt(none, F.lit("en/1"), F.array(F.lit("markdown"))))).alias("queries")))
+    return I.table(spark, sf, "benchmark").select(
+        F.concat(F.lit("r"), i.cast("string")).alias("request_id"), F.col("text").alias("request"),
+        F.when(i % 5 == 0, F.array(F.lit("src1"), F.lit("src2"), F.lit("src3"))).alias("repository_ids"), F.lit("main").alias("branch"),
+        F.when(i % 4 < 3, queries).alias("plan"))
+
+
+ASKED = f"""{I.DOC_WINDOWS}, pq AS (SELECT 'r' || item_id || '/' || no AS query_id, 'r' || item_id AS request_id, no AS query_no, text AS query, no, item_id % 5 = 0 AS narrow,
+  (item_id % 5 = 0) || '/' || no AS scope_id, CASE no WHEN 0 THEN 'hybrid' WHEN 1 THEN 'sparse' ELSE 'dense' END AS strategy, CASE no WHEN 0 THEN 8 WHEN 1 THEN 5 ELSE 4 END AS k
+  FROM benchmark, (VALUES (0), (1), (2)) v(no) WHERE item_id % 4 < 3 OR no = 0),
+scopes AS (SELECT DISTINCT scope_id, no, narrow FROM pq),
+admitted AS MATERIALIZED (SELECT scope_id, c.chunk_id, c.text FROM scopes, chunks c WHERE (NOT narrow OR repository_id IN ('src1', 'src2', 'src3')) AND branch = 'main'
+  AND (no <> 1 OR language = 'markdown') AND (no <> 2 OR (starts_with(file_path, 'en/1') AND chunk_type = 'markdown'))),
+sq AS (SELECT query_id, scope_id, query FROM pq WHERE strategy <> 'dense'), {I.sql_bm25('sq', 'admitted', scoped=True)},
+dq AS (SELECT * FROM pq WHERE strategy <> 'sparse'),
+{I.sql_hash_vectors('dq', 'query_id', 'query', 'qv')}, {I.sql_hash_vectors('chunks', 'chunk_id', 'text', 'cv')},
+pairs AS MATERIALIZED (SELECT query_id, chunk_id, strategy, k, {I.sql_cosine('qv.e', 'cv.e')} AS score FROM dq JOIN qv USING (query_id) JOIN admitted USING (scope_id) JOIN cv USING (chunk_id)),
+dpool AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS dr FROM pairs
+          QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) <= CASE strategy WHEN 'hybrid' THEN 3 * k ELSE k END),
+dn AS (SELECT query_id, chunk_id, dr, CASE WHEN max(score) OVER w - min(score) OVER w < 1e-9 THEN CASE WHEN max(score) OVER w > 0 THEN 1.0 ELSE 0.0 END
+          ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END AS d FROM dpool WHERE strategy = 'hybrid' WINDOW w AS (PARTITION BY query_id)),
+sn AS (SELECT query_id, chunk_id, CASE WHEN max(score) OVER w - min(score) OVER w < 1e-9 THEN CASE WHEN max(score) OVER w > 0 THEN 1.0 ELSE 0.0 END
+          ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END AS s
+       FROM scored JOIN pq USING (query_id) WHERE strategy = 'hybrid' WINDOW w AS (PARTITION BY query_id)),
+fused AS (SELECT coalesce(dn.query_id, sn.query_id) AS query_id, coalesce(dn.chunk_id, sn.chunk_id) AS chunk_id, dr, round(0.6 * coalesce(d, 0) + 0.4 * coalesce(s, 0), 9) AS score
+          FROM dn FULL OUTER JOIN sn ON dn.query_id = sn.query_id AND dn.chunk_id = sn.chunk_id),
+ranked AS (SELECT query_id, chunk_id, score, dr - 1 AS rank FROM dpool WHERE strategy = 'dense'
+  UNION ALL SELECT query_id, chunk_id, score, row_number() OVER w - 1 FROM scored JOIN pq USING (query_id) WHERE strategy = 'sparse' WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, chunk_id) QUALIFY row_number() OVER w <= k
+  UNION ALL SELECT query_id, chunk_id, round(score, 6), row_number() OVER w - 1 FROM fused JOIN pq USING (query_id) WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, dr NULLS LAST, chunk_id) QUALIFY row_number() OVER w <= k),
+found AS (SELECT request_id, query_no, r.rank, r.score, c.* FROM ranked r JOIN pq USING (query_id) JOIN chunks c USING (chunk_id)),
+best AS (SELECT * FROM found QUALIFY row_number() OVER (PARTITION BY request_id, chunk_id ORDER BY score DESC, query_no, rank) = 1),
+merged AS (SELECT * REPLACE (row_number() OVER w - 1 AS rank) FROM best WINDOW w AS (PARTITION BY request_id ORDER BY score DESC, query_no, rank, chunk_id) QUALIFY row_number() OVER w <= 12)"""
+
+
+@register("batch_retrieve", f"""WITH {ASKED}, b AS (SELECT *, rank + 1 AS m FROM merged), h AS (SELECT *, {_HEAD} AS head, trim(text, chr(10)) AS body FROM b),
+l AS (SELECT *, sum(length(head) + length(body) + 3) OVER (PARTITION BY request_id ORDER BY rank) AS upto FROM h),
+o AS (SELECT *, sum(CASE WHEN upto > 15800 THEN 1 ELSE 0 END) OVER (PARTITION BY request_id ORDER BY rank) AS over, 15800 - (upto - (length(head) + length(body) + 3)) - length(head) - 4 AS room FROM l),
+p AS (SELECT request_id, rank, CASE WHEN over = 0 THEN head || chr(10) || body WHEN over = 1 AND room > 80
+   THEN head || chr(10) || regexp_replace(left(body, CAST(room AS BIGINT)), '\\s+$', '') || chr(10) || '… (truncated)' END AS part FROM o),
+packed AS (SELECT request_id, coalesce(string_agg(part, chr(10) || chr(10) ORDER BY rank), '(no evidence retrieved)') AS context FROM p GROUP BY 1)
+SELECT request_id, rank + 1 AS index, chunk_id AS place, round(score, 4) AS score, md5(context) AS context FROM merged JOIN packed USING (request_id)""")
 def batch_retrieve(spark, sf):
-    """Two planned sparse queries per benchmark text, merged into citations."""
-    base = I.table(spark, sf, "benchmark").select("item_id", F.posexplode(F.array(F.col("text"), F.substring("text", 1, 80))).alias("query_no", "query"))
-    rid = F.concat(F.lit("r"), F.col("item_id").cast("string"))
-    queries = base.select(rid.alias("request_id"), F.concat_ws("/", rid, F.col("query_no").cast("string")).alias("query_id"), "query_no", "query",
-                          F.when(F.col("query_no") == 0, 8).otherwise(5).alias("top_k"))
-    from groundwell.operators.sparse import sparse_topk
-
-    chunks = I.doc_windows(spark, sf)
-    hits = E.attach_chunks(sparse_topk(queries, chunks), chunks).join(queries.select("query_id", "request_id", "query_no"), "query_id")
-    cites = E.build_citations(E.merge_evidence(hits))
+    """Requests through their plans: all strategies, filters, query embedding, merged citations, packed context."""
+    from groundwell.session import settle
+
+    found = A.answer_requests(asked(spark, sf), settle(I.doc_windows(spark, sf), "windows"))
     place = F.concat_ws(":", "file_path", "start_line", "end_line")
-    return cites.select("request_id", F.col("index").cast("bigint").alias("index"), place.alias("place"), "score")
+    cites = found.citations.select("request_id", F.col("index").cast("bigint").alias("index"), place.alias("place"), "score")
+    return cites.join(found.context.select("request_id", F.md5(F.col("context").cast("binary")).alias("context")), "request_id")
 
 
 @register("compose_request", """SELECT conv_id, turn, trim(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) || CASE WHEN turn % 2 = 0 THEN chr(10) || chr(10) || 'Stack trace:' || chr(10) || 'at ' || role ELSE '' END

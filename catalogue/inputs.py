@@ -177,3 +177,18 @@ scored AS MATERIALIZED (SELECT b.query_id, c.chunk_id, coalesce(m.score, 0.0) AS
 def sql_top(source: str, k: str = "8", order: str = "score DESC, chunk_id") -> str:
     return (f"SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {order}) - 1 AS rank "
             f"FROM {source} QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY {order}) <= {k}")
+
+
+def sql_hash_vectors(source: str, key: str, text: str, name: str) -> str:
+    """CTEs ending in ``name`` (key, e): texts as unit vectors by feature hashing, as the embedder ``hash-32`` does."""
+    return f"""{name}_w AS (SELECT {key}, unnest(regexp_extract_all(lower({text}), '[\\p{{L}}\\p{{N}}_]+')) AS w FROM {source}),
+{name}_s AS (SELECT {key}, CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) % 64 AS slot, count(*) AS c FROM {name}_w GROUP BY ALL),
+{name}_v AS (SELECT {key}, i, CAST(coalesce(sum(CASE WHEN slot = 2 * i THEN c WHEN slot = 2 * i + 1 THEN -c END), 0) AS DOUBLE) AS v
+   FROM (SELECT {key} FROM {source}) CROSS JOIN range(0, 32) r(i) LEFT JOIN {name}_s USING ({key}) GROUP BY ALL),
+{name} AS MATERIALIZED (SELECT {key}, list_transform(list(v ORDER BY i), lambda x: CAST(CAST(CASE WHEN sqrt(sum(v * v)) > 0 THEN x / sqrt(sum(v * v)) ELSE 0 END AS FLOAT) AS DOUBLE)) AS e
+   FROM {name}_v GROUP BY 1)"""
+
+
+def sql_cosine(a: str, b: str) -> str:
+    """A zero vector is like nothing."""
+    return f"round(coalesce(nullif(list_cosine_similarity({a}, {b}), CAST('NaN' AS DOUBLE)), 0.0), 9)"

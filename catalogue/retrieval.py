@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from groundwell.operators import dense as D
+from groundwell.operators import embed as E
 from groundwell.operators import hybrid as H
 from groundwell.operators import scope as S
 from groundwell.operators import sparse as B
+from groundwell.session import settle
 
 from . import inputs as I
 
@@ -100,24 +102,21 @@ def query_terms_x_postings(spark, sf):
         F.sum(F.col("weight") * F.col("tf")).alias("weighted"))
 
 
-# --- hybrid: question texts have a vector of the same number ----------------
+# --- hybrid: questions and whole documents, embedded by the same rule ----------
 def hybrid_queries(spark, sf):
-    return I.questions(spark, sf).join(
-        vectors(spark, sf).select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("query_vec")), "item_id")
+    return E.embed_documents(I.questions(spark, sf), "hash-32", "query", "query_vec")
 
 
 def hybrid_chunks(spark, sf):
-    """Whole documents with their vector, where one of that number exists."""
     docs = I.documents(spark, sf).select(
         F.concat(F.lit("v"), F.col("doc_id").cast("string")).alias("chunk_id"), "text")
-    return docs, vectors(spark, sf).join(docs.select("chunk_id"), "chunk_id")
+    return settle(E.embed_documents(docs, "hash-32"), "embedded")  # read by both legs
 
 
-HYBRID_IN = f"""{VECTORS}, {I.QUESTIONS}, hq AS (SELECT query_id, query, e FROM questions JOIN vecs ON vec_id = item_id),
-chunks AS (SELECT 'v' || doc_id AS chunk_id, text FROM documents),
-pairs AS MATERIALIZED (SELECT query_id, c.chunk_id, round(list_cosine_similarity(q.e, c.e), 9) AS score
-          FROM hq q, vecs c JOIN chunks USING (chunk_id)),
-{I.sql_bm25('hq', 'chunks')}"""
+HYBRID_IN = f"""{I.QUESTIONS}, chunks AS (SELECT 'v' || doc_id AS chunk_id, text FROM documents),
+{I.sql_hash_vectors('questions', 'query_id', 'query', 'qv')}, {I.sql_hash_vectors('chunks', 'chunk_id', 'text', 'cv')},
+pairs AS MATERIALIZED (SELECT query_id, chunk_id, {I.sql_cosine('qv.e', 'cv.e')} AS score FROM qv, cv),
+{I.sql_bm25('questions', 'chunks')}"""
 FUSED = """
 dpool AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS dr FROM pairs
           QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) <= 24),
@@ -138,8 +137,7 @@ fused AS (SELECT coalesce(dn.query_id, sn.query_id) AS query_id, coalesce(dn.chu
 SELECT query_id, chunk_id, round(score, 6) AS score, rank
 FROM ({I.sql_top('fused', '8', 'score DESC, dr NULLS LAST, chunk_id')})""")
 def hybrid_topk(spark, sf):
-    docs, vecs = hybrid_chunks(spark, sf)
-    return H.hybrid_topk(hybrid_queries(spark, sf), docs, vectors=vecs).select(
+    return H.hybrid_topk(hybrid_queries(spark, sf), hybrid_chunks(spark, sf)).select(
         "query_id", "chunk_id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
@@ -150,11 +148,10 @@ d AS (SELECT query_id || '/dense' AS query_id, chunk_id, rank FROM ({I.sql_top('
 SELECT * FROM h UNION ALL SELECT * FROM s UNION ALL SELECT * FROM d""")
 def finalize_rank(spark, sf):
     """One table of queries, each with its own strategy, ranked together."""
-    docs, vecs = hybrid_chunks(spark, sf)
     asked = hybrid_queries(spark, sf).withColumn(
         "strategy", F.explode(F.array(F.lit("dense"), F.lit("sparse"), F.lit("hybrid")))).withColumn(
         "query_id", F.concat_ws("/", "query_id", "strategy"))
-    return H.retrieve(asked, docs, vecs).select(
+    return H.retrieve(asked, hybrid_chunks(spark, sf)).select(
         "query_id", "chunk_id", F.col("rank").cast("bigint").alias("rank"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from groundwell.operators import evals as V
+from groundwell.plans.indexing import indexed_chunks
 from groundwell.session import fresh_folder
 from groundwell.streaming import streams as S
 
@@ -42,17 +43,17 @@ def drained(spark, rows, label):
 
 
 _N = f"len({I.sql_words('text')})"
-_Q, _A = I.sql_terms("left(text, 200)"), I.sql_terms("text")
+_Q, _A = I.sql_terms("source || ' ' || text"), I.sql_terms("text")
 
 
 @register("stream_eval", f"""SELECT CAST(doc_id AS VARCHAR) AS example_id, 'relevance' AS metric, least(1.0, greatest(0.0, round(CASE WHEN trim(text) = '' THEN 0.0 ELSE
   CASE WHEN len({_Q}) > 0 THEN {I.sql_overlap(_Q, _A)} ELSE 0.5 END * CAST({SANITY.format(n=_N)} AS DOUBLE) END, 4))) AS score FROM documents
 UNION ALL SELECT CAST(doc_id AS VARCHAR), 'completeness', CAST(((CASE WHEN regexp_matches(text, '[^\\s]') THEN 1 ELSE 0 END) + (CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END) + 1) / 4.0 AS DOUBLE) FROM documents""")
 def stream_eval(spark, sf):
-    """Every document as the answer to its own beginning."""
+    """Every document as the answer to its source and its own text."""
     cite = F.array(F.struct(F.lit(1).alias("index"), F.lit("a.md").alias("file_path"), F.lit("").alias("snippet")))
     rows = stream(spark, sf, "documents").select(
-        F.col("doc_id").cast("string").alias("example_id"), F.substring("text", 1, 200).alias("message"), F.col("text").alias("answer"),
+        F.col("doc_id").cast("string").alias("example_id"), F.concat_ws(" ", "source", "text").alias("message"), F.col("text").alias("answer"),
         F.lit("low").alias("confidence"), F.when(F.col("doc_id") % 2 == 0, cite).otherwise(F.slice(cite, 1, 0)).alias("citations"),
         F.array().cast("array<struct<title:string>>").alias("next_actions"))
     metrics = {m: V.METRICS[m] for m in ("relevance", "completeness")}
@@ -70,7 +71,10 @@ SELECT id, event_type AS workflow, event_id FROM tr QUALIFY row_number() OVER (P
 def stream_trace_upsert(spark, sf):
     out = fresh_folder(spark, "traces")
     finished(S.stream_trace_upsert(event_traces(spark, sf), out, fresh_folder(spark, "traces-state")))
-    now = I.table(spark, sf, "events").agg(F.max("ts")).scalar()
+    last = I.table(spark, sf, "events").agg(F.max("ts").alias("ts"))
+    S.expire_traces(spark, out, last.first().ts)
+    S.compact_traces(spark, out)
+    now = last.scalar()
     return S.read_traces(spark, out, now).select("id", "workflow", "event_id")
 
 
@@ -110,6 +114,7 @@ def stream_ingest(spark, sf):
         F.col("source").alias("repository_id"), F.col("source").alias("repo_name"), F.lit("main").alias("branch"), F.lit(None).cast("string").alias("commit_hash"),
         F.concat(F.col("lang"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("file_path"), "text")
     out = fresh_folder(spark, "ingest")
-    finished(S.stream_ingest(files, out, fresh_folder(spark, "ingest-state")))
-    return spark.read.parquet(out).select(
+    for state in ("ingest-state", "ingest-again"):  # the second stream brings the same files and writes nothing
+        finished(S.stream_ingest(files, out, fresh_folder(spark, state)))
+    return indexed_chunks(spark, out).where("size(embedding) = 32").select(
         "repository_id", "file_path", F.col("start_line").cast("bigint").alias("start_line"), F.col("end_line").cast("bigint").alias("end_line"), "content_hash")

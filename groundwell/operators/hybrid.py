@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -103,11 +106,31 @@ def rerank(ranked: DataFrame, texts: DataFrame, scorer) -> DataFrame:
 
 
 def retrieve(queries: DataFrame, chunks: DataFrame, vectors: DataFrame | None = None,
-             alpha: float = fv.HYBRID_ALPHA) -> DataFrame:
-    """Run every query with its own strategy; one table of ranked rows comes back."""
+             alpha: float = fv.HYBRID_ALPHA, scorer: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """Run every query with its own strategy; one table of ranked rows comes back.
+
+    Only legs that some query asks for are built, and they share one token table.  With a ``scorer``, the rows of
+    queries whose ``rerank`` is true are re-ordered by it; without that column, those of all queries.
+    """
     strategy = F.coalesce(F.col("strategy"), F.lit("hybrid"))
+    kind = F.when(strategy.isin("dense", "sparse"), strategy).otherwise(F.lit("hybrid"))
+    asked = {r[0] for r in queries.select(kind).distinct().collect()}  # three at the most
+    vectors = chunks if vectors is None else vectors
+    tokens = token_table(chunks) if asked - {"dense"} else chunks
+    legs = {
+        "dense": lambda mine: dense_topk(mine, vectors),
+        "sparse": lambda mine: sparse_topk(mine, tokens),
+        "hybrid": lambda mine: hybrid_topk(mine, tokens, alpha, vectors=vectors),
+    }
     columns = ["query_id", "chunk_id", "score", "rank", "retriever"]
-    dense = dense_topk(queries.where(strategy == "dense"), chunks if vectors is None else vectors)
-    sparse = sparse_topk(queries.where(strategy == "sparse"), chunks)
-    hybrid = hybrid_topk(queries.where(~strategy.isin("dense", "sparse")), chunks, alpha, vectors=vectors)
-    return dense.select(columns).unionByName(sparse.select(columns)).unionByName(hybrid.select(columns))
+    found = [legs[name](queries.where(kind == name)).select(columns) for name in sorted(asked)]
+    if not found:  # no queries
+        return queries.sparkSession.createDataFrame(
+            [], "query_id string, chunk_id string, score double, rank int, retriever string")
+    ranked = reduce(DataFrame.unionByName, found)
+    if scorer is None:
+        return ranked
+    flag = F.coalesce(F.col("rerank"), F.lit(False)) if "rerank" in queries.columns else F.lit(True)
+    ranked = settle(ranked.join(queries.select("query_id", "query", flag.alias("__again")), "query_id"), "ranked")
+    again = rerank(ranked.where("__again"), chunks, scorer)
+    return ranked.where("not __again").select(columns).unionByName(again.select(columns))

@@ -23,6 +23,8 @@ FILTER = (
 )
 ANY = "\u0001"
 EVERYTHING = "everything"
+# letters of the name a path prefix ends in that are part of a key
+NAME_LETTERS = 3
 
 
 def _or_null(values: Column) -> Column:
@@ -84,13 +86,30 @@ def with_scope(queries: DataFrame) -> DataFrame:
     return queries.withColumn("scope_id", scope_id(F.col("filter")))
 
 
+def prefix_place(prefix: Column) -> tuple[Column, Column]:
+    """(folders above the end of a path prefix, how many letters of the name below them count as a key)."""
+    name = F.substring_index(prefix, "/", -1)
+    return F.size(F.split(prefix, "/")) - 1, F.least(F.length(name), F.lit(NAME_LETTERS))
+
+
+def path_key(path: Column, folders: Column, letters: Column) -> Column:
+    """A path's first ``folders`` folders and the first ``letters`` letters of what comes next; NULL if it has fewer.
+
+    Equal for a path and for every prefix of it that ends at or after this point.
+    """
+    parts = F.split(path, "/")
+    above = F.array_join(F.slice(parts, F.lit(1), folders), "/")
+    next_part = F.get(parts, folders)
+    return F.when(F.size(parts) > folders, F.concat_ws("/", above, F.substring(next_part, F.lit(1), letters)))
+
+
 def scope_chunks(queries: DataFrame, chunks: DataFrame, keep: list[str]) -> DataFrame:
     """(scope_id, chunk) rows for every chunk a scope admits.
 
-    Each filter constrains some of repository, branch, language and chunk type.
-    A chunk looks filters up by the values of exactly those columns, once per
-    combination of constrained columns in use (sixteen at the most), so the
-    join has a key whatever the filter is.  The path prefix is checked after.
+    Each filter constrains some of repository, branch, language, chunk type and path.  A chunk looks filters up by
+    the values of exactly those columns, once per combination in use, so the join has a key whatever the filter is.
+    A path prefix is looked up by its folders, and by the first letters of the name it ends in; prefixes of one depth
+    are one combination, and what is left of a prefix is checked after the join.
     """
     if "filter" not in queries.columns:
         return chunks.select(F.lit(EVERYTHING).alias("scope_id"), *keep)
@@ -99,30 +118,40 @@ def scope_chunks(queries: DataFrame, chunks: DataFrame, keep: list[str]) -> Data
         return F.coalesce(_or_null(values), F.array(F.lit(ANY)))
 
     flt = F.col("filter")
+    prefix = F.coalesce(flt["path_prefix"], F.lit(""))
+    folders, letters = prefix_place(prefix)
     filters = (
         with_scope(queries).select("scope_id", "filter").dropDuplicates(["scope_id"])
-        .select("scope_id", F.coalesce(flt["path_prefix"], F.lit("")).alias("__prefix"),
+        .select("scope_id", prefix.alias("__prefix"), folders.alias("__folders"), letters.alias("__letters"),
                 parts(flt["repository_ids"]).alias("r"),
                 F.coalesce(F.nullif(flt["branch"], F.lit("")), F.lit(ANY)).alias("b"),
                 parts(F.transform(flt["file_types"], P.extension_language)).alias("l"),
                 parts(flt["chunk_types"]).alias("c"))
         .withColumn("r", F.explode("r")).withColumn("l", F.explode("l")).withColumn("c", F.explode("c"))
     )
-    key = F.concat_ws("\u0002", "r", "b", "l", "c")
-    shape = sum((F.when(F.col(n) != ANY, F.lit(1 << i)).otherwise(F.lit(0)) for i, n in enumerate("rblc")), F.lit(0))
+    below = path_key(F.col("__prefix"), F.col("__folders"), F.col("__letters"))
+    key = F.concat_ws("\u0002", "r", "b", "l", "c", below)
+    mask = sum((F.when(F.col(n) != ANY, F.lit(1 << i)).otherwise(F.lit(0)) for i, n in enumerate("rblc")), F.lit(0))
     # written, so that Spark knows the true size when it plans the join
     filters = settle(filters.select(
-        "scope_id", "__prefix", shape.cast("int").alias("__shape"), key.alias("__key")).distinct(), "scopes")
-    shapes = [r[0] for r in filters.select("__shape").distinct().collect()]  # sixteen at the most
+        "scope_id", "__prefix", F.struct(mask.cast("int").alias("mask"), F.col("__folders").alias("folders"),
+                                         F.col("__letters").alias("letters")).alias("__shape"),
+        key.alias("__key")).distinct(), "scopes")
+    # sixteen for each depth of a prefix and number of letters, however many filters there are
+    shapes = [tuple(r[0]) for r in filters.select("__shape").distinct().collect()]
+    shape = F.col("__shape")
 
     def part(bit: int, column: str) -> Column:
-        on = F.col("__shape").bitwiseAND(F.lit(1 << bit)) != 0
+        on = shape["mask"].bitwiseAND(F.lit(1 << bit)) != 0
         return F.when(on, F.coalesce(F.col(column), F.lit("\u0003"))).otherwise(F.lit(ANY))
 
+    listed = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("mask", "folders", "letters"), s)]) for s in shapes])
+    listed = listed.cast("array<struct<mask:int,folders:int,letters:int>>")
+    place = path_key(F.col("file_path"), shape["folders"], shape["letters"])
     looked_up = (
-        chunks.withColumn("__shape", F.explode(F.array(*[F.lit(n) for n in shapes]).cast("array<int>")))
-        .withColumn("__key", F.concat_ws("\u0002", part(0, "repository_id"), part(1, "branch"),
-                                         part(2, "language"), part(3, "chunk_type")))
+        chunks.withColumn("__shape", F.explode(listed)).withColumn("__place", place).where("__place is not null")
+        .withColumn("__key", F.concat_ws("\u0002", part(0, "repository_id"), part(1, "branch"), part(2, "language"),
+                                         part(3, "chunk_type"), F.col("__place")))
     )
     return (
         looked_up.join(filters, ["__shape", "__key"])

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
 from ..functions import paths as P
 from ..functions import text as T
 from ..operators import evidence as E
+from ..operators.embed import embed_documents
 from ..operators.hybrid import retrieve
+from ..session import settle
+from .requests import normalize_query_plan
 
 # --- fixed values: texts given when no model can be asked ---------------------
 NO_ANSWER = (
@@ -36,18 +42,51 @@ REVIEW_IMPACT = "Unknown — automated review unavailable."
 REVIEW_TEST = "Re-run the review once the model service is reachable."
 
 
+class Answers(NamedTuple):
+    """Tables of all requests: planned queries, merged evidence, numbered citations, packed context."""
+
+    queries: DataFrame
+    evidence: DataFrame
+    citations: DataFrame
+    context: DataFrame
+
+
+def embed_queries(queries: DataFrame, name: str, on_error: str = "raise") -> DataFrame:
+    """Adds ``query_vec`` with the embedder of the corpus; queries of the sparse strategy need none and get NULL."""
+    needed = F.coalesce(F.col("strategy"), F.lit("hybrid")) != "sparse"
+    dense = embed_documents(queries.where(needed), name, "query", "query_vec", on_error)
+    sparse = queries.where(~needed).withColumn("query_vec", F.lit(None).cast(dense.schema["query_vec"].dataType))
+    return dense.unionByName(sparse)
+
+
 def batch_retrieve(queries: DataFrame, chunks: DataFrame, vectors: DataFrame | None = None,
-                   max_chars: int = fv.CONTEXT_CHARS) -> tuple[DataFrame, DataFrame, DataFrame]:
+                   max_chars: int = fv.CONTEXT_CHARS, scorer: Callable[[Column, Column], Column] | None = None) -> Answers:
     """Evidence, citations and packed context of every request.
 
-    ``queries`` has request_id, query_id, query_no, query, query_vec, strategy,
-    top_k and filter, one row per planned query.
+    ``queries`` has request_id, query_id, query_no, query, query_vec, strategy, top_k, filter and, if a ``scorer``
+    re-ranks, rerank: one row per planned query.  ``vectors`` has what filters use beside chunk_id and embedding; if
+    it is missing, ``chunks`` has the embeddings.
     """
-    found = E.attach_chunks(retrieve(queries, chunks, vectors), chunks).join(
-        queries.select("query_id", "request_id", "query_no"), "query_id")
+    ranked = settle(retrieve(queries, chunks, vectors, scorer=scorer), "retrieved")  # a few rows per query, read thrice
+    found = E.attach_chunks(ranked, chunks).join(queries.select("query_id", "request_id", "query_no"), "query_id")
     evidence = E.merge_evidence(found)
     requests = queries.select("request_id").distinct()
-    return evidence, E.build_citations(evidence), E.pack_context(evidence, max_chars, requests)
+    return Answers(queries, evidence, E.build_citations(evidence), E.pack_context(evidence, max_chars, requests))
+
+
+def answer_requests(requests: DataFrame, chunks: DataFrame, embedder: str = "hash-32",
+                    max_chars: int = fv.CONTEXT_CHARS, scorer: Callable[[Column, Column], Column] | None = None,
+                    on_error: str = "raise") -> Answers:
+    """From requests and their models' plans to evidence: plan, embed the queries, retrieve, merge, cite and pack.
+
+    ``requests``: request_id, request, repository_ids, branch and plan (JSON text or NULL).  ``chunks``: a chunk
+    table, as ``plans.indexing`` keeps it; where it has no embeddings they are made here with the same ``embedder``.
+    Every request has a context, also where nothing was found.
+    """
+    planned = settle(embed_queries(normalize_query_plan(requests), embedder, on_error), "planned-queries")
+    if "embedding" not in chunks.columns:
+        chunks = settle(embed_documents(chunks, embedder, on_error=on_error), "embedded-chunks")
+    return batch_retrieve(planned, chunks, None, max_chars, scorer)
 
 
 def _with_citations(requests: DataFrame, citations: DataFrame) -> DataFrame:

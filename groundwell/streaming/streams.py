@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from datetime import datetime, timedelta
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -13,10 +14,10 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from .. import fixed_values as fv
 from ..functions import paths as P
 from ..functions.coerce import clamp01
-from ..operators.chunking import chunk_files
 from ..operators.evals import score_all
 from ..operators.traces import latest_by_id, trace_sink
-from ..sources.chunk_store import upsert_chunks
+from ..plans.indexing import index_repository
+from ..session import settle
 from ..sources.files import below_root, read_text_lenient
 
 
@@ -39,19 +40,22 @@ def write_append(rows: DataFrame, path: str, checkpoint: str, trigger: dict | No
 
 
 # --- traces ------------------------------------------------------------------------
-def stream_trace_upsert(traces: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+def stream_trace_upsert(traces: DataFrame, path: str, checkpoint: str, trigger: dict | None = None,
+                        now: Callable[[], datetime] | None = None) -> StreamingQuery:
     """Keep traces so that the last record of an id wins.
 
-    Each batch is reduced to one record per id and appended under its day; the
-    reader picks the last record.  A batch costs what it brings, however large
-    the store is, and expiry drops whole days.  A batch that is repeated after
-    a failure overwrites its own folder, so nothing is stored twice.
+    Each batch is reduced to one record per id and appended under its day; the reader picks the last record.  A batch
+    costs what it brings, however large the store is.  A batch that is repeated after a failure overwrites its own
+    folders, so nothing is stored twice.  With a clock ``now``, what is past its time is removed after each batch;
+    ``expire_traces`` does the same as a job of its own.
     """
 
     def append(batch: DataFrame, batch_id: int) -> None:
         latest = latest_by_id(batch, [F.desc("created_at")])
         latest.withColumn("day", F.to_date("created_at")).withColumn("batch", F.lit(batch_id)).write.mode(
-            "overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "day").parquet(path)
+            "overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch").parquet(path)
+        if now is not None:
+            expire_traces(batch.sparkSession, path, now())
 
     return (
         traces.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)
@@ -68,6 +72,63 @@ def read_traces(spark: SparkSession, path: str, now, cap: int | None = None) ->
     return trace_sink(recent, now, cap=cap).drop("day", "batch")
 
 
+def _day_folders(spark: SparkSession, path: str) -> list[str]:
+    """Stored days; one name per day reaches the driver, and no data is read."""
+    location = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = location.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not system.exists(location):
+        return []
+    names = [f.getPath().getName() for f in system.listStatus(location)]
+    return sorted(n.split("=", 1)[1] for n in names if n.startswith("day="))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    location = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    location.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(location, True)
+
+
+def expire_traces(spark: SparkSession, path: str, now: datetime, ttl_days: int = fv.TRACE_TTL_DAYS) -> None:
+    """Remove traces older than the TTL from the store: whole days as folders, the day it ends in by rewriting it.
+
+    ``now`` is in UTC, as the session's days are.  A retry after a failure finds less to do.
+    """
+    end = now - timedelta(days=ttl_days)
+    for day in _day_folders(spark, path):
+        if day < end.strftime("%Y-%m-%d"):
+            _delete(spark, f"{path}/day={day}")
+    last = end.strftime("%Y-%m-%d")
+    if last in _day_folders(spark, path):
+        rows = spark.read.option("basePath", path).parquet(f"{path}/day={last}")
+        old = F.col("created_at") < F.lit(end)
+        if not rows.where(old).isEmpty():
+            kept = settle(rows.where(~old), "traces-kept")
+            batches = [r.batch for r in rows.where(old).select("batch").distinct().collect()]
+            kept.where(F.col("batch").isin(batches)).write.mode("overwrite").option(
+                "partitionOverwriteMode", "dynamic").partitionBy("day", "batch").parquet(path)
+            left = {r.batch for r in kept.select("batch").distinct().collect()}
+            for batch in set(batches) - left:  # an overwrite does not touch folders that have become empty
+                _delete(spark, f"{path}/day={last}/batch={batch}")
+
+
+def compact_traces(spark: SparkSession, path: str, few: int = 1) -> list[str]:
+    """Rewrite days of more than ``few`` batches as one folder, the last record of an id staying; gives these days.
+
+    A day is written under its last batch, and only then are its other batches removed.
+    """
+    done = []
+    for day in _day_folders(spark, path):
+        rows = spark.read.option("basePath", path).parquet(f"{path}/day={day}")
+        batches = sorted(r.batch for r in rows.select("batch").distinct().collect())
+        if len(batches) > few:
+            kept = settle(latest_by_id(rows, [F.desc("created_at"), F.desc("batch")]).withColumn(
+                "batch", F.lit(batches[-1])), "traces-compact")
+            kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch").parquet(path)
+            for batch in batches[:-1]:
+                _delete(spark, f"{path}/day={day}/batch={batch}")
+            done.append(day)
+    return done
+
+
 # --- jobs ----------------------------------------------------------------------------
 _JOB = "job_id string, status string, progress double, updated_at timestamp, terminal boolean"
 _JOB_STATE = "status string, progress double, updated_at timestamp"
@@ -108,27 +169,45 @@ def stream_job_progress(updates: DataFrame, delay: str = "1 hour") -> DataFrame:
 # --- ingestion ------------------------------------------------------------------------
 def stream_files(spark: SparkSession, root: str, repository_id: str, repo_name: str, branch: str = "main",
                  files_per_batch: int = 1000) -> DataFrame:
-    """New and changed files below ``root`` as they appear."""
+    """Files below ``root`` as they appear.
+
+    A stream reads a path once; an edited file arrives with the next stream, whose unchanged files cost a comparison.
+    """
     base = root.rstrip("/")
     found = (
         spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary")
         .option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files_per_batch).load(base)
     )
-    named = found.select(below_root(spark, base, F.col("path")).alias("file_path"), "length", "content")
+    named = found.select(below_root(spark, base, F.col("path")).alias("file_path"), "length", "content",
+                         F.col("modificationTime").alias("modified"))
     wanted = named.where(
         ~P.in_skipped_dir(F.col("file_path"), fv.EXCLUDE_DIRS) & P.is_indexable(F.col("file_path"), F.col("length")))
     return read_text_lenient(wanted).select(
         F.lit(repository_id).alias("repository_id"), F.lit(repo_name).alias("repo_name"), F.lit(branch).alias("branch"),
-        F.lit(None).cast("string").alias("commit_hash"), "file_path", "length", "text")
+        F.lit(None).cast("string").alias("commit_hash"), "file_path", "length", "text", "modified")
 
 
-def stream_ingest(files: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
-    """Chunk files as they arrive and replace their chunks in the table at ``path``."""
+def stream_ingest(files: DataFrame, path: str, checkpoint: str, trigger: dict | None = None,
+                  embedder: str | None = "hash-32") -> StreamingQuery:
+    """Chunk and embed files as they arrive and store what changed in the chunk table at ``path``.
 
-    def upsert(batch: DataFrame, batch_id: int) -> None:
-        upsert_chunks(batch.sparkSession, path, chunk_files(batch), scanned=batch)
+    A batch is compared with the stored markers of its own buckets.  Unchanged files are neither embedded nor
+    written, so a batch that comes again, after a failure or from a new stream, writes nothing.  Of a file that comes
+    more than once in a batch the last modification counts, if ``files`` has a ``modified`` column.
+    """
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        index_repository(batch.sparkSession, path, latest_files(batch), embedder)
 
     return (
-        files.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint)
+        files.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True})).start()
     )
+
+
+def latest_files(batch: DataFrame) -> DataFrame:
+    """One row per file: the one modified last, where the batch says when."""
+    if "modified" not in batch.columns:
+        return batch
+    last = F.max_by(F.struct(*batch.columns), "modified")
+    return batch.groupBy("repository_id", "branch", "file_path").agg(last.alias("__last")).select("__last.*").drop("modified")

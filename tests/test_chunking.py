@@ -1,11 +1,15 @@
 import re
+from pathlib import Path
 
+import pytest
 from conftest import SAMPLE, file_rows
 from pyspark.sql import functions as F
 
 from groundwell import fixed_values as fv
 from groundwell.operators import chunking as C
 from groundwell.operators import corpus as K
+from groundwell.operators import embed as E
+from groundwell.plans.indexing import index_repository, indexed_chunks
 from groundwell.sources import chunk_store as CS
 from groundwell.sources import files as FS
 from groundwell.sources.datasets import load_eval_dataset
@@ -127,25 +131,92 @@ def test_store_round_trip(spark, tmp_path):
     assert {r.repository_id for r in CS.read_chunks(spark, path).collect()} == {"repo_2"}
 
 
-def test_store_prunes_partitions_and_forgets_emptied_files(spark, tmp_path):
+def listing(path):
+    return sorted(str(p.relative_to(path)) for p in Path(path).rglob("*.parquet"))
+
+
+def test_store_writes_only_what_changed_and_forgets_emptied_files(spark, tmp_path):
     path = str(tmp_path / "chunks")
     none = C.chunk_files(file_rows(spark, {"e.md": ""}))
-    CS.upsert_chunks(spark, path, none)  # a first batch without chunks leaves a readable table
-    CS.upsert_chunks(spark, path, none)
+    assert CS.upsert_chunks(spark, path, none) == 0  # a first batch without chunks leaves a readable table
+    assert CS.upsert_chunks(spark, path, none) == 0
     assert CS.read_chunks(spark, path).count() == 0
     for repo in ("repo_1", "repo_2"):
-        CS.upsert_chunks(spark, path, C.chunk_files(file_rows(spark, {"a.md": "# A\none", "b.md": "# B\ntwo"}, repo=repo)))
-    new = C.chunk_files(file_rows(spark, {"a.md": "# A\nthree"}))
-    plan = CS.touched_chunks(spark, path, new)._jdf.queryExecution().executedPlan().toString()
-    assert re.search(r"PartitionFilters: \[[^\]]*repository_id[^\]]*repo_1", plan)
-    emptied = file_rows(spark, {"a.md": "", "c.md": "# C\nx"})
-    for _ in range(2):  # a repeated call changes nothing
-        CS.upsert_chunks(spark, path, C.chunk_files(emptied), scanned=emptied)
+        assert CS.upsert_chunks(spark, path, C.chunk_files(file_rows(spark, {"a.md": "# A\none", "b.md": "# B\ntwo"}, repo=repo))) == 2
+    before = listing(path)
+    same = C.chunk_files(file_rows(spark, {"a.md": "# A\none", "b.md": "# B\ntwo"}))
+    assert CS.upsert_chunks(spark, path, same) == 0 and listing(path) == before  # an identical batch writes nothing
+    emptied = file_rows(spark, {"a.md": "", "c.md": "# C\nx", "never.md": ""})
+    for written in (2, 0):  # a repeated call changes nothing
+        assert CS.upsert_chunks(spark, path, C.chunk_files(emptied), scanned=emptied) == written
         rows = sorted((r.repository_id, r.file_path) for r in CS.read_chunks(spark, path).collect())
         assert rows == [("repo_1", "b.md"), ("repo_1", "c.md"), ("repo_2", "a.md"), ("repo_2", "b.md")]
     gone = file_rows(spark, {"a.md": "", "b.md": ""}, repo="repo_2")
     CS.upsert_chunks(spark, path, C.chunk_files(gone), scanned=gone)
     assert {r.repository_id for r in CS.read_chunks(spark, path).collect()} == {"repo_1"}
+    back = file_rows(spark, {"a.md": "# A\none"}, repo="repo_2")
+    assert CS.upsert_chunks(spark, path, C.chunk_files(back), scanned=back) == 1
+    assert {r.repository_id for r in CS.read_chunks(spark, path).collect()} == {"repo_1", "repo_2"}
+
+
+def test_a_write_reads_only_its_buckets(spark, tmp_path):
+    path = str(tmp_path / "chunks")
+    CS.upsert_chunks(spark, path, C.chunk_files(file_rows(spark, {f"f{i}.md": f"# T{i}\nx" for i in range(60)})))
+    new = C.chunk_files(file_rows(spark, {"f3.md": "# T3\nother"}))
+    plan = CS.changed_files(spark, path, new)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*bucket[^\]]* = \d+", plan) and "/chunks]" not in plan
+
+
+def test_writes_that_were_cut_short_are_never_seen(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "chunks")
+    CS.upsert_chunks(spark, path, C.chunk_files(file_rows(spark, {"a.md": "# A\none", "b.md": "# B\ntwo"})))
+    edited = C.chunk_files(file_rows(spark, {"a.md": "# A\nnew", "n.md": "# N\nx"}))
+
+    def broken(path, chunks, files, version):  # fails between the chunks and their file rows
+        chunks.withColumn("version", F.lit(version)).write.mode("append").partitionBy("bucket", "version").parquet(f"{path}/chunks")
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(CS, "_append", broken)
+        with pytest.raises(RuntimeError):
+            CS.upsert_chunks(spark, path, edited)
+    assert sorted(r.text for r in CS.read_chunks(spark, path).collect()) == ["# A\none", "# B\ntwo"]
+    assert CS.upsert_chunks(spark, path, edited) == 2
+    assert sorted(r.text for r in CS.read_chunks(spark, path).collect()) == ["# A\nnew", "# B\ntwo", "# N\nx"]
+
+
+def test_compaction_keeps_the_chunks_and_drops_the_rest(spark, tmp_path):
+    path = str(tmp_path / "chunks")
+    for i in range(4):
+        CS.upsert_chunks(spark, path, C.chunk_files(file_rows(spark, {"a.md": f"# A\n{i}", f"n{i}.md": "# N\nx"})))
+    gone = file_rows(spark, {"n0.md": ""})
+    CS.upsert_chunks(spark, path, C.chunk_files(gone), scanned=gone)
+    before = sorted(map(str, CS.read_chunks(spark, path).collect()))
+    files = len(listing(path))
+    assert len(CS.compact_chunks(spark, path, few=0)) >= 4
+    assert sorted(map(str, CS.read_chunks(spark, path).collect())) == before and len(before) == 4
+    assert len(listing(path)) < files and CS.read_files(spark, path).count() == 4
+    assert CS.compact_chunks(spark, path, few=1) == []
+
+
+def test_index_embeds_only_changed_files(spark, tmp_path):
+    path, seen = str(tmp_path / "index"), spark.sparkContext.accumulator(0)
+
+    def counted():
+        def model(texts):
+            seen.add(len(texts))
+            return [[float(len(t)), 1.0] for t in texts]
+        return model
+
+    E.register_embedder("counted", 2, counted)
+    files = file_rows(spark, {f"f{i}.md": f"# T{i}\nbody" for i in range(5)})
+    assert index_repository(spark, path, files, "counted") == 5 and seen.value == 5
+    assert index_repository(spark, path, files, "counted") == 0 and seen.value == 5
+    edited = file_rows(spark, {"f1.md": "# T1\nlonger body", "f2.md": "", "f3.md": "# T3\nbody"})
+    assert index_repository(spark, path, edited, "counted") == 2 and seen.value == 6
+    rows = {r.file_path: (r.text, list(r.embedding)) for r in indexed_chunks(spark, path).collect()}
+    assert set(rows) == {"f0.md", "f1.md", "f3.md", "f4.md"}
+    assert all(v == [float(len(t)), 1.0] for t, v in rows.values())
 
 
 def test_paths_below_roots_whose_name_comes_again(spark, tmp_path, monkeypatch):

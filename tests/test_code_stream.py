@@ -1,4 +1,5 @@
 import datetime as dt
+from pathlib import Path
 
 from conftest import SAMPLE, file_rows
 from pyspark.sql import functions as F
@@ -7,6 +8,7 @@ from groundwell.operators import catalog as K
 from groundwell.operators import codeintel as CI
 from groundwell.operators import traces as TR
 from groundwell.operators.numbering import numbered_within
+from groundwell.plans.indexing import indexed_chunks
 from groundwell.plans.requests import diff_paths
 from groundwell.streaming import streams as S
 
@@ -137,15 +139,56 @@ def test_trace_rules(spark):
     assert [(r.id, r.workflow) for r in kept] == [("c", "w"), ("a", "w")]
 
 
-def test_stream_ingest_from_a_directory(spark, repo_dir, tmp_path):
-    files = S.stream_files(spark, repo_dir, "r1", "demo")
-    out = str(tmp_path / "chunks")
-    S.stream_ingest(files, out, str(tmp_path / "state")).awaitTermination()
-    stored = spark.read.parquet(out)
-    assert {r.file_path for r in stored.collect()} == {"config.py", "service.py", "README.md", "pkg/helpers.py"}
-    before = stored.count()
-    S.stream_ingest(S.stream_files(spark, repo_dir, "r1", "demo"), out, str(tmp_path / "state")).awaitTermination()
-    assert spark.read.parquet(out).count() == before
+def test_stream_ingest_from_a_directory(spark, tmp_path):
+    root, out = tmp_path / "repo", str(tmp_path / "chunks")
+    for name, text in SAMPLE.items():
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text(text)
+
+    def ingest(state):
+        S.stream_ingest(S.stream_files(spark, str(root), "r1", "demo"), out, str(tmp_path / state)).awaitTermination()
+        return sorted(map(str, Path(out).rglob("*.parquet"))), indexed_chunks(spark, out).collect()
+
+    files, stored = ingest("state")
+    assert {r.file_path for r in stored} == {"config.py", "service.py", "README.md", "pkg/helpers.py"}
+    assert all(len(r.embedding) == 32 and any(r.embedding) for r in stored)
+    assert ingest("state") == (files, stored)  # nothing new arrives
+    assert ingest("other-state") == (files, stored)  # all files come again: nothing is written
+    (root / "config.py").write_text("import sys\n")
+    assert ingest("other-state") == (files, stored)  # a stream reads a path once
+    more, stored = ingest("third-state")
+    assert {r.text for r in stored if r.file_path == "config.py"} == {"import sys"} and len(more) == len(files) + 2
+
+
+def test_trace_stream_forgets_after_seven_days(spark, tmp_path):
+    day = lambda d, h=0: dt.datetime(2024, 1, d, h)
+    schema = "id string, workflow string, created_at timestamp"
+    src, out = str(tmp_path / "in"), str(tmp_path / "traces")
+    rows = [("a", "old", day(1)), ("b", "edge-out", day(3, 5)), ("c", "edge-in", day(3, 7)), ("a", "new", day(4)), ("d", "last", day(9))]
+    for row in rows:
+        spark.createDataFrame([row], schema).coalesce(1).write.mode("append").parquet(src)
+    stream = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+    S.stream_trace_upsert(stream(), out, str(tmp_path / "s")).awaitTermination()
+    assert sorted(p.name for p in Path(out).iterdir() if p.is_dir()) == ["day=2024-01-01", "day=2024-01-03", "day=2024-01-04", "day=2024-01-09"]
+    now = day(10, 6)
+    want = [("a", "new"), ("c", "edge-in"), ("d", "last")]
+    assert sorted((r.id, r.workflow) for r in S.read_traces(spark, out, F.lit(now)).collect()) == want
+    S.expire_traces(spark, out, now)
+    on_disk = spark.read.parquet(out)
+    assert sorted((r.id, r.workflow) for r in on_disk.select("id", "workflow").collect()) == want  # gone from the disk
+    assert sorted((r.id, r.workflow) for r in S.read_traces(spark, out, F.lit(now)).collect()) == want
+    S.expire_traces(spark, out, now)  # again: nothing to do
+    again = [("a", "newest", day(9, 1)), ("a", "newer", day(9, 0))]
+    for row in again:
+        spark.createDataFrame([row], schema).coalesce(1).write.mode("append").parquet(src)
+    S.stream_trace_upsert(stream(), out, str(tmp_path / "s")).awaitTermination()
+    want = [("a", "newest"), ("c", "edge-in"), ("d", "last")]
+    assert sorted((r.id, r.workflow) for r in S.read_traces(spark, out, F.lit(now)).collect()) == want
+    S.compact_traces(spark, out)
+    assert sorted((r.id, r.workflow) for r in S.read_traces(spark, out, F.lit(now)).collect()) == want
+    assert len(list((Path(out) / "day=2024-01-09").iterdir())) == 1
+    S.stream_trace_upsert(spark.readStream.schema(schema).parquet(src), out, str(tmp_path / "t"), now=lambda: now).awaitTermination()
+    assert not (Path(out) / "day=2024-01-01").exists()  # expiry after each batch, where a clock is given
 
 
 def test_stream_jobs_out_of_order(spark, tmp_path):

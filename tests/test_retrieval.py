@@ -123,6 +123,26 @@ def test_scopes_and_filtered_statistics(spark):
             same(got[q], top(bm25("ledger transfer the", {i: TEXTS[i] for i in want[q]}), 3))
 
 
+def test_many_prefixes_are_looked_up_by_folder(spark):
+    paths = [f"src{i % 7}/pkg{i % 11}/mod{i:04}.py" for i in range(400)] + ["top.py", "tool.py", "src1", None, "", "/abs/x.py", "src1//y.py"]
+    chunks = spark.createDataFrame([(f"c{i}", "r", "main", "python", "code", p) for i, p in enumerate(paths)],
+                                   "chunk_id string, repository_id string, branch string, language string, chunk_type string, file_path string")
+    prefixes = [f"src{i % 7}/pkg{i % 11}/mod{i:04}"[: 3 + i % 18] for i in range(990)] + ["t", "to", "top.py", "", "src1/", "src1//", "/", "/abs", "zz", "src1"]
+    queries = spark.createDataFrame([(f"q{i}", (None, None, None, p, None)) for i, p in enumerate(prefixes)], f"query_id string, filter {S.FILTER}")
+    got = {}
+    scoped = S.scope_chunks(queries, chunks, ["chunk_id"])
+    for r in S.with_scope(queries).join(scoped, "scope_id").collect():
+        got.setdefault(r.query_id, set()).add(r.chunk_id)
+    want = {f"q{i}": {f"c{n}" for n, path in enumerate(paths) if path is not None and path.startswith(p)} for i, p in enumerate(prefixes)}
+    assert {q: got.get(q, set()) for q in want if prefixes[int(q[1:])]} == {q: v for q, v in want.items() if prefixes[int(q[1:])]}
+    plan = scoped._jdf.queryExecution().optimizedPlan().toString()
+    assert "__key" in plan and "Cartesian" not in plan
+    # no key of the join holds more than the chunks of one folder and three letters
+    shapes = chunks.where("file_path is not null").select(F.explode(F.array(*[
+        S.path_key(F.col("file_path"), F.lit(d), F.lit(3)) for d in (1, 2)])).alias("k")).where("k is not null")
+    assert shapes.groupBy("k").count().agg(F.max("count")).first()[0] < 80
+
+
 def vectors(spark, n=60, dim=8, seed=3):
     rng = np.random.default_rng(seed)
     data = rng.normal(size=(n, dim)).round(1)
