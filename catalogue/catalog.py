@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from groundwell.operators import catalog as K
 from groundwell.operators import traces as TR
 
+from groundwell.session import fresh_folder
+
 from . import inputs as I
 
 QUERIES, SQL = {}, {}
@@ -227,6 +229,12 @@ def merge_scores_onto_traces(spark, sf):
 
 @register("recent_evals", f"SELECT 'e' || event_id AS id, {STAMP.format('ts')} AS created_at, round(value, 6) AS overall FROM events WHERE event_type <> 'error' ORDER BY ts DESC LIMIT 1000")
 def recent_evals(spark, sf):
-    rows = I.table(spark, sf, "events").select(F.concat(F.lit("e"), s("event_id")).alias("id"), F.col("ts").alias("created_at"),
-                                               F.when(F.col("event_type") != "error", F.col("value")).alias("overall"))
-    return TR.recent_evals(rows, 1000).select("id", stamp("created_at").alias("created_at"), F.round("overall", 6).alias("overall"))
+    """Results of many runs, stored, one run stored again, and read back from the newest on."""
+    e = F.col("event_id")
+    rows = I.table(spark, sf, "events").select(F.concat(F.lit("e"), s("event_id")).alias("id"), F.col("ts").cast("timestamp").alias("created_at"),
+                                               F.when(F.col("event_type") != "error", F.col("value")).alias("overall"), s(e % 10).alias("run_id"))
+    path = fresh_folder(spark, "eval-results")
+    TR.eval_result_sink(rows.withColumn("overall", F.when(F.col("run_id") == "3", -1.0).otherwise(F.col("overall"))), path)
+    TR.eval_result_sink(rows.where("run_id = '3'"), path)  # the run that went wrong, again
+    stored = TR.read_eval_results(spark, path, "id string, created_at timestamp, overall double, run_id string")
+    return TR.recent_evals(stored, 1000).select("id", stamp("created_at").alias("created_at"), F.round("overall", 6).alias("overall"))

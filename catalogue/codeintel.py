@@ -29,12 +29,11 @@ def s(x):
 LINES = f"""{I.FILES}, ll AS (SELECT repository_id, file_path, unnest({I.sql_lines('text')}) AS text, generate_subscripts({I.sql_lines('text')}, 1) AS line FROM files)"""
 
 
-@register("regex_search", f"""WITH {LINES} SELECT repository_id, file_path, line, left(text, 400) AS text, greatest(0, count(*) OVER (PARTITION BY file_path) - 3) AS remaining FROM ll WHERE regexp_matches(text, '[aeiou]{{2}}n[ .,]') AND regexp_matches(file_path, '\\.(md|txt)$')
-QUALIFY row_number() OVER (PARTITION BY file_path ORDER BY line) <= 3""")
+@register("regex_search", f"""WITH {LINES} SELECT repository_id, file_path, line, text, CAST(0 AS BIGINT) AS remaining FROM ll WHERE regexp_matches(text, '[aeiou]{{2}}n[ .,]') AND regexp_matches(file_path, '\\.(md|txt)$')""")
 def regex_search(spark, sf):
     files = I.files(spark, sf)
-    found = K.regex_search(files, r"[aeiou]{2}n[ .,]", glob="*.md", max_results=3, text_chars=400).unionByName(
-        K.regex_search(files, r"[aeiou]{2}n[ .,]", glob="*.txt", max_results=3, text_chars=400))
+    found = K.regex_search(files, r"[aeiou]{2}n[ .,]", glob="*.md").unionByName(
+        K.regex_search(files, r"[aeiou]{2}n[ .,]", glob="*.txt"))
     return found.withColumn("line", F.col("line").cast("bigint")).withColumn("remaining", F.col("remaining").cast("bigint"))
 
 

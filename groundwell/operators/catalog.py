@@ -10,7 +10,7 @@ from .. import schemas
 from ..functions.coerce import coerce_enum, parse_iso_ts
 from ..functions.paths import repo_display
 from ..functions.text import slugify
-from .numbering import numbered_within
+from .numbering import numbered_by_range, numbered_within
 
 
 def parse_stats(raw: Column) -> Column:
@@ -107,7 +107,7 @@ def unique_slugs(names: DataFrame, taken: DataFrame) -> DataFrame:
     j-th taken number t shifts every name whose place is above t - j.
     """
     based = names.withColumn("base", slugify(F.col("name")))
-    placed = numbered_within(based, ["base"], ["created_at", "id"], F.to_date("created_at"), "place")
+    placed = numbered_by_range(based, ["base"], ["created_at", "id"], "place")
     bases = based.select("base").distinct()
     slug = F.col("slug")
     stem = F.regexp_replace(slug, r"-[1-9][0-9]*$", "")
@@ -117,9 +117,10 @@ def unique_slugs(names: DataFrame, taken: DataFrame) -> DataFrame:
     numbers = numbers.join(bases, "base", "left_semi")
     shift = numbered_within(numbers, ["base"], ["t"], F.floor(F.col("t") / 10_000), "j").withColumn(
         "threshold", F.col("t") - F.col("j"))
-    # names and taken numbers on one axis: how many thresholds lie below a place
-    axis = placed.select("base", F.col("place").alias("x"), "id").unionByName(
-        shift.select("base", F.col("threshold").alias("x"), F.lit(None).cast(names.schema["id"].dataType).alias("id")))
+    # names and taken numbers on one axis: how many thresholds lie below a place; equal thresholds are one point
+    shift = shift.groupBy("base", F.col("threshold").alias("x")).agg(F.count(F.lit(1)).alias("mark"))
+    axis = placed.select("base", F.col("place").alias("x"), F.lit(0).alias("mark"), "id").unionByName(
+        shift.withColumn("id", F.lit(None).cast(names.schema["id"].dataType)))
     steps = _count_below(axis)
     out = placed.join(steps, ["base", "id"]).withColumn("n", F.col("place") + F.col("below"))
     return out.select("id", "name", "base", F.when(F.col("n") == 1, F.col("base")).otherwise(
@@ -127,9 +128,9 @@ def unique_slugs(names: DataFrame, taken: DataFrame) -> DataFrame:
 
 
 def _count_below(axis: DataFrame, width: int = 10_000) -> DataFrame:
-    """For each point with an id, the number of id-less points strictly below it, per base."""
+    """For each point with an id, the marks of the points strictly below it, per base."""
     cut = axis.withColumn("__b", F.floor(F.col("x") / width))
-    mark = F.col("id").isNull().cast("int")
+    mark = F.col("mark")
     before = Window.partitionBy("base").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = cut.groupBy("base", "__b").agg(F.sum(mark).alias("__m")).withColumn(
         "__offset", F.coalesce(F.sum("__m").over(before), F.lit(0))).drop("__m")

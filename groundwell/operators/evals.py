@@ -268,13 +268,27 @@ def eval_report(scores: DataFrame) -> DataFrame:
         F.when(~total, F.when(F.col("passed"), F.lit("Y")).otherwise(F.lit("n"))).alias("pass"))
 
 
+# --- fixed values: how a model client marks a reply that no model gave --------
+DEGRADED_START = "[model unavailable"
+DEGRADED_KEY = "_warning"
+
+
+def degraded(reply: Column) -> Column:
+    """No reply, a text that says no model was there, or a JSON object with the mark of a stand-in."""
+    marked = F.coalesce(F.array_contains(F.json_object_keys(reply), DEGRADED_KEY), F.lit(False))
+    return reply.isNull() | F.startswith(reply, F.lit(DEGRADED_START)) | marked
+
+
 def judge_scores(judged: DataFrame) -> DataFrame:
-    """Score rows out of judge model replies; unusable ones give no rows.
+    """Score rows out of judge model replies; unusable ones give no rows, so that the heuristic scores stay.
 
-    ``judged``: example_id, raw, answer, n_citations.
+    ``judged``: example_id, raw, answer, n_citations and, if some examples are not to be judged, enabled.  Replies
+    that a model client marked as a stand-in for a missing model are degraded and unusable.
     """
-    usable = judged.where(~T.is_blank(F.col("answer")) & (F.col("n_citations") > 0)).withColumn(
-        "__json", J.extract_json(F.col("raw"))).where(F.col("__json").isNotNull())
+    wanted = F.coalesce(F.col("enabled"), F.lit(True)) if "enabled" in judged.columns else F.lit(True)
+    asked = judged.where(wanted & ~T.is_blank(F.col("answer")) & (F.col("n_citations") > 0))
+    usable = asked.where(~degraded(F.col("raw"))).withColumn("__json", J.extract_json(F.col("raw"))).where(
+        F.col("__json").isNotNull() & ~degraded(F.col("__json")))
     issues = F.array_join(F.slice(F.coalesce(
         F.from_json(F.get_json_object("__json", "$.issues"), "array<string>"), T.empty_strings()), 1, 3), "; ")
     rows = F.array(*[

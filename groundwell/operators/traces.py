@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
@@ -80,5 +80,14 @@ def recent_evals(results: DataFrame, limit: int | None = None) -> DataFrame:
 
 
 def eval_result_sink(results: DataFrame, path: str) -> None:
-    """Appends evaluation results below ``path``, one folder per day of ``created_at``."""
-    results.withColumn("day", F.to_date("created_at")).write.mode("append").partitionBy("day").parquet(path)
+    """Store evaluation results below ``path``, one folder per ``run_id``.
+
+    A run that is written again replaces itself and no other, so a retry after a failure leaves the same table.
+    """
+    results.repartition("run_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+        "run_id").parquet(path)
+
+
+def read_eval_results(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Stored results of all runs as declared (run_id among the columns)."""
+    return spark.read.schema(schema).parquet(path)

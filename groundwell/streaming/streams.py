@@ -106,8 +106,9 @@ def expire_traces(spark: SparkSession, path: str, now: datetime, ttl_days: int =
             kept.where(F.col("batch").isin(batches)).write.mode("overwrite").option(
                 "partitionOverwriteMode", "dynamic").partitionBy("day", "batch").parquet(path)
             left = {r.batch for r in kept.select("batch").distinct().collect()}
-            for batch in set(batches) - left:  # an overwrite does not touch folders that have become empty
-                _delete(spark, f"{path}/day={last}/batch={batch}")
+            # an overwrite does not touch folders that have become empty
+            for gone in [f"/batch={b}" for b in set(batches) - left] if left else [""]:
+                _delete(spark, f"{path}/day={last}{gone}")
 
 
 def compact_traces(spark: SparkSession, path: str, few: int = 1) -> list[str]:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from groundwell.operators import catalog as K
 from groundwell.operators import codeintel as CI
 from groundwell.operators import traces as TR
-from groundwell.operators.numbering import numbered_within
+from groundwell.operators.numbering import numbered_by_range, numbered_within
 from groundwell.plans.indexing import indexed_chunks
 from groundwell.plans.requests import diff_paths
 from groundwell.streaming import streams as S
@@ -111,6 +111,47 @@ def test_findings(spark):
     assert (report.files_analyzed, report.finding_count, report.clean) == (4, 6, False)
 
 
+def long_by_loop(text, limit):
+    """Sizes of long functions: up to the last line with content before one that is indented as far or less."""
+    lines, out = [x.split("#")[0] for x in text.split("\n")], []
+    filled = [i for i, x in enumerate(lines) if x.strip()]
+    for i in filled:
+        if not lines[i].lstrip().startswith("def "):
+            continue
+        own, last = len(lines[i]) - len(lines[i].lstrip()), i
+        for j in filled:
+            if j > i:
+                if len(lines[j]) - len(lines[j].lstrip()) <= own and lines[j].lstrip()[0] not in ")]}":
+                    break
+                last = j
+        if last - i + 1 > limit:
+            out.append((i + 1, last - i + 1))
+    return out
+
+
+def test_function_lengths_in_one_fold(spark):
+    import random
+
+    rng = random.Random(4)
+    def source(n):
+        depth, out = 0, []
+        for k in range(n):
+            depth = max(0, depth + rng.choice([-2, -1, 0, 0, 0, 1]))
+            out.append("    " * depth + rng.choice([f"def f{k}(a):", "x = 1", "x = 1", "", ")", "# c"]))
+        return "\n".join(out)
+    files = {f"m{i}.py": source(120) for i in range(25)}
+    big = "\n".join("\n".join([f"def g{k}(a):"] + ["    y = a"] * 19) for k in range(5_000))  # 100,000 lines
+    files["big.py"] = big
+    rows = CI._with_code(file_rows(spark, files)).select("file_path", CI._long_functions(6).alias("f"))
+    started = dt.datetime.now()
+    got = {r.file_path: sorted((f.line, f.size) for f in r.f) for r in rows.collect()}
+    assert (dt.datetime.now() - started).total_seconds() < 60
+    for path, text in files.items():
+        if path != "big.py":
+            assert got[path] == long_by_loop(text, 6), path
+    assert got["big.py"] == [(20 * k + 1, 20) for k in range(5_000)]
+
+
 def test_diffs_and_logs(spark):
     diff = "diff --git a/x b/x\n--- a/x\n+++ b/x\n+one\n-two\n-three\n--- /dev/null\n+++ b/new.py\n"
     row = spark.createDataFrame([(diff,)], "d string").select(CI.diff_stats(F.col("d")).alias("s"), diff_paths(F.col("d")).alias("p")).first()
@@ -131,6 +172,37 @@ def test_numbering_and_slugs(spark):
     assert slugs == {0: "team", 3: "team-2", 6: "team-3", 1: "core-2", 2: "core-5", 4: "core-6", 5: "core-7", 7: "core-8"}
 
 
+def test_slugs_of_one_base_and_one_moment(spark):
+    day, n = dt.datetime(2024, 1, 1), 20_000
+    rows = spark.range(n).select(F.col("id"), F.lit("Core").alias("name"), F.lit(day).alias("created_at"))
+    taken = spark.range(2, 5_000).select(F.concat(F.lit("core-"), F.col("id").cast("string")).alias("slug"))
+    slugs = {r.id: r.slug for r in K.unique_slugs(rows, taken).collect()}
+    assert slugs[0] == "core" and all(slugs[i] == f"core-{i + 4_999}" for i in range(1, n))
+
+
+def test_numbers_by_range_split_a_hot_key(spark):
+    rows = spark.range(30_000).select(F.when(F.col("id") % 10 < 9, F.lit("hot")).otherwise(F.concat(F.lit("k"), F.col("id") % 7)).alias("k"),
+                                      (F.col("id") % 3).alias("o"), F.col("id"))
+    numbered = numbered_by_range(rows, ["k"], ["o"], "n").withColumn("part", F.spark_partition_id())
+    by = {}
+    for r in numbered.collect():
+        by.setdefault(r.k, []).append((r.n, r.o))
+    for found in by.values():
+        assert [n for n, _ in sorted(found)] == list(range(1, len(found) + 1))
+        assert [o for _, o in sorted(found)] == sorted(o for _, o in found)
+
+
+def test_eval_results_are_stored_once_per_run(spark, tmp_path):
+    schema = "run_id string, id string, created_at timestamp, overall double"
+    at, path = dt.datetime(2024, 1, 1), str(tmp_path / "evals")
+    run = lambda name, scores: spark.createDataFrame([(name, f"{name}-{i}", at + dt.timedelta(minutes=i), x) for i, x in enumerate(scores)], schema)
+    for results in (run("a", [0.1, 0.2]), run("b", [0.3, None]), run("b", [0.4]), run("b", [0.4])):  # b is retried
+        TR.eval_result_sink(results, path)
+    stored = TR.read_eval_results(spark, path, schema)
+    assert sorted((r.run_id, r.overall) for r in stored.collect()) == [("a", 0.1), ("a", 0.2), ("b", 0.4)]
+    assert [r.id for r in TR.recent_evals(stored, 2).collect()] == ["a-1", "a-0"]
+
+
 def test_trace_rules(spark):
     now = dt.datetime(2024, 1, 10)
     rows = spark.createDataFrame([("a", "w", now - dt.timedelta(days=1)), ("a", "v", now - dt.timedelta(days=2)), ("b", "w", now - dt.timedelta(days=8)), ("c", "w", now)],
@@ -178,11 +250,15 @@ def test_trace_stream_forgets_after_seven_days(spark, tmp_path):
     assert sorted((r.id, r.workflow) for r in on_disk.select("id", "workflow").collect()) == want  # gone from the disk
     assert sorted((r.id, r.workflow) for r in S.read_traces(spark, out, F.lit(now)).collect()) == want
     S.expire_traces(spark, out, now)  # again: nothing to do
+    S.expire_traces(spark, out, day(10, 8))  # the last row of a day goes, and its folder
+    assert not (Path(out) / "day=2024-01-03").exists()
+    want = [("a", "new"), ("d", "last")]
+    assert sorted((r.id, r.workflow) for r in spark.read.parquet(out).select("id", "workflow").collect()) == want
     again = [("a", "newest", day(9, 1)), ("a", "newer", day(9, 0))]
     for row in again:
         spark.createDataFrame([row], schema).coalesce(1).write.mode("append").parquet(src)
     S.stream_trace_upsert(stream(), out, str(tmp_path / "s")).awaitTermination()
-    want = [("a", "newest"), ("c", "edge-in"), ("d", "last")]
+    want = [("a", "newest"), ("d", "last")]
     assert sorted((r.id, r.workflow) for r in S.read_traces(spark, out, F.lit(now)).collect()) == want
     S.compact_traces(spark, out)
     assert sorted((r.id, r.workflow) for r in S.read_traces(spark, out, F.lit(now)).collect()) == want
