@@ -15,7 +15,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Iterator
-from functools import cache
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +32,8 @@ PART_ROWS = 4_000_000  # about as many rows of a table are sorted and written by
 CALIBRATION_ROWS = 20_000
 CALIBRATION_FOLD = 1
 TAIL = 1e-3
-WORKING_SET = 1 << 20  # bytes of text scored at once
+WORKING_SET = 1 << 18  # bytes of text scored at once
+OPEN_PARTS = 64  # files of a model that a worker keeps mapped
 UNKNOWN = "und"
 BLANK = 1
 
@@ -144,7 +145,7 @@ def _grouped(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndar
     return unique, np.bincount(inverse, weights=weights, minlength=len(unique))
 
 
-@cache
+@lru_cache(maxsize=OPEN_PARTS)
 def _opened(uri: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The columns of a file of ``ROWS``, mapped into memory; a file that is not on a mounted folder is copied first."""
     system, path = fs.FileSystem.from_uri(uri)
@@ -411,6 +412,23 @@ def score_rows(docs: DataFrame, model: LanguageModel) -> DataFrame:
         run, "row long, lang_pred string, score double, entropy double, runner_up double, n_letters long")
 
 
+def spoken_rows(docs: DataFrame, model: LanguageModel | None = None) -> DataFrame:
+    """The rows of ``docs`` that ``identify`` does not reject, with all their columns; nothing is shuffled."""
+    model = model or train(docs)
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # the names of its files
+    limits = dict(zip(model.models.langs, model.limits))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fitted = shared.value
+        for whole in batches:
+            for batch in slices(whole, WORKING_SET):
+                found = fitted.predict([str(t) if t is not None else "" for t in batch.column("text").to_pylist()])
+                keep = [lang != UNKNOWN and entropy <= limits[lang] for lang, _, entropy, *_ in found]
+                yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def identify(docs: DataFrame, model: LanguageModel | None = None) -> DataFrame:
     """doc_id, held_out, lang_pred, score, entropy, rejected for every row of ``docs``.
 

@@ -196,24 +196,27 @@ def mixed_documents(docs: DataFrame, block: int = BLOCK, seed: int = SEED) -> Da
     got = got.join(mixed.sources.select("src", F.col("source").alias("src_name")), "src").withColumn("whole", full)
     copies = Window.partitionBy("id", "h", "src_name").orderBy("bucket", "nth")
     got = got.withColumn("copy", F.row_number().over(copies))
+    # the row is one column, so that no column of ``docs`` meets one of the mix
     text = F.col("text").cast("string")
-    keyed = docs.withColumn("_id", F.col("doc_id").cast("long")).withColumn("_h", F.xxhash64(text)).withColumn(
-        "_s", F.col("source").cast("string"))
+    keyed = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("row_id"),
+                        F.xxhash64(text).alias("row_h"), F.col("source").cast("string").alias("row_source"))
+    text = F.col("row").getField("text").cast("string")
     # rows equal in all three share one number each: the first of them stands for all
     one = got.where("copy = 1").drop("copy")
-    joined = keyed.join(one, keyed._id.eqNullSafe(one.id) & (keyed._h == one.h) & keyed._s.eqNullSafe(one.src_name))
+    joined = keyed.join(one, keyed.row_id.eqNullSafe(one.id) & (keyed.row_h == one.h)
+                        & keyed.row_source.eqNullSafe(one.src_name))
     words = F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1))
 
     def of(times: int) -> Column:
         blocks = F.transform(F.filter("drawn", lambda d: d["times"] >= times), lambda d: d["block"])
         return F.flatten(F.transform(blocks, lambda b: F.slice(
-            F.col("_words"), (F.greatest(b * block - F.col("start"), F.lit(0)) + 1).cast("int"),
+            F.col("words"), (F.greatest(b * block - F.col("start"), F.lit(0)) + 1).cast("int"),
             (F.least((b + 1) * block, F.col("start") + F.col("size")) - F.greatest(b * block, F.col("start"))).cast(
                 "int"))))
 
     taken = F.array_join(F.concat(of(1), of(2)), " ")
-    made = joined.withColumn("_words", F.when(~F.col("whole"), words)).withColumn(
-        "_text", F.when(F.col("whole"), text).otherwise(taken))
-    return made.select(*[F.col("_text").alias("text") if c == "text" else
-                         F.length("_text").cast("long").alias("n_chars") if c == "n_chars" else keyed[c]
-                         for c in docs.columns])
+    made = joined.withColumn("words", F.when(~F.col("whole"), words)).withColumn(
+        "mixed", F.when(F.col("whole"), text).otherwise(taken))
+    return made.select(*[F.col("mixed").alias("text") if c == "text" else
+                         F.length("mixed").cast("long").alias("n_chars") if c == "n_chars" else
+                         F.col("row").getField(c).alias(c) for c in docs.columns])
