@@ -17,15 +17,17 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from groundwell.llm.byte_pieces import byte_level_pieces, word_cuts
 from groundwell.llm.common import parts, slices
 from groundwell.llm.packed import binary_array, gather, pack, pack_words, unpack, unpack_words
-from groundwell.session import settle
+from groundwell.llm.tables import bucketed
 
 BLOCK_BYTES = 16 << 20  # texts of a block; a longer text is a block of its own
+SLICE_BYTES = 4 << 20  # texts split at once
 BUCKET_WORDS = 500_000  # listed words that meet in one bucket, about
 OUTPUT_BYTES = 2 << 20  # texts rebuilt at once
 
@@ -71,31 +73,32 @@ def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
 
 
 def _block(number: int, held: list[tuple[pa.Array, pa.Array, np.ndarray]]) -> pa.RecordBatch:
-    coded = pa.chunked_array([w for _, w, _ in held], pa.large_binary()).dictionary_encode().unify_dictionaries()
-    listed = coded.chunk(0).dictionary if coded.num_chunks else held[0][1]
+    coded = pa.chunked_array([w for _, w, _ in held]).unify_dictionaries()
+    listed = coded.chunk(0).dictionary if coded.num_chunks else held[0][1].dictionary
     codes = np.concatenate([np.zeros(0, np.int32), *[np.asarray(c.indices) for c in coded.chunks]])
-    # frequent words get small numbers, whose upper bytes are zero
-    order = np.argsort(-np.bincount(codes, minlength=len(listed)), kind="stable")
-    rank = np.empty(len(order), dtype=np.uint32)
-    rank[order] = np.arange(len(order), dtype=np.uint32)
-    lengths, words = pack_words(listed.take(pa.array(order)).cast(pa.large_binary()))
+    # frequent words get small numbers, whose upper bytes are zero; words that are as frequent stand in alphabetical
+    # order, in which they pack well
+    order = pa.table({"seldom": -np.bincount(codes, minlength=len(listed)), "word": listed}).sort_by(
+        [("seldom", "ascending"), ("word", "ascending")])["word"].combine_chunks() if len(listed) else listed
+    place = np.asarray(pc.index_in(listed, order)).astype(np.uint32) if len(listed) else np.zeros(0, np.uint32)
+    lengths, words = pack_words(order)
     return pa.RecordBatch.from_pylist([{
         "block": number, "doc_ids": [d for ids, _, _ in held for d in ids.to_pylist()],
-        "doc_words": np.concatenate([n for _, _, n in held]), "codes": pack(rank[codes]), "lengths": lengths,
+        "doc_words": np.concatenate([n for _, _, n in held]), "codes": pack(place[codes]), "lengths": lengths,
         "words": words, "n_listed": len(listed)}], schema=BLOCKS)
 
 
 def blocks_of(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``BLOCKS`` of all texts of ``docs`` (doc_id, text), written to the shared folder."""
+    """``BLOCKS`` of all texts of ``docs`` (doc_id, text), written to the shared folder in buckets of ``block``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         number, held, size = TaskContext.get().partitionId() << 32, [], 0
         for whole in batches:
-            for batch in slices(whole, block_bytes // 4):
+            for batch in slices(whole, min(SLICE_BYTES, block_bytes)):
                 words, counts = split_words(batch.column("text"))
-                held.append((batch.column("doc_id"), words, counts))
+                held.append((batch.column("doc_id"), words.dictionary_encode(), counts))
                 size += batch.column("text").nbytes
                 if size >= block_bytes:
                     yield _block(number, held)
@@ -104,9 +107,9 @@ def blocks_of(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
             yield _block(number, held)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return settle(rows.mapInArrow(
+    return bucketed(rows.mapInArrow(
         run, "block long, doc_ids array<bigint>, doc_words array<bigint>, codes binary, lengths binary, words binary, "
-             "n_listed long"), "word-blocks")
+             "n_listed long"), "block", "word-blocks")
 
 
 def ask(blocks: DataFrame, buckets: int) -> DataFrame:
@@ -201,25 +204,17 @@ def encode_and_decode(docs: DataFrame, tokenizer: str, block_bytes: int = BLOCK_
     blocks = blocks_of(docs, block_bytes)
     listed = blocks.agg(F.sum("n_listed")).first()[0] or 0
     buckets = parts(listed, bucket_words)
-    answers = answer(ask(blocks, buckets), tokenizer, buckets)
-    places = blocks.select("block", F.lit(0).alias("kind"), "doc_ids", "doc_words", "codes", "n_listed",
-                           F.lit(None).cast("binary").alias("slots"), F.lit(None).cast("binary").alias("counts"),
-                           F.lit(None).cast("binary").alias("ids"))
-    found = answers.select("block", F.lit(1).alias("kind"), "slots", "counts", "ids")
+    answers = answer(ask(blocks, buckets), tokenizer, buckets).groupBy("block").agg(
+        F.collect_list(F.struct("slots", "counts", "ids")).alias("answers"))  # of one block's own words
+    # the blocks lie in buckets, so that only the answers are shuffled
+    met = blocks.select("block", "doc_ids", "doc_words", "codes", "n_listed").join(
+        answers.hint("merge"), "block", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, row, held = _pieces(tokenizer), None, []
+        pieces = _pieces(tokenizer)
         for batch in batches:
             for i in range(batch.num_rows):
-                got = {name: batch.column(name)[i].as_py() for name in batch.schema.names}
-                if got["kind"] == 0:
-                    if row is not None:
-                        yield from _rebuilt(row, held, pieces)
-                    row, held = got, []
-                else:
-                    held.append(got)
-        if row is not None:
-            yield from _rebuilt(row, held, pieces)
-
-    meet = places.unionByName(found, allowMissingColumns=True).repartition("block").sortWithinPartitions("block", "kind")
-    return meet.mapInArrow(run, "doc_id long, n_tokens long, ids binary, decoded string")
+                row = {name: batch.column(name)[i].as_py() for name in batch.schema.names}
+                yield from _rebuilt(row, row["answers"] or [], pieces)
+
+    return met.mapInArrow(run, "doc_id long, n_tokens long, ids binary, decoded string")

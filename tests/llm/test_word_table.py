@@ -58,6 +58,14 @@ def test_each_distinct_word_is_encoded_once(spark, monkeypatch):
     assert {b"the", b" same", b" words", b",", b" and", b" w0."} <= set(where)
 
 
+def test_places_are_not_shuffled(spark):
+    docs = spark.createDataFrame([(i, f"words of text {i}") for i in range(50)], "doc_id long, text string")
+    coded = encode_and_decode(docs, PATH, 100)
+    plan = coded._jdf.queryExecution().executedPlan().toString()
+    assert "Bucketed: true" in plan and plan.count("Exchange hashpartitioning(block") == 1, plan
+    assert coded.count() == 50
+
+
 def test_numbers_and_words_survive_packing():
     rng = np.random.default_rng(5)
     for numbers in (np.zeros(0, np.uint32), np.array([2**32 - 1, 0, 7]), rng.integers(0, 2**32, 1000)):
