@@ -1,9 +1,9 @@
 """Repeated substrings: every byte covered by a string of ``WINDOW`` bytes that starts anywhere else goes.
 
-The suffixes of all texts are put into buckets by a q-gram, and buckets are refined by what stands at later and
-earlier offsets, as bucket-pointer refinement does; the result of one refinement is what the next works on, and
-suffixes that are alone in their bucket drop out.  So that not every position has to travel, a bucket holds one anchor
-for a range of positions:
+The suffixes of all texts are put into buckets by a q-gram, and buckets are refined by the bytes at later and earlier
+offsets; suffixes that are alone in their bucket drop out.  This begins as bucket-pointer refinement does, but buckets
+are not sorted on the bucket numbers of other offsets: so that not every position has to travel, a bucket holds one
+anchor for a range of positions, and is refined by the anchors' contexts:
 
 1. For every window of ``WINDOW`` bytes, the anchor is its least q-gram by hash (the leftmost of equals).  Equal
    windows have their anchors at equal offsets, so windows can be equal only if their anchors share a bucket.
