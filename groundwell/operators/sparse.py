@@ -142,7 +142,7 @@ class SparseIndex:
         self.tokens = token_table(chunks)
         self.rows = token_rows(queries, self.tokens)
         counts = settle(term_counts(self.rows), "terms")
-        self.corpus = settle(corpus_stats(counts), "corpus")
+        self.corpus = corpus_stats(counts)  # a row per scope
         weighted = _weighted_terms(queries, counts, self.corpus).withColumn(
             "salts", F.ceil(F.col("df") / salt_rows).cast("int"))
         # written, so that Spark knows its true size when it plans the joins

@@ -1,4 +1,7 @@
+import json
+
 import pytest
+from conftest import file_rows
 from pyspark.sql import functions as F
 
 from groundwell import fixed_values as fv
@@ -6,6 +9,7 @@ from groundwell.operators import evals as V
 from groundwell.operators import evidence as E
 from groundwell.plans import answers as A
 from groundwell.plans import requests as R
+from groundwell.plans.indexing import index_repository, indexed_chunks
 
 EV = ("request_id string, query_id string, query_no int, rank int, chunk_id string, text string, repository_id string, "
       "repo_name string, file_path string, symbol string, start_line int, end_line int, score double")
@@ -58,7 +62,7 @@ def test_batch_retrieve_and_fallback_answer(spark):
         "*", F.lit("main").alias("branch"), F.lit("python").alias("language"), F.lit("code").alias("chunk_type"), F.lit(2).alias("end_line"),
         F.lit(None).cast("string").alias("symbol"), F.array(F.lit(1.0).cast("float")).alias("embedding"))
     queries = R.normalize_query_plan(requests).withColumn("query_vec", F.array(F.lit(1.0).cast("float")))
-    found, cites, context = A.batch_retrieve(queries, chunks)
+    _, found, cites, context = A.batch_retrieve(queries, chunks)
     assert {r.file_path for r in found.where("request_id = 'r1'").collect()} == {"a.py", "b.py"}
     assert found.where("request_id = 'r2'").count() == 0
     assert {r.request_id: r.context == fv.NO_EVIDENCE for r in context.collect()} == {"r1": False, "r2": True}
@@ -117,3 +121,43 @@ def test_summary_and_missing_response(spark):
 def test_judge_failure_gives_null(spark):
     ask = V.judge_model(lambda q, e, a: 1 / 0)
     assert spark.range(2).select(ask(F.lit("q"), F.lit("e"), F.lit("a")).alias("raw")).where("raw is null").count() == 2
+
+
+def test_requests_are_answered_from_an_index_with_one_embedder(spark, tmp_path):
+    """Plan, query embedding, all strategies, filters, re-ranking, citations and context in one call."""
+    path = str(tmp_path / "index")
+    texts = {f"src/m{i}.py": f"def transfer_{i}(amount):\n    return amount * {i}\n" for i in range(6)} | {
+        "docs/a.md": "# Ledger\ntransfers between accounts", "docs/b.md": "# Cooking\nsoup and bread"}
+    assert index_repository(spark, path, file_rows(spark, texts)) == 8
+    chunks = indexed_chunks(spark, path)
+    plan = json.dumps({"queries": [
+        {"query": "transfer amount", "strategy": "sparse", "top_k": 2, "filter": {"path_prefix": "src/m"}},
+        {"query": "ledger transfers between accounts", "strategy": "dense", "top_k": 1},
+        {"query": "soup and bread", "strategy": "hybrid", "top_k": 1, "filter": {"file_types": ["md"]}}]})
+    requests = spark.createDataFrame(
+        [("r1", "?", ["repo_1"], "main", plan), ("r2", "soup and bread", ["repo_1"], "main", None),
+         ("r3", "soup", ["another"], "main", None)],
+        "request_id string, request string, repository_ids array<string>, branch string, plan string")
+    got = A.answer_requests(requests, chunks)
+    vectors = {r.query_id: r.query_vec for r in got.queries.collect()}
+    assert set(vectors) == {"r1/0", "r1/1", "r1/2", "r2/0", "r3/0"} and vectors["r1/0"] is None and len(vectors["r1/1"]) == 32
+    cited = {}
+    for r in got.citations.collect():
+        cited.setdefault(r.request_id, set()).add(r.file_path)
+    assert {"docs/a.md", "docs/b.md"} < cited["r1"] and len([p for p in cited["r1"] if p.startswith("src/m")]) == 2
+    assert "docs/b.md" in cited["r2"] and "r3" not in cited
+    context = {r.request_id: r.context for r in got.context.collect()}
+    assert "soup and bread" in context["r2"] and context["r3"] == fv.NO_EVIDENCE
+    flipped = A.answer_requests(requests.where("request_id = 'r2'"), chunks, scorer=lambda q, t: -F.length(t))
+    shortest = flipped.evidence.orderBy("rank").first()
+    assert len(shortest.text) == min(len(r.text) for r in flipped.evidence.collect())
+
+
+def test_disabled_and_degraded_judges_give_no_scores(spark):
+    good = '{"grounding": 0.9, "relevance": 0.8, "issues": []}'
+    rows = [("ok", good, True), ("null", good, None), ("off", good, False), ("gone", "[model unavailable] " + good, True),
+            ("stand-in", '{"_warning": "no model", "grounding": 0.9, "relevance": 0.8}', True), ("none", None, True)]
+    judged = spark.createDataFrame([(n, raw, "an answer", 1, on) for n, raw, on in rows],
+                                   "example_id string, raw string, answer string, n_citations int, enabled boolean")
+    assert {r.example_id for r in V.judge_scores(judged).collect()} == {"ok", "null"}
+    assert {r.example_id for r in V.judge_scores(judged.drop("enabled")).collect()} == {"ok", "null", "off"}
