@@ -2,8 +2,9 @@
 
 1. Tasks collapse equal normalised texts within an Arrow batch, so that a text held by a third of all rows leaves
    each batch once.  The entries (hash, digest, text, doc_ids) are written to the shared folder.
-2. The directory is grown from a histogram of hash prefixes: while a bucket is overfull, it is split by one more bit
-   of the hash, and the directory doubles when that bucket is already as deep as the directory.
+2. The directory is an array of pointers to buckets, as many as its depth in bits can tell apart, and is looked up by
+   the top bits of a hash.  It is grown from a histogram of hash prefixes: while a bucket is overfull, it is split by
+   one more bit of the hash, and the directory doubles when that bucket is already as deep as the directory.
 3. Each bucket is owned by one task, which reads its entries in order of the hash and chains those that collide,
    comparing bytes.  Only entries travel, and only one text of a chain is held per distinct text of one hash.
 """
@@ -25,7 +26,7 @@ from groundwell.session import settle
 
 BUCKET_BYTES = 16 << 20
 HISTOGRAM_BITS = 12
-DEEPEST = 60
+DEEPEST = 26  # bits; a bucket of more bytes that agrees in as many is read by its owner as it is
 MEMBERS = 1_000  # doc_ids in one entry
 
 ENTRIES = pa.schema([("h", pa.int64()), ("sha", pa.string()), ("n_bytes", pa.int64()),
@@ -65,63 +66,80 @@ def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             schema=CLASSES)
 
 
-def grow(weights: dict[int, tuple[int, int]], bits: int, bucket_bytes: int, depth: int = 0,
-         prefix: int = 0) -> list[tuple[int, int, bool]]:
-    """Splits a bucket (prefix of ``depth`` bits) until none is overfull or the histogram knows no more bits.
+class Directory:
+    """Pointers to buckets by the top ``depth`` bits of a hash; a bucket of fewer bits has several pointers."""
 
-    ``weights``: prefix of ``bits`` bits to (bytes, distinct hashes).  Returns (depth, prefix, still overfull).
+    def __init__(self):
+        self.depth, self.pointers = 0, np.zeros(1, dtype=np.int32)
+        self.bits, self.prefix = [0], [0]  # of each bucket: the bits that its hashes share
+
+    def split(self, bucket: int) -> int:
+        """Parts a bucket by its next bit and returns the new bucket, which gets the hashes where that bit is set."""
+        if self.bits[bucket] == self.depth:  # no pointer is left to give away: the directory doubles
+            self.pointers, self.depth = np.repeat(self.pointers, 2), self.depth + 1
+        bits, prefix, new = self.bits[bucket] + 1, self.prefix[bucket] << 1, len(self.bits)
+        self.bits[bucket], self.prefix[bucket] = bits, prefix
+        self.bits.append(bits)
+        self.prefix.append(prefix + 1)
+        width = 1 << (self.depth - bits)
+        self.pointers[(prefix + 1) * width : (prefix + 2) * width] = new
+        return new
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The bucket of each (signed) hash."""
+        if not self.depth:
+            return np.zeros(len(h), dtype=np.int32)
+        return self.pointers[(h.view(np.uint64) >> np.uint64(64 - self.depth)).astype(np.int64)]
+
+
+def grow(found: Directory, bucket: int, weights: dict[int, tuple[int, int]], bits: int, bucket_bytes: int) -> list[int]:
+    """Splits a bucket until no part of it is overfull; gives the parts for which the histogram knows too few bits.
+
+    ``weights``: prefix of ``bits`` bits to (bytes, distinct hashes), of the hashes of this bucket.
     """
-    todo, done = [(depth, prefix, sorted(weights))], []
+    todo, short = [(bucket, sorted(weights))], []
     while todo:
-        d, p, cells = todo.pop()
-        size = sum(weights[c][0] for c in cells)
-        kinds = sum(weights[c][1] for c in cells)
+        b, cells = todo.pop()
+        size, kinds = sum(weights[c][0] for c in cells), sum(weights[c][1] for c in cells)
         if size <= bucket_bytes or kinds <= 1:  # the copies of one hash form a chain, which no split can part
-            done.append((d, p, False))
-        elif d == bits:
-            done.append((d, p, True))
-        else:
-            bit = 1 << (bits - d - 1)
-            todo += [(d + 1, 2 * p, [c for c in cells if not c & bit]), (d + 1, 2 * p + 1, [c for c in cells if c & bit])]
-    return done
+            continue
+        if found.bits[b] == bits:
+            short.append(b)
+            continue
+        bit = 1 << (bits - found.bits[b] - 1)
+        upper = found.split(b)
+        todo += [(b, [c for c in cells if not c & bit]), (upper, [c for c in cells if c & bit])]
+    return short
 
 
-def directory(entries: DataFrame, bucket_bytes: int) -> list[tuple[int, int]]:
-    """The buckets as (depth, prefix), in order of the hash.
+def directory(entries: DataFrame, bucket_bytes: int) -> Directory:
+    """The directory of all ``entries`` (h, n_bytes).
 
     Each histogram has ``1 << HISTOGRAM_BITS`` cells for each overfull bucket, so what the driver gets is bounded
     by the number of buckets that the directory needs.
     """
-    done: list[tuple[int, int]] = []
-    open_buckets, bits = [(0, 0)], HISTOGRAM_BITS
-    while open_buckets:
-        cell = F.shiftrightunsigned("h", 64 - bits)
-        depth = open_buckets[0][0]
-        rows = entries.select("h", "n_bytes").withColumn("cell", cell)
+    found, overfull, bits = Directory(), [0], HISTOGRAM_BITS
+    while overfull:
+        rows = entries.select("h", "n_bytes").withColumn("cell", F.shiftrightunsigned("h", 64 - bits))
+        depth = found.bits[overfull[0]]  # all of them are as deep as the last histogram
         if depth:
-            spark = entries.sparkSession
-            wanted = spark.createDataFrame([(p,) for _, p in open_buckets], "top long")
+            wanted = entries.sparkSession.createDataFrame([(found.prefix[b],) for b in overfull], "top long")
             rows = rows.join(wanted, F.shiftrightunsigned("h", 64 - depth) == F.col("top"), "left_semi")
-        found = rows.groupBy("cell").agg(F.sum("n_bytes").alias("b"), F.min("h").alias("lo"), F.max("h").alias("hi"))
+        counted = rows.groupBy("cell").agg(F.sum("n_bytes").alias("b"), F.min("h").alias("lo"), F.max("h").alias("hi"))
         by_top: dict[int, dict[int, tuple[int, int]]] = defaultdict(dict)
-        for r in found.collect():
+        for r in counted.collect():
             by_top[r.cell >> (bits - depth)][r.cell] = (r.b, 1 if r.lo == r.hi else 2)
-        again = []
-        for d, p in open_buckets:
-            for nd, np_, over in grow(by_top[p], bits, bucket_bytes, d, p):
-                (again if over and bits < DEEPEST else done).append((nd, np_))
-        open_buckets, bits = again, min(DEEPEST, bits + HISTOGRAM_BITS)
-    return sorted(done, key=lambda b: b[1] << (64 - b[0]))
+        again = [b for bucket in overfull for b in grow(found, bucket, by_top[found.prefix[bucket]], bits, bucket_bytes)]
+        overfull, bits = again if bits < DEEPEST else [], min(DEEPEST, bits + HISTOGRAM_BITS)
+    return found
 
 
-def bucket_of(buckets: list[tuple[int, int]]):
-    """A function of the hash: the number of the bucket that owns it.  Buckets are ranges of the unsigned hash."""
-    firsts = np.array([p << (64 - d) if d else 0 for d, p in buckets], dtype=np.uint64)
+def bucket_of(found: Directory):
+    """A function of the hash: the number of the bucket that owns it."""
 
     @F.arrow_udf("int")
     def owner(h: pa.Array) -> pa.Array:
-        unsigned = h.to_numpy(zero_copy_only=False).view(np.uint64)
-        return pa.array((np.searchsorted(firsts, unsigned, side="right") - 1).astype(np.int32))
+        return pa.array(found.find(h.to_numpy(zero_copy_only=False)))
 
     return owner
 
@@ -136,9 +154,9 @@ def exact_duplicates(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataF
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     entries = settle(rows.mapInArrow(collapse, "h long, sha string, n_bytes long, doc_ids array<bigint>, text binary"),
                      "exact-entries")
-    buckets = directory(entries, bucket_bytes)
-    owned = entries.select("h", "sha", "doc_ids", "text").withColumn("bucket", bucket_of(buckets)("h"))
-    owned = owned.repartitionById(len(buckets), F.col("bucket")).sortWithinPartitions("h")
+    found = directory(entries, bucket_bytes)
+    owned = entries.select("h", "sha", "doc_ids", "text").withColumn("bucket", bucket_of(found)("h"))
+    owned = owned.repartitionById(len(found.bits), F.col("bucket")).sortWithinPartitions("h")
     classes = settle(owned.select("h", "sha", "doc_ids", "text").mapInArrow(
         chain, "h long, link int, sha string, doc_ids array<bigint>"), "exact-classes")
     groups = classes.groupBy("h", "link").agg(

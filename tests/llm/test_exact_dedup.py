@@ -2,10 +2,11 @@ from __future__ import annotations
 
 import hashlib
 
+import numpy as np
 import pyarrow as pa
 
 from groundwell.llm import exact_dedup
-from groundwell.llm.exact_dedup import bucket_of, chain, directory, exact_duplicates, grow
+from groundwell.llm.exact_dedup import Directory, bucket_of, chain, directory, exact_duplicates, grow
 
 SCHEMA = "doc_id long, text string, keep_id string, h int"
 
@@ -34,20 +35,37 @@ def test_texts_whose_hashes_collide_are_told_apart():
 
 def test_overfull_buckets_are_split_and_single_hashes_are_not():
     weights = {c: (10, 2) for c in range(8)} | {3: (100, 1)}
-    found = grow(weights, 3, 25)
-    sizes = {(d, p): sum(weights[c][0] for c in range(8) if c >> (3 - d) == p) for d, p, _ in found}
-    assert all(s <= 25 for k, s in sizes.items() if k != (3, 3)) and sum(2.0 ** -d for d, _, _ in found) == 1
-    assert not any(over for _, _, over in found)
+    found = Directory()
+    assert grow(found, 0, weights, 3, 25) == []
+    sizes = {(d, p): sum(weights[c][0] for c in range(8) if c >> (3 - d) == p) for d, p in zip(found.bits, found.prefix)}
+    assert all(s <= 25 for k, s in sizes.items() if k != (3, 3)) and sum(2.0 ** -d for d in found.bits) == 1
+
+
+def test_directory_doubles_when_a_full_bucket_is_as_deep():
+    found, sizes = Directory(), []
+    rng = np.random.default_rng(7)
+    h = rng.integers(-(1 << 63), 1 << 63, 5_000)
+    for _ in range(60):
+        held = np.bincount(found.find(h), minlength=len(found.bits))
+        fullest = int(held.argmax())
+        deep, before = found.bits[fullest] == found.depth, len(found.pointers)
+        found.split(fullest)
+        assert len(found.pointers) == before * (2 if deep else 1) == 1 << found.depth
+        sizes.append(len(found.pointers))
+        owner = found.find(h)
+        for b, (d, p) in enumerate(zip(found.bits, found.prefix)):
+            assert (found.pointers == b).sum() == 1 << (found.depth - d)
+            assert ((h.view(np.uint64) >> np.uint64(64 - d)) == p)[owner == b].all()
+    assert len(set(sizes)) > 4 and len(found.bits) == 61
 
 
 def test_directory_goes_deeper_than_one_histogram(spark, monkeypatch):
     monkeypatch.setattr(exact_dedup, "HISTOGRAM_BITS", 2)
     hashes = [i << 55 for i in range(40)] + [-(i << 50) - 1 for i in range(40)]
     entries = spark.createDataFrame([(h, 10) for h in hashes], "h long, n_bytes long")
-    buckets = directory(entries, 50)
-    assert sum(2.0 ** -d for d, _ in buckets) == 1
-    owner = entries.select("h", bucket_of(buckets)("h").alias("b")).collect()
+    found = directory(entries, 50)
+    assert sum(2.0 ** -d for d in found.bits) == 1 and len(found.pointers) == 1 << max(found.bits)
+    owner = entries.select("h", bucket_of(found)("h").alias("b")).collect()
     for r in owner:
-        d, p = buckets[r.b]
-        assert (r.h % (1 << 64)) >> (64 - d) == p
-    assert max(sum(10 for r in owner if r.b == k) for k in range(len(buckets))) <= 50
+        assert (r.h % (1 << 64)) >> (64 - found.bits[r.b]) == found.prefix[r.b]
+    assert max(sum(10 for r in owner if r.b == k) for k in range(len(found.bits))) <= 50
