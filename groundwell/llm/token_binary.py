@@ -138,13 +138,13 @@ def stage_ids(docs: DataFrame, tokenizer: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _memo(tokenizer)
-        end = np.array([END_ID], dtype=memo.width).tobytes()
         for whole in batches:
             for batch in slices(whole, WORKING_SET):
-                coded = [b + end for b in memo.encode(batch.column("text"))]
-                yield pa.RecordBatch.from_arrays([
-                    batch.column("doc_id"), pa.array([len(b) // memo.width.itemsize for b in coded], pa.int64()),
-                    pa.array(coded, pa.binary())], schema=STAGED)
+                ids, cuts = memo.encode(batch.column("text"), END_ID)
+                held = pa.Array.from_buffers(pa.large_binary(), batch.num_rows, [
+                    None, pa.py_buffer(cuts * memo.width.itemsize), pa.py_buffer(ids)])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id"), pa.array(np.diff(cuts)), held.cast(pa.binary())], schema=STAGED)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return settle(rows.mapInArrow(run, "doc_id long, n long, ids binary"), "token-ids")

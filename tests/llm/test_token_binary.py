@@ -38,6 +38,19 @@ def test_frequencies_sum_up_and_leave_none_out():
     assert B.share_out({5: 2}) == ([5], [1 << B.SCALE])
 
 
+def parts_of(ids, cuts):
+    return [ids[a:b].tobytes() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+
+
+def test_special_tokens_are_read_as_the_library_does():
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>\n y <|endoftext|>.", "a <|endoftext|>  b", "word, <|endoftext|>word."]
+    library = Tokenizer.from_file(PATH)
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert want[0] == [64, 220, 50256, 275]
+    memo = WordMemo(PATH)
+    assert parts_of(*memo.encode(pa.array(texts))) == [np.array(w, memo.width).tobytes() for w in want]
+
+
 @pytest.mark.parametrize("remembered", [3, 400_000])
 def test_words_encode_as_the_whole_text(remembered):
     memo = WordMemo(PATH, remembered)
@@ -47,7 +60,9 @@ def test_words_encode_as_the_whole_text(remembered):
     texts += ["".join(random.choice(parts) for _ in range(random.randint(1, 40))) for _ in range(2000)]
     whole = [np.array(memo.tokenizer.encode(t or "", add_special_tokens=False).ids, memo.width).tobytes() for t in texts]
     for size in (1, 50, len(texts)):
-        assert [x for a in range(0, len(texts), size) for x in memo.encode(pa.array(texts[a : a + size]))] == whole
+        assert [x for a in range(0, len(texts), size) for x in parts_of(*memo.encode(pa.array(texts[a : a + size])))] == whole
+        with_end = [x for a in range(0, len(texts), size) for x in parts_of(*memo.encode(pa.array(texts[a : a + size]), 7))]
+        assert with_end == [x + np.array([7], memo.width).tobytes() for x in whole]
 
 
 def test_files_hold_all_documents_in_order(spark, tmp_path):
