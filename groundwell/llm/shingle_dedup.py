@@ -1,6 +1,8 @@
-"""Near duplicates by similarity of five-word shingles: exact at 0.8, over candidates that share a band of minima.
+"""Near duplicates by similarity of five-word shingles: SimHash with Golay keys, then bands of minima, exact at 0.8.
 
-Equal sets of shingles meet by their hash.  Each distinct set gives ``BANDS`` keys of ``BAND_ROWS`` minima under random
+Equal sets of shingles meet by their hash.  Each distinct set has a 64-bit SimHash; fingerprints that differ in up to 4
+bits meet under their Golay keys, and sets they lead to are the first candidates.  At a similarity of 0.8 fingerprints
+differ in about 10 bits, more than such keys reach, so the rest is found by minima: each distinct set gives ``BANDS`` keys of ``BAND_ROWS`` minima under random
 multipliers, and sets that share a key are candidates.  A bucket's members are first compared with one of them, its
 centre, and what is linked is joined into components; ``ROUNDS`` of centres, each another member, bring a large group
 of near copies together without its pairs.  Then all candidates that are still in different components are compared.
@@ -22,6 +24,7 @@ from pyspark.sql import functions as F
 
 from groundwell.llm.common import utf8
 from groundwell.llm.components import components
+from groundwell.llm.simhash import fingerprint_links, majority
 from groundwell.session import settle
 
 SEED = 42
@@ -33,8 +36,8 @@ REMEMBERED = 256  # sets of shingles that are not made anew for the next pair
 AT_ONCE = 1 << 12  # shingles whose minima are taken at once
 _FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
-SETS = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("fp", pa.int64()), ("n", pa.int64()),
-                  ("bands", pa.list_(pa.int64()))])
+SETS = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("fp", pa.int64()), ("sim", pa.int64()),
+                  ("n", pa.int64()), ("bands", pa.list_(pa.int64()))])
 LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -76,15 +79,16 @@ def row_key() -> Column:
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        fps, sizes, bands = [], [], []
+        fps, sims, sizes, bands = [], [], [], []
         for text in utf8(batch.column("text")):
             own = shingles(text)
             fps.append(xxhash.xxh64_intdigest(own.tobytes(), SEED))
+            sims.append(majority(own))
             sizes.append(len(own))
             bands.append(band_keys(own))
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), batch.column("key"), pa.array(np.array(fps, np.uint64).view(np.int64)),
-             pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], schema=SETS)
+             pa.array(np.array(sims, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], schema=SETS)
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,29 +122,50 @@ def _near_size(n: str, m: str) -> Column:
     return F.least(n, m) * LEAST[1] >= F.greatest(n, m) * LEAST[0]
 
 
+def golay_pairs(sets: DataFrame) -> DataFrame:
+    """(a, b): candidates among ``sets`` (fp, sim, n) by SimHash: one set of each fingerprint stands for it, meets the
+    others that have it, and those of fingerprints linked to it through Golay keys."""
+    firsts = settle(sets.groupBy("sim").agg(F.min(F.struct("fp", "n")).alias("c")), "shingle-simhash")
+    same = sets.join(firsts, "sim").where(F.col("fp") != F.col("c.fp")).select(
+        "fp", "n", F.col("c.fp").alias("fp_c"), F.col("c.n").alias("n_c"))
+    links = fingerprint_links(firsts.select(F.col("sim").alias("fp")))
+    near = links.join(firsts.select(F.col("sim").alias("a"), F.col("c").alias("c_a")), "a").join(
+        firsts.select(F.col("sim").alias("b"), F.col("c").alias("c_b")), "b").select(
+        "c_a.fp", "c_a.n", F.col("c_b.fp").alias("fp_c"), F.col("c_b.n").alias("n_c"))
+    return same.unionByName(near).where(_near_size("n", "n_c")).select(
+        F.least("fp", "fp_c").alias("a"), F.greatest("fp", "fp_c").alias("b")).distinct()
+
+
 def similar_links(sets: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b): links that join all candidates among ``sets`` (fp, n, bands; distinct) that are similar enough."""
+    """(a, b): links that join all candidates among ``sets`` (fp, sim, n, bands; distinct) that are similar enough."""
     keys = sets.select("fp", "n", F.explode("bands").alias("band"))
     shared = keys.groupBy("band").agg(F.count("*").alias("k")).where("k > 1")
     open_ = settle(keys.join(shared.select("band"), "band").withColumn("root", F.col("fp")), "shingle-buckets")
-    links, tried = None, None
+    tried = settle(golay_pairs(sets), "shingle-golay")
+    links = settle(_linked(tried, texts), "shingle-links")
+
+    def still_open(found: DataFrame) -> DataFrame:
+        """Of the buckets, those whose members are not all in one component yet."""
+        if found.isEmpty():
+            return open_
+        roots = settle(components(links), "shingle-roots")
+        rooted = open_.select("band", "fp", "n").join(
+            roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+        mixed = rooted.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi")
+        return settle(rooted.join(mixed.select("band"), "band", "left_semi"), "shingle-open")
+
+    open_ = still_open(links)
     for centre in range(ROUNDS):
         # one member of each bucket, another in each round: of a large component rather than of a small one
         order = F.struct(F.xxhash64(F.lit(centre), "fp").alias("place"), "fp", "n", "root")
         centres = open_.groupBy("band").agg(F.min(order).alias("c"))
         pairs = open_.join(centres, "band").where((F.col("root") != F.col("c.root")) & _near_size("n", "c.n")).select(
             F.least("fp", "c.fp").alias("a"), F.greatest("fp", "c.fp").alias("b")).distinct()
-        pairs = settle(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "shingle-stars")
-        tried = pairs if tried is None else tried.unionByName(pairs)
+        pairs = settle(pairs.join(tried, ["a", "b"], "left_anti"), "shingle-stars")
+        tried = tried.unionByName(pairs)
         found = settle(_linked(pairs, texts), "shingle-links")
-        links = found if links is None else links.unionByName(found)
-        if found.isEmpty():
-            continue
-        roots = settle(components(links), "shingle-roots")
-        rooted = open_.select("band", "fp", "n").join(
-            roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-        mixed = rooted.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi")
-        open_ = settle(rooted.join(mixed.select("band"), "band", "left_semi"), "shingle-open")
+        links = links.unionByName(found)
+        open_ = still_open(found)
     one = open_.select("band", F.col("fp").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"))
     two = open_.select("band", F.col("fp").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"))
     rest = one.join(two, "band").where((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b"))
@@ -157,13 +182,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("key"),
                        F.col("text").cast("string").alias("text"))
-    marked = settle(rows.mapInArrow(_sets, "doc_id long, key long, fp long, n long, bands array<bigint>"), "shingle-sets")
+    marked = settle(rows.mapInArrow(_sets, "doc_id long, key long, fp long, sim long, n long, bands array<bigint>"), "shingle-sets")
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")
-    sets = settle(marked.groupBy("fp").agg(F.min(order).alias("first"), F.first("n").alias("n"),
-                                           F.first("bands").alias("bands")), "shingle-distinct")
+    sets = settle(marked.groupBy("fp").agg(F.min(order).alias("first"), F.first("sim").alias("sim"),
+                                           F.first("n").alias("n"), F.first("bands").alias("bands")), "shingle-distinct")
     texts = rows.select("key", "text").join(sets.select("fp", F.col("first.key").alias("key")), "key").dropDuplicates(
         ["fp"]).select("fp", "text")
-    roots = components(similar_links(sets.select("fp", "n", "bands"), texts))
+    roots = components(similar_links(sets.select("fp", "sim", "n", "bands"), texts))
     rooted = sets.select("fp", "first").join(roots, sets.fp == roots.node, "left").select(
         "first", F.coalesce("root", "fp").alias("root"))
     kept = settle(rooted.groupBy("root").agg(F.min("first").alias("first")).select(

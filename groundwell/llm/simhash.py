@@ -57,6 +57,15 @@ def fingerprint(text: bytes, words_each: int = SHINGLE) -> int:
     return int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0])
 
 
+def majority(hashes: np.ndarray) -> int:
+    """Bit i is set where over half of the hashes (uint64) have it; none give 0."""
+    counts = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(hashes), AT_ONCE):
+        own = np.ascontiguousarray(hashes[at : at + AT_ONCE], dtype="<u8")
+        counts += np.unpackbits(own.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")[0])
+
+
 def fingerprints(docs: DataFrame, words_each: int = SHINGLE) -> DataFrame:
     """(doc_id, key, fp) of every whole text; a null text is empty, and its fingerprint 0.
 

@@ -3,6 +3,7 @@ from __future__ import annotations
 import numpy as np
 
 import corpus_pipeline
+from groundwell.llm import shingle_dedup
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -44,3 +45,19 @@ def test_stage_drops_every_copy_of_similarity_four_fifths(spark):
     got = dict(corpus_pipeline.STAGES)["near_dedup"](spark, spark.createDataFrame(rows, SCHEMA), "")
     assert got.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     assert {r.doc_id for r in got.collect()} == brute(rows)
+
+
+def test_candidates_of_golay_keys_lead_to_near_copies(spark):
+    rng = np.random.default_rng(6)
+    base = [f"w{x}" for x in rng.integers(0, 5000, 600)]
+    near, far = [*base[:-1], "changed"], [f"v{x}" for x in rng.integers(0, 5000, 600)]
+    sets = [shingle_dedup.shingles(" ".join(w).encode()) for w in (base, near, far, base + base[:1])]
+    sims = [shingle_dedup.majority(s) for s in sets]
+    assert all(int(a ^ sims[0]).bit_count() <= 4 for a in (sims[1], sims[3]))
+    rows = [(i, sim - (1 << 64) if sim >> 63 else sim, len(s)) for i, (s, sim) in enumerate(zip(sets, sims))]
+    got = shingle_dedup.golay_pairs(spark.createDataFrame(rows, "fp long, sim long, n long")).collect()
+    pairs = {(r.a, r.b) for r in got}
+    linked = {0}
+    for _ in range(3):
+        linked |= {x for p in pairs if linked & set(p) for x in p}
+    assert linked == {0, 1, 3}
