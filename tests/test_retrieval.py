@@ -286,3 +286,18 @@ def test_more_than_fifty_rows_per_query(spark):
     vectors = E.embed_documents(chunks, "hash-32")
     asked = E.embed_documents(queries, "hash-32", "query", "query_vec")
     assert len(by_query(D.dense_topk(asked, vectors))["q"]) == 200
+
+
+def test_blocks_are_dealt_into_a_grid_of_bounded_cells(spark):
+    data, df = vectors(spark)
+    queries = df.select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("query_vec"), F.lit(5).alias("top_k"))
+    got = by_query(D.dense_topk(queries, df.repartition(4), query_block=3, chunk_block=4, cell_rows=9))
+    for q in range(len(data)):
+        same(got[f"v{q:03}"], exact(data, q, 5))
+
+    def side(n, block):
+        return spark.createDataFrame([("everything", i) for i in range(n)], f"scope_id string, {block} long")
+
+    met = D._met(side(200, "block").withColumn("v", F.col("block")), side(300, "q_block"), 200, 300, 40)
+    assert met.select("v", "q_block").distinct().count() == met.count() == 200 * 300
+    assert met.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] < 200 * 300 / 4
