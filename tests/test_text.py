@@ -61,6 +61,13 @@ def test_code_tokens(spark):
     assert got == [bag(x) for x in texts]
 
 
+def test_code_tokens_of_long_texts_need_no_lambda(spark):
+    texts = ["plain words, " * 20_000, "fetchData_helper " * 10_000, "A" * 50_000 + "b_" + "c" * 50_000, "aB" * 20_000]
+    got = [sorted(x) for x in values(spark, T.code_tokens(F.col("t")), texts)]
+    assert got == [bag(x) for x in texts]
+    assert "lambda" not in str(T.code_tokens(F.col("t")))
+
+
 def test_content_terms(spark):
     texts = ["The quick_Fox and a db of getUser 42 404", "", "is it"]
     want = [{w.lower() for w in re.findall(r"[A-Za-z0-9_]+", x) if len(w) >= 3 and w.lower() not in fv.STOPWORDS} for x in texts]
