@@ -5,10 +5,12 @@ A plug-in is either a model that runs in Python workers, batch by batch, or an e
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
@@ -19,6 +21,7 @@ _MODELS: dict[str, tuple[int, Callable[[], Callable[[list[str]], list]]]] = {}
 _EXPRESSIONS: dict[str, Callable[[Column], Column]] = {}
 
 EMBED_BATCH = 64
+BUCKET_WORDS = 1 << 20  # words that are counted at once
 
 
 def register_embedder(name: str, dim: int, factory: Callable[[], Callable[[list[str]], list]]) -> None:
@@ -78,19 +81,33 @@ def signed_buckets(text: Column, dim: int) -> Column:
     A text without words, and a null, give zeros.
     """
     words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
-    slots = F.transform(words, lambda w: F.conv(F.substring(F.md5(w.cast("binary")), 1, 8), 16, 10).cast("long") % (2 * dim))
 
-    def at(slots: Column, slot: Column) -> Column:
-        return F.size(F.filter(slots, lambda s: s == slot))
-
-    sums = F.transform(F.array(slots), lambda known: F.transform(
-        F.sequence(F.lit(0), F.lit(dim - 1)), lambda d: (at(known, 2 * d) - at(known, 2 * d + 1)).cast("double")))[0]
-
-    def scaled(v: Column) -> Column:
-        length = F.sqrt(F.aggregate(v, F.lit(0.0), lambda total, x: total + x * x))
-        return F.transform(F.array(length), lambda n: F.transform(v, lambda x: F.when(n > 0, x / n).otherwise(0.0)))[0]
-
-    return F.transform(F.array(sums), scaled)[0].cast("array<float>")
+    @F.arrow_udf(ArrayType(FloatType()))
+    def counted(lists: pa.Array) -> pa.Array:
+        offsets = np.asarray(lists.offsets)
+        parts, start = [np.zeros((0, dim), np.float32)], 0
+        while start < len(lists):
+            stop = max(start + 1, int(np.searchsorted(offsets, offsets[start] + BUCKET_WORDS, side="right")) - 1)
+            own = lists.values.slice(offsets[start], offsets[stop] - offsets[start])
+            parts.append(_unit_buckets(own, offsets[start : stop + 1], dim))
+            start = stop
+        flat = pa.array(np.concatenate(parts).ravel())
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(lists) + 1, dtype=np.int32) * dim), flat)
+
+    return counted(words)
+
+
+def _unit_buckets(words: pa.Array, offsets: np.ndarray, dim: int) -> np.ndarray:
+    """A row for each run of words between two offsets; each different word is hashed once."""
+    coded = words.dictionary_encode()
+    slots = np.array([int.from_bytes(hashlib.md5(w.encode()).digest()[:4], "big") % (2 * dim)
+                      for w in coded.dictionary.to_pylist()], dtype=np.int64)
+    n = len(offsets) - 1
+    cells = np.repeat(np.arange(n) * (2 * dim), np.diff(offsets)) + slots[np.asarray(coded.indices)]
+    counts = np.bincount(cells, minlength=n * 2 * dim).reshape(n, dim, 2)
+    sums = (counts[:, :, 0] - counts[:, :, 1]).astype(np.float64)
+    lengths = np.sqrt((sums * sums).sum(axis=1, keepdims=True))
+    return (sums / np.where(lengths > 0, lengths, 1.0)).astype(np.float32)
 
 
 register_expression("hash-32", lambda text: signed_buckets(text, 32))

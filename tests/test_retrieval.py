@@ -1,3 +1,4 @@
+import hashlib
 import math
 from collections import Counter
 
@@ -278,6 +279,19 @@ def test_hashed_words_have_unit_length(spark):
     assert all(e == [0.0] * 32 for e in empty)
 
 
+def test_hashed_words_are_counted_by_their_slot(spark):
+    texts = ["", "One two two", "x_1 \u00e9t\u00e9 " * 50, None, "a b c d e f g"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    got = [r.embedding for r in E.embed_documents(rows, "hash-32").orderBy("i").collect()]
+    for text, vector in zip(texts, got):
+        sums = np.zeros(64)
+        for word in (text or "").lower().split():
+            sums[int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % 64] += 1
+        want = sums[::2] - sums[1::2]
+        assert np.allclose(vector, want / (np.linalg.norm(want) or 1.0), atol=1e-6)
+    assert "lambda" not in str(E.signed_buckets(F.col("text"), 32))
+
+
 def test_more_than_fifty_rows_per_query(spark):
     chunks = spark.createDataFrame([(f"c{i:04}", f"common word{i}") for i in range(400)], "chunk_id string, text string")
     queries = spark.createDataFrame([("q", "common", 200), ("r", "common", 3)], "query_id string, query string, top_k int")
