@@ -73,6 +73,17 @@ def test_edges(spark):
     assert by["long.md"] == [("T", 1, 60), ("T", 49, 108), ("T", 97, 131)]
 
 
+def test_long_sections_are_split_into_lines_once(spark):
+    pieces = str(C.markdown_pieces(F.split("text", "\n")))
+    assert pieces.count("split(text") == 1  # and not again for every section
+    assert pieces.count("split(") == 2  # the other one cuts a section, whatever its number of windows
+
+
+def test_huge_definitions_are_split_into_lines_once(spark):
+    assert str(C.definition_pieces(F.col("lines"), F.col("spans"))).count("split(") == 1
+    assert str(C.boundary_spans(F.col("lines"))).count("slice(") == 1
+
+
 def test_own_chunker(spark):
     files = file_rows(spark, {"a.py": "x\ny", "b.py": "z"})
 
