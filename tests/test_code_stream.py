@@ -129,6 +129,14 @@ def long_by_loop(text, limit):
     return out
 
 
+def test_findings_are_found_once_before_they_are_sorted(spark):
+    files = spark.createDataFrame([("r", "a/b.py", "try:\n    pass\nexcept:\n    print(1)  # TODO\n")],
+                                  "repository_id string, file_path string, text string")
+    report = CI.findings_report(CI.static_findings(files))
+    assert "Generate" not in report._jdf.queryExecution().optimizedPlan().toString()
+    assert [r.kind for r in report.collect()] == ["bare-except", "marker:TODO", "print-call"]
+
+
 def test_function_lengths_in_one_fold(spark):
     import random
 
