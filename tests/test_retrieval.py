@@ -92,6 +92,20 @@ def test_sparse_with_negative_idf(spark, texts, options):
         same(got[r.query_id], top(want, r.top_k))
 
 
+def test_pairs_are_summed_where_their_chunk_lies(spark, monkeypatch):
+    """No pair of query and chunk is shuffled, and more postings make more tasks."""
+    queries = spark.createDataFrame(list(QUERIES.items()), "query_id string, query string")
+    monkeypatch.setattr(B, "TASK_ROWS", 1)
+    pairs = B.bm25_score(queries, chunk_frame(spark))
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(chunk_id" in plan and "hashpartitioning(query_id" not in plan
+    assert pairs.rdd.getNumPartitions() > spark.sparkContext.defaultParallelism
+    got = {(r.query_id, r.chunk_id): r.score for r in pairs.collect()}
+    for q, text in QUERIES.items():
+        want = {i: s for i, s in bm25(text, TEXTS).items() if s}
+        assert {c: s for (asked, c), s in got.items() if asked == q} == pytest.approx(want, abs=1e-8)
+
+
 FILTERS = {
     "q1": (["repo_1"], None, None, None, None),
     "q2": (None, "main", ["py"], None, None),
