@@ -288,3 +288,33 @@ def test_stream_jobs_out_of_order(spark, tmp_path):
     query.awaitTermination()
     last = {r.job_id: (r.status, r.progress, r.terminal) for r in seen}
     assert last == {"j": ("running", 0.5, False), "k": ("succeeded", 1.0, True)}
+
+
+def _times_read(df, pattern):
+    return df._jdf.queryExecution().optimizedPlan().toString().count(pattern)
+
+
+def test_import_map_reads_a_text_once(spark):
+    """The filter on the lists is not moved below them, where it would find all imports a second time."""
+    files = file_rows(spark, {"a.py": "import os, b.c as d\nfrom .x import y\n", "b.py": "x = 1\n", "c.ts": "import a from '@s/p/q'\n",
+                              "d.py": "import a;import é.f,(g)\nfrom  h.i import *\n"})
+    found = CI.import_map(files)
+    assert _times_read(found, "import[ \\t]+(") == 1 and _times_read(found, "require") == 1
+    assert {r.file_path: (r.internal, r.external) for r in found.collect()} == {
+        "a.py": ([".x"], ["b", "os"]), "c.ts": ([], ["@s/p"]), "d.py": ([], ["a", "h"])}
+
+
+def test_marker_of_a_line_is_searched_once(spark):
+    files = file_rows(spark, {"a.py": "x = 1  # todo: é \n\u00a0# FIXME\u2003\nprint(2) # nothing\n"})
+    found = CI.marker_findings(files)
+    assert _times_read(found, "TODO") == 1
+    assert {(r.line, r.kind, r.message) for r in found.collect()} == {
+        (1, "marker:TODO", "x = 1  # todo: é"), (2, "marker:FIXME", "# FIXME")}
+
+
+def test_long_functions_past_lines_that_are_left_out(spark):
+    body = "        y = 1\n" * 3
+    text = "import os\n\n" * 3 + f"class A:\n    def f(self):\n{body}        def g():\n            return 2\n    )\n{body}\n\nz = 1\ndef h():\n{body}"
+    found = CI.ast_findings(file_rows(spark, {"a.py": text, "b.py": "x = 1\n"}), max_function_lines=3)
+    assert {(r.line, r.message.split(" (")[0]) for r in found.collect()} == {
+        (8, "function 'f' is 10 lines"), (21, "function 'h' is 4 lines")}
