@@ -17,7 +17,7 @@ from groundwell.llm.language_id import spoken_rows
 from groundwell.llm.mixing import mixed_documents
 from groundwell.llm.shingle_dedup import near_duplicates
 from groundwell.llm.token_binary import token_files
-from groundwell.session import settle
+from groundwell.session import scratch, settle
 
 SHIPPED_KEYS = 100_000  # keys of dropped rows, of 8 bytes each, that are sent to every task
 
@@ -33,7 +33,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     """``docs`` without the rows whose key is in ``dropped`` (doc_id); few keys travel, so that no document has to."""
-    gone = settle(dropped.select(F.col("doc_id").alias("gone")).distinct(), "pipeline-dropped")
+    gone = settle(dropped.select(F.col("doc_id").alias("gone")).distinct(), "pipeline-dropped", lasting=True)
     gone = F.broadcast(gone) if gone.limit(SHIPPED_KEYS + 1).count() <= SHIPPED_KEYS else gone
     # the row is one column, so that no column of docs meets the key
     rows = docs.select(F.struct("*").alias("row"), _key().alias("key"))
@@ -54,7 +54,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that do not hold most of a benchmark item."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return _without(docs, contamination(_keyed(docs), benchmark).where("contaminated"))
+    with scratch(spark):
+        return _without(docs, contamination(_keyed(docs), benchmark).where("contaminated"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

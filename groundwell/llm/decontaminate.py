@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from groundwell.llm.common import slices
+from groundwell.llm.common import lean, slices
 from groundwell.llm.wordhash import grams, powers, word_hashes
 from groundwell.session import settle
 
@@ -184,7 +184,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, coverage: float = COVER
     for r in slots.toLocalIterator():  # 1 << FILTER_BITS at most
         table[r.slot >> 3] |= 1 << (r.slot & 7)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = settle(rows.mapInArrow(_find_hits(table), "row long, doc_id long, text string, hits array<bigint>"), "hits")
+    found = settle(rows.mapInArrow(lean(_find_hits(table)), "row long, doc_id long, text string, hits array<bigint>"), "hits")
     near = found.where("hits is not null")
     met = near.select("row", F.explode("hits").alias("h")).join(seeds.select("item", "n_words", "h", "pos"), "h")
     pairs = met.groupBy("row", "item", "n_words").agg(F.count("*").alias("n")).where(

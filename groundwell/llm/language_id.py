@@ -23,8 +23,8 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from groundwell.llm.common import fold, parts, slices
-from groundwell.session import fresh_folder, settle
+from groundwell.llm.common import fold, lean, parts, slices
+from groundwell.session import fresh_folder, scratch, settle
 
 ORDER = 5
 SYMBOL_BITS = 12
@@ -124,7 +124,7 @@ def count_runs(docs: DataFrame) -> DataFrame:
             list(emit(lang)) if any(len(k) for k, _ in held[lang]) else None
             yield from _counted(lang, *held[lang][0])
 
-    found = docs.select("lang", "text").mapInArrow(run, "lang string, key long, n long")
+    found = docs.select("lang", "text").mapInArrow(lean(run), "lang string, key long, n long")
     return found.groupBy("lang", "key").agg(F.sum("n").alias("n"))
 
 
@@ -367,6 +367,11 @@ def train(docs: DataFrame, part_rows: int = PART_ROWS) -> LanguageModel:
     Counts cover all rows of folds 2 to 4, and the models all of their runs; they lie in the shared folder.  Fold 1
     fits the sharpness on at most ``CALIBRATION_ROWS`` rows and the limits on all of its rows.
     """
+    with scratch(docs.sparkSession):  # the model's own files are not among what is settled
+        return _trained(docs, part_rows)
+
+
+def _trained(docs: DataFrame, part_rows: int) -> LanguageModel:
     known = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"),
                         F.col("lang").cast("string").alias("lang")).where("lang is not null")
     k = fold(F.col("doc_id"))
@@ -409,7 +414,7 @@ def score_rows(docs: DataFrame, model: LanguageModel) -> DataFrame:
                     schema=SCORES)
 
     return docs.select("row", "text").mapInArrow(
-        run, "row long, lang_pred string, score double, entropy double, runner_up double, n_letters long")
+        lean(run), "row long, lang_pred string, score double, entropy double, runner_up double, n_letters long")
 
 
 def spoken_rows(docs: DataFrame, model: LanguageModel | None = None) -> DataFrame:
@@ -426,7 +431,7 @@ def spoken_rows(docs: DataFrame, model: LanguageModel | None = None) -> DataFram
                 keep = [lang != UNKNOWN and entropy <= limits[lang] for lang, _, entropy, *_ in found]
                 yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def identify(docs: DataFrame, model: LanguageModel | None = None) -> DataFrame:

@@ -22,10 +22,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from groundwell.llm.common import utf8
+from groundwell.llm.common import lean, utf8
 from groundwell.llm.components import components
 from groundwell.llm.simhash import fingerprint_links, majority
-from groundwell.session import settle
+from groundwell.session import scratch, settle
 
 SEED = 42
 SHINGLE = 5
@@ -114,7 +114,7 @@ def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose texts are similar."""
     a = texts.select(F.col("fp").alias("a"), F.col("text").alias("text_a"))
     b = texts.select(F.col("fp").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(_compare, "a long, b long")
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(lean(_compare), "a long, b long")
 
 
 def _near_size(n: str, m: str) -> Column:
@@ -136,12 +136,22 @@ def golay_pairs(sets: DataFrame) -> DataFrame:
         F.least("fp", "fp_c").alias("a"), F.greatest("fp", "fp_c").alias("b")).distinct()
 
 
-def similar_links(sets: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b): links that join all candidates among ``sets`` (fp, sim, n, bands; distinct) that are similar enough."""
+def _candidate_texts(sets: DataFrame, rows: DataFrame, fps: DataFrame) -> DataFrame:
+    """(fp, text) of the sets in ``fps``, written once: of all texts, these alone are shuffled again for each
+    comparison, and the rest travel to this one join."""
+    wanted = sets.select("fp", "key").join(fps.distinct(), "fp", "left_semi")
+    texts = rows.select("key", "text").join(wanted, "key").dropDuplicates(["fp"])
+    return settle(texts.select("fp", "text"), "shingle-texts")
+
+
+def similar_links(sets: DataFrame, rows: DataFrame) -> DataFrame:
+    """(a, b): links that join all candidates among ``sets`` (fp, key, sim, n, bands; distinct) that are similar
+    enough; ``rows`` (key, text) has a text of each."""
     keys = sets.select("fp", "n", F.explode("bands").alias("band"))
     shared = keys.groupBy("band").agg(F.count("*").alias("k")).where("k > 1")
     open_ = settle(keys.join(shared.select("band"), "band").withColumn("root", F.col("fp")), "shingle-buckets")
     tried = settle(golay_pairs(sets), "shingle-golay")
+    texts = _candidate_texts(sets, rows, open_.select("fp").union(tried.select("a")).union(tried.select("b")))
     links = settle(_linked(tried, texts), "shingle-links")
 
     def still_open(found: DataFrame) -> DataFrame:
@@ -182,21 +192,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("key"),
                        F.col("text").cast("string").alias("text"))
-    marked = settle(rows.mapInArrow(_sets, "doc_id long, key long, fp long, sim long, n long, bands array<bigint>"), "shingle-sets")
-    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")
-    sets = settle(marked.groupBy("fp").agg(F.min(order).alias("first"), F.first("sim").alias("sim"),
-                                           F.first("n").alias("n"), F.first("bands").alias("bands")), "shingle-distinct")
-    texts = rows.select("key", "text").join(sets.select("fp", F.col("first.key").alias("key")), "key").dropDuplicates(
-        ["fp"]).select("fp", "text")
-    roots = components(similar_links(sets.select("fp", "sim", "n", "bands"), texts))
-    rooted = sets.select("fp", "first").join(roots, sets.fp == roots.node, "left").select(
-        "first", F.coalesce("root", "fp").alias("root"))
-    kept = settle(rooted.groupBy("root").agg(F.min("first").alias("first")).select(
-        F.col("first.key").alias("kept")), "kept")
-    repeated = marked.join(kept, marked.key == kept.kept, "left_semi").groupBy("key").count().where("count > 1")
+    with scratch(docs.sparkSession):
+        marked = settle(rows.mapInArrow(lean(_sets), "doc_id long, key long, fp long, sim long, n long, bands array<bigint>"),
+                        "shingle-sets")
+        order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")
+        sets = settle(marked.groupBy("fp").agg(F.min(order).alias("first"), F.first("sim").alias("sim"),
+                                               F.first("n").alias("n"), F.first("bands").alias("bands")), "shingle-distinct")
+        roots = components(similar_links(sets.select("fp", F.col("first.key").alias("key"), "sim", "n", "bands"), rows))
+        rooted = sets.select("fp", "first").join(roots, sets.fp == roots.node, "left").select(
+            "first", F.coalesce("root", "fp").alias("root"))
+        kept = settle(rooted.groupBy("root").agg(F.min("first").alias("first")).select(
+            F.col("first.key").alias("kept")), "kept", lasting=True)
+        repeated = marked.join(kept, marked.key == kept.kept, "left_semi").groupBy("key").count().where("count > 1")
+        has_repeated = not repeated.isEmpty()
     # the row is one column, so that no column of ``docs`` meets the keys
     chosen = docs.select(F.struct("*").alias("row"), row_key().alias("key")).join(
         kept, F.col("key") == F.col("kept"), "left_semi")
-    if not repeated.isEmpty():
+    if has_repeated:
         chosen = chosen.dropDuplicates(["key"])
     return chosen.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

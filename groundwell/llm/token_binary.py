@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from groundwell.llm.bpe_ids import WordMemo
-from groundwell.llm.common import crc_of, parts, slices
-from groundwell.session import fresh_folder, settle
+from groundwell.llm.common import crc_of, lean, parts, slices, worker_cache
+from groundwell.session import fresh_folder, scratch, settle
 
 SCALE = 20
 LOW = np.uint64(1 << 31)
@@ -128,6 +128,7 @@ def decode_block(payload: bytes, table: Table, checkpoint: int = 0) -> np.ndarra
     return out
 
 
+@worker_cache
 @lru_cache(maxsize=1)
 def _memo(path: str) -> WordMemo:
     return WordMemo(path)
@@ -147,7 +148,7 @@ def stage_ids(docs: DataFrame, tokenizer: str) -> DataFrame:
                     [batch.column("doc_id"), pa.array(np.diff(cuts)), held.cast(pa.binary())], schema=STAGED)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return settle(rows.mapInArrow(run, "doc_id long, n long, ids binary"), "token-ids")
+    return settle(rows.mapInArrow(lean(run, _memo), "doc_id long, n long, ids binary"), "token-ids")
 
 
 def count_ids(staged: DataFrame, width: str) -> dict[int, int]:
@@ -262,5 +263,6 @@ def read_tokens(spark: SparkSession, folder: str, with_ids: bool = True) -> Data
 def token_files(docs: DataFrame, tokenizer: str) -> DataFrame:
     """Writes the files to the shared folder and returns what reading them back gives, without the ids."""
     folder = fresh_folder(docs.sparkSession, "tokens")
-    write_tokens(docs, folder, tokenizer)
+    with scratch(docs.sparkSession):
+        write_tokens(docs, folder, tokenizer)
     return read_tokens(docs.sparkSession, folder, with_ids=False)

@@ -1,9 +1,12 @@
 from __future__ import annotations
 
+from pathlib import Path
+
 import numpy as np
 
 import corpus_pipeline
 from groundwell.llm import shingle_dedup
+from groundwell.session import shared_folder
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -61,3 +64,34 @@ def test_candidates_of_golay_keys_lead_to_near_copies(spark):
     for _ in range(3):
         linked |= {x for p in pairs if linked & set(p) for x in p}
     assert linked == {0, 1, 3}
+
+
+def words_of(rng, n):
+    return " ".join(f"w{x}" for x in rng.integers(0, 5000, n))
+
+
+def test_comparisons_shuffle_the_texts_of_candidates_alone(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    base = words_of(rng, 400)
+    rows = [(i, words_of(rng, 100)) for i in range(40)] + [(50, base), (51, base + " more"), (52, "less " + base)]
+    seen, linked = [], shingle_dedup._linked
+
+    def watched(pairs, texts):
+        seen.append(sorted(r.text for r in texts.collect()))
+        return linked(pairs, texts)
+
+    monkeypatch.setattr(shingle_dedup, "_linked", watched)
+    got = shingle_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id for r in got.collect()} == {*range(40), 50}
+    assert seen and all(s == sorted(t for i, t in rows if i >= 50) for s in seen)
+
+
+def test_stage_leaves_only_the_kept_keys_in_the_shared_folder(spark):
+    folder = Path(shared_folder(spark))
+    rng = np.random.default_rng(12)
+    rows = [(i, words_of(rng, 60)) for i in range(6)] + [(6, None), (7, "")]
+    before = set(folder.iterdir()) if folder.is_dir() else set()
+    got = shingle_dedup.near_duplicates(spark.createDataFrame([*rows, rows[2]], "doc_id long, text string"))
+    assert sorted(r.doc_id for r in got.collect()) == [*range(7)]
+    left = {p.name.rpartition("-")[0] for p in set(folder.iterdir()) - before}
+    assert left == {"kept"}
