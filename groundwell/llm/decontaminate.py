@@ -192,7 +192,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, coverage: float = COVER
     grouped = pairs.join(items, "item").groupBy("row").agg(
         F.collect_list(F.struct("item_id", "text")).alias("items"))
     tiled = near.select("row", "text").join(grouped, "row").mapInArrow(
-        _tile_rows(coverage), "row long, item_id long, coverage double, n_tiles int, n_items int")
+        lean(_tile_rows(coverage)), "row long, item_id long, coverage double, n_tiles int, n_items int")
     joined = found.select("row", "doc_id").join(tiled, "row", "left")
     zero = F.lit(0)
     return joined.select(

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from groundwell.llm import golay
-from groundwell.llm.common import utf8
+from groundwell.llm.common import lean, utf8
 from groundwell.llm.components import components
 from groundwell.session import settle
 
@@ -184,9 +184,9 @@ def fingerprint_links(distinct: DataFrame, bits: int = BITS) -> DataFrame:
     """(a, b): links that join all fingerprints (column fp, distinct) that differ in ``bits`` (up to 4) or fewer."""
     if not 0 <= bits <= BITS:
         raise ValueError("keys are complete up to 4 bits")
-    keys = distinct.select("fp").mapInArrow(_emit_keys, "key long, fp long")
+    keys = distinct.select("fp").mapInArrow(lean(_emit_keys), "key long, fp long")
     met = keys.repartition("key").sortWithinPartitions("key")
-    return met.mapInArrow(_links(bits), "a long, b long").distinct()
+    return met.mapInArrow(lean(_links(bits)), "a long, b long").distinct()
 
 
 def _rooted(marked: DataFrame, bits: int) -> DataFrame:

@@ -34,7 +34,7 @@ CHECKPOINT_STEPS = 128
 BLOCK_TOKENS = 1 << 19
 SHARD_TOKENS = 4_000_000
 END_ID = 0
-WORKING_SET = 1 << 23  # bytes of text taken up at once
+WORKING_SET = 1 << 22  # bytes of text taken up at once
 
 STAGED = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("ids", pa.binary())])
 BLOCKS = pa.schema([
@@ -167,7 +167,7 @@ def count_ids(staged: DataFrame, width: str) -> dict[int, int]:
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(total[seen])], ["id", "n"])
 
-    counted = staged.select("ids").mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    counted = staged.select("ids").mapInArrow(lean(run), "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
     return {r.id: r.n for r in counted.collect()}
 
 
